@@ -2,18 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from varve.catalogue import oracle_sql, queries
+from varve.catalogue.history import flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
