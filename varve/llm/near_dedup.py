@@ -27,8 +27,10 @@ from . import text as T
 from .scratch import cut
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 25, 5, 85
+#: What drop_near_copies takes; buckets find 0.8 with a miss in 20,000 pairs.
+DROP_PERCENT = 80
 #: Signature values that must agree of BANDS * ROWS. At 85 percent, 106 of 125 do on average with a
-#: standard deviation of 4: 80 is six and a half of them below.
+#: standard deviation of 4: 80 is six and a half of them below; at 80 percent it is four and a half.
 AGREE = 80
 #: Classes of one block of a tile.
 TILE = 256
@@ -229,7 +231,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = DROP_PERCENT) -> DataFrame:
     """docs without those whose component has a smaller doc_id, in docs' columns."""
     gone = cut(components(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
