@@ -43,8 +43,10 @@ def bilingual_price(raw: Column) -> Column:
 
 
 def loose_number(raw: Column) -> Column:
-    """A positive number out of a JSON value that may be a string; else null."""
-    amount = F.regexp_replace(F.regexp_replace(raw, "[\\s$]", ""), ",", ".").try_cast("double")
+    """A positive number out of a JSON value that may be a string, with commas for decimals or thousands; else null."""
+    text = F.regexp_replace(raw, "[^0-9.,-]", "")
+    text = F.when(text.rlike(",[0-9]{3}(\\.|,|$)") & ~text.rlike("^0"), F.replace(text, F.lit(","), F.lit(""))).otherwise(F.regexp_replace(text, ",", "."))
+    amount = text.try_cast("double")
     return F.when(amount > 0, amount)
 
 

@@ -17,7 +17,7 @@ CARD = 4000
 def listings(df: DataFrame, store: str, **columns: Column) -> DataFrame:
     """df as schema.LISTINGS: named columns as given, all others null."""
     columns = {"store_id": F.lit(store), **columns}
-    return df.select(*(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.LISTINGS))
+    return df.select(*(columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in schema.columns(schema.LISTINGS)))
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def price_cards(pages: DataFrame, store: str) -> DataFrame:
     """Cards of a rendered page, anchored at their prices: the last link and title in the CARD characters before each
     price. The page is split at the prices, so a card's look-back is the end of the piece before it."""
     price = "(?:\\$\\s?[0-9][0-9,.  ]*|[0-9][0-9  ]*,[0-9]{2}\\s?\\$)"
-    pieces = F.split("html", f"(?={price})")
+    pieces = F.split("html", f"(?<![0-9.,])(?<![0-9][\u00a0\u202f ])(?={price})")
     rows = pages.select("url", F.posexplode(F.arrays_zip(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("before"), F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("at"))).alias("k", "x"))
     back = F.right("x.before", F.lit(CARD))
     link = F.try_element_at(F.regexp_extract_all(back, F.lit("href=\"([^\"]+)\""), F.lit(1)), F.lit(-1))

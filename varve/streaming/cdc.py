@@ -41,6 +41,8 @@ def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             if last is None or not _near(last[1], now[1]) or not _near(last[2], now[2]) or last[3] != now[3]:
                 rows.append((key[0], *now))
                 last = now
+            else:
+                last = (now[0], *last[1:])
     if last is not None:
         state.update(last)
     yield pd.DataFrame(rows, columns=["key", "observed_at", "price", "list_price", "in_stock"])
