@@ -101,7 +101,7 @@ def test_stream_of_changes_keeps_state_between_batches(spark, tmp_path):
         assert query.awaitTermination(120)
 
     put("1.json", ("a", 0, 10.0, None, True), ("a", 1, 10.001, None, True), ("b", 0, 5.0, None, None))
-    put("2.json", ("a", 2, 10.0, None, True), ("a", 3, 9.0, None, True), ("a", 1, 1.0, None, True), ("b", 1, 5.0, None, False))
+    put("2.json", ("a", 2, 10.0, None, True), ("a", 3, 9.0, None, True), ("a", 0, 1.0, None, True), ("b", 1, 5.0, None, False))
     got = spark.read.parquet(out).orderBy("key", "observed_at").collect()
     assert [(r.key, r.price, r.in_stock) for r in got] == [("a", 10.0, True), ("a", 9.0, True), ("b", 5.0, None), ("b", 5.0, False)]
 
