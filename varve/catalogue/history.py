@@ -88,7 +88,7 @@ fields AS (SELECT p.*, s.median, s.percentile, s.claim_share, s.min_ever, s.chan
 s1 AS (SELECT *, CASE WHEN median > 0 THEN (median - price) / median ELSE 0 END AS dr, coalesce(price <= min_ever + 0.005 AND changes > 0 AND days_observed >= 3, false) AS low,
     CASE WHEN list_price > price THEN (list_price - price) / list_price ELSE 0 END AS claim FROM fields),
 s2 AS (SELECT *, {CL(f"0.55 * {CL('dr / 0.4')} + 0.45 * (1 - percentile) + CASE WHEN low THEN 0.15 ELSE 0 END")} AS hist, {CL('claim / 0.45')} * 0.8 AS merch, {CL('days_observed / 30')} AS ch FROM s1),
-s3 AS (SELECT *, {CL("0.32 * ch + 0.15 * coalesce(" + CL("log10(1 + rating_count) / log10(201)") + ", 0) + 0.07 * " + CL("changes / 4e0") + " + CASE WHEN recommend_total >= 20 THEN 0.1 ELSE 0 END")} AS conf,
+s3 AS (SELECT *, {CL("0.32 * ch + 0.15 * CASE WHEN rating_count IS NULL THEN 0 ELSE " + CL("log10(1 + rating_count) / log10(201)") + " END + 0.07 * " + CL("changes / 4e0") + " + CASE WHEN recommend_total >= 20 THEN 0.1 ELSE 0 END")} AS conf,
     greatest(CASE WHEN ch > 0.25 AND claim > 0.15 AND dr < 0.02 THEN {CL('(claim - greatest(0, dr)) * 0.9')} ELSE 0 END, CASE WHEN claim_share > 0.85 AND days_observed > 14 THEN 0.35 ELSE 0 END) AS pen FROM s2),
 w AS (SELECT *, recommend_yes::DOUBLE / nullif(recommend_total, 0) AS pp, recommend_total::DOUBLE AS nn, 1.28e0 * 1.28e0 AS z2 FROM s3),
 q AS (SELECT *, CASE WHEN recommend_total > 0 THEN {CL("(greatest(0, (pp + z2 / (2 * nn) - 1.28e0 * sqrt((pp * (1 - pp) + z2 / (4 * nn)) / nn)) / (1 + z2 / nn)) - 0.25) / 0.73")}

@@ -14,7 +14,8 @@ PLAUSIBLE = (5.0, 60_000.0)
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    """value within the bounds; null stays null, which greatest and least alone would skip."""
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
