@@ -52,7 +52,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _tokenizer("piece_bpe_32k.model")
-    return pieces.round_trip(pieces.encode(_read(spark, sf_dir, "documents"), model), model)
+    return pieces.round_trip(pieces.encode(_read(spark, sf_dir, "documents"), model))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
