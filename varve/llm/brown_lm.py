@@ -4,8 +4,8 @@ Units are the UNITS_TOP most frequent words, each for itself, and UNIT_BUCKETS b
 by their beginning and ending, so that every word has a unit without a lookup of its own. Spark counts which unit
 follows which over all training documents; exchange clustering moves units between CLASSES classes while the
 likelihood of the class bigrams rises; a word has its unit's class. A text's score is the sum over tokens of
-log10 P(class | class before) + log10 P(word | class). Word counts of the HEAD most frequent words are broadcast
-(HEAD bounds them); all other words of a text are joined with the count table on the word.
+log10 P(class | class before) + log10 P(word | class). Counts of words that are at least one in HEAD tokens are
+broadcast (so there are HEAD at most); all other words of a text are joined with the count table on the word.
 
 Smoothing: transitions are mixed with the classes' own shares; in each class unseen words share one extra count
 each way: P(word | class) = (count + 1) / (tokens of the class + words of the class + 1).
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .scratch import cut
 from .toxicity import remainder
 
-UNITS_TOP, UNIT_BUCKETS, CLASSES, SWEEPS, HEAD = 1024, 1023, 48, 12, 100_000
+UNITS_TOP, UNIT_BUCKETS, CLASSES, SWEEPS = 1024, 1023, 48, 12
+#: A word is sent to all tasks if it is one in HEAD tokens or more, and not longer than that: HEAD words at most.
+HEAD, HEAD_BYTES = 1_000_000, 32
 UNITS = UNITS_TOP + UNIT_BUCKETS + 1
 END_UNIT, END_CLASS = UNITS - 1, CLASSES
 #: Weight of the class bigram against the class's own share.
@@ -187,7 +189,8 @@ def score(docs: DataFrame) -> DataFrame:
     train = docs.filter(~held_out)
     counts = cut(count_words(train), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = {bytes(w): c for w, c in counts.filter("length(word) > 0").orderBy(F.desc("c"), "word").limit(HEAD).collect()}
+    frequent = counts.filter((F.col("c") * HEAD >= n) & F.length("word").between(1, HEAD_BYTES)).collect()  # HEAD rows at most, as the counts add up to n
+    head = {bytes(w): c for w, c in sorted(frequent, key=lambda r: (-r[1], bytes(r[0])))}
     ends = sum(r[0] for r in counts.filter("length(word) = 0").select("c").collect())
     top = list(head)[:UNITS_TOP]
     of, table = _class_stats(count_bigrams(train, top))
