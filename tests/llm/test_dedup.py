@@ -81,9 +81,12 @@ def test_near_components_match_brute_force(spark):
     assert sorted(map(tuple, got)) == brute_components(rows)
 
 
-def test_near_components_are_found_across_a_mixed_bucket(spark, monkeypatch):
-    """Classes that only link to each other, not to their bucket's smallest, are still compared, in several tiles."""
+@pytest.mark.parametrize("bottom", [512, 64])
+def test_near_components_are_found_across_a_mixed_bucket(spark, monkeypatch, bottom):
+    """Classes that only link to each other, not to their bucket's smallest, are still compared, in several tiles;
+    with whole sets, and with the smallest hashes of sets that are too large."""
     monkeypatch.setattr(near_dedup, "TILE", 4)
+    monkeypatch.setattr(near_dedup, "BOTTOM", bottom)
     rng = random.Random(9)
     words = vocabulary(rng, 3000)
     shared = [rng.choice(words) for _ in range(300)]

@@ -3,10 +3,11 @@ connected components by alternating large-star and small-star.
 
 Two documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of shingles (words
 lower-cased in A-Z only). Equal sets are one class, found by digest, so that copies never meet in
-pairs. In each bucket (band, key) the classes are first compared with the bucket's smallest class: a
-row per member, whatever the bucket's size. Buckets whose members are then in one component are done;
-in the others the members of different components are compared in tiles of bounded size, and only
-pairs whose signatures agree leave a tile. Pairs that pass are confirmed on their full sets.
+pairs. In each bucket (band, key) the classes are compared with the bucket's smallest class, its pivot: first
+each class with the smallest of its pivots, then with those that aren't in its component yet. Buckets
+whose members are then in one component are done; in the others the members of different components
+are compared in tiles of bounded size, and a tile gives no more links than it has members, unless sets
+are too large for it. Pairs that pass are confirmed on their full sets.
 
 Rows: null or empty texts and texts without words have no shingles and are linked with nothing. Rows
 without doc_id are never linked and always kept. Rows that share a doc_id but not a text are separate
@@ -29,11 +30,16 @@ from .scratch import cut
 SHINGLE, BANDS, ROWS, PERCENT = 5, 25, 5, 85
 #: What drop_near_copies takes; buckets find 0.8 with a miss in 20,000 pairs.
 DROP_PERCENT = 80
-#: Signature values that must agree of BANDS * ROWS. At 85 percent, 106 of 125 do on average with a
-#: standard deviation of 4: 80 is six and a half of them below; at 80 percent it is four and a half.
-AGREE = 80
-#: Classes of one block of a tile.
-TILE = 256
+#: Classes of one block of a tile, and the smallest shingle hashes of each that a tile sees: sets of up to BOTTOM are whole.
+TILE, BOTTOM = 256, 512
+
+
+def least_agreeing(n: int, percent: int) -> int:
+    """Of n values that agree with probability percent, the number below which 3 in a million fall (4.5 standard deviations)."""
+    p = percent / 100
+    return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
+
+
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -109,34 +115,39 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose signatures and sizes let them be linked."""
+    least = least_agreeing(BANDS * ROWS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
                 continue
             one, two = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(x.num_rows, -1) for c in (2, 3))
-            yield x.select(["a", "b"]).filter(pa.array((one == two).sum(1) >= AGREE))
+            yield x.select(["a", "b"]).filter(pa.array((one == two).sum(1) >= least))
 
     of = lambda c: classes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are linked, by intersecting their full sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(classes.select("node", "first_doc", "digest"), "node")
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
+    """node and shingles of the classes in nodes: their sorted hashes, the `most` smallest."""
+    wanted = nodes.join(classes.select("node", "first_doc", "digest"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             digests, at = x.column(2).to_pylist(), 0
             for sets in _shingle_sets(x.column(1), SHINGLE):
                 hit = [k for k, s in enumerate(sets) if _digest(s) == digests[at + k]]
-                yield pa.record_batch([x.column(0).take(pa.array([at + k for k in hit], pa.int64())), pa.array([sets[k].view(np.int64) for k in hit], pa.list_(pa.int64()))], names=["node", "shingles"])
+                yield pa.record_batch([x.column(0).take(pa.array([at + k for k in hit], pa.int64())), pa.array([sets[k][:most].view(np.int64) for k in hit], pa.list_(pa.int64()))], names=["node", "shingles"])
                 at += len(sets)
 
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("first_doc")).select("node", "text", "digest")
-    sets = cut(found.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    return cut(found.mapInArrow(run, "node long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked, by intersecting their full sets."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs)
     of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     linked = F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent
@@ -171,33 +182,56 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _tiled(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs a, b from buckets that still hold several components: members of different components whose
-    signatures agree, compared within tiles of TILE by TILE classes. A bucket's smallest class has met all others."""
+def _tiled(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """a, b, sure from buckets that still hold several components: members of different components are compared
+    within tiles of TILE by TILE classes, each pair in its first common bucket. Where both sets are whole, links are
+    sure and a tile gives only those that join its components, so it never has more rows than members; pairs with
+    larger sets are given where their smallest hashes let them be linked. A bucket's smallest class has met all others."""
     known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "key")
-    open_ = cut(known.filter("size > 2 and node != pivot"), "members").join(cut(mixed, "mixed"), ["band", "key"])
-    rows = open_.join(classes.select("node", "sig", "n_shingles"), "node")
+    open_ = cut(cut(known.filter("size > 2 and node != pivot"), "members").join(cut(mixed, "mixed"), ["band", "key"]), "open")
+    bottoms = _sets(open_.select("node").distinct(), classes, docs, BOTTOM)
+    traits = classes.select("node", "sig", "keys", "n_shingles").join(bottoms, "node")
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sig")
+    rows = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(cut(traits, "traits"), "node")
+    rows = rows.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sig", "keys", "n_shingles", "shingles")
+    least, least_bottom = least_agreeing(BANDS * ROWS, percent), least_agreeing(BOTTOM, percent)
 
     def run(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
-        node, root, mine = (table[c].to_numpy() for c in ("node", "root", "mine"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        node, root, mine, size = (table[c].to_numpy() for c in ("node", "root", "mine", "n_shingles"))
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, BANDS)
+        lists = table["shingles"].combine_chunks()
+        sets = [lists[k].values.to_numpy().view(np.uint64) for k in range(table.num_rows)]
+        i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [], []
+        label = root.copy()
+        out = []
         for x in left:
-            y = right[root[right] != root[x]]
+            y = right[label[right] != label[x]]
             y = y[node[y] > node[x]] if i == j else y
-            y = y[(sig[y] == sig[x]).sum(1) >= AGREE]
-            a.append(np.minimum(node[x], node[y]))
-            b.append(np.maximum(node[x], node[y]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    return rows.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            y = y[~(keys[y, :band] == keys[x, :band]).any(1)]
+            y = y[(sig[y] == sig[x]).sum(1) >= least]
+            whole = y[size[y] <= BOTTOM] if size[x] <= BOTTOM else y[:0]
+            if len(whole):
+                each = [len(sets[k]) for k in whole]
+                place = np.searchsorted(sets[x], flat := np.concatenate([sets[k] for k in whole]))
+                hit = sets[x][np.minimum(place, len(sets[x]) - 1)] == flat
+                common = np.add.reduceat(hit, np.cumsum([0, *each[:-1]]), dtype=np.int64)
+                for k in whole[100 * common >= percent * (size[x] + size[whole] - common)]:
+                    if label[k] != label[x]:
+                        out.append((node[x], node[k], True))
+                        label[label == label[k]] = label[x]
+            for k in np.setdiff1d(y, whole):
+                both = np.union1d(sets[x], sets[k])[:BOTTOM]
+                if np.isin(np.intersect1d(sets[x], sets[k]), both).sum() >= least_bottom * len(both) / BOTTOM:
+                    out.append((node[x], node[k], False))
+        a, b, sure = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64)), "b": pa.array(np.maximum(a, b).astype(np.int64)), "sure": pa.array(sure, pa.bool_())})
+
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -211,16 +245,29 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = buckets.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = cut(buckets.join(cut(shared, "shared"), ["band", "key"]), "members")
 
-    first = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut(_agreeing(cut(first, "pairs"), classes, percent), "agreeing")
-    edges = cut(_confirmed(first, classes, docs, percent), "linked")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(_confirmed(cut(_agreeing(pairs, classes, percent), "agreeing"), classes, docs, percent), "linked")
+
+    # each class meets one pivot, the smallest of its buckets; then those of its other pivots that aren't in its
+    # component yet; then, in buckets that still hold several components, the members of different ones
+    nearest = cut(members.groupBy("node").agg(F.min("pivot").alias("pivot")).filter("node != pivot"), "nearest")
+    edges = linked(nearest.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     roots = cut(connected_components(edges), "roots")
-    second = cut(_tiled(members, classes, roots), "tiled")
-    second = second.filter("a is not null")
-    if not second.isEmpty():
-        more = cut(_confirmed(second, classes, docs, percent), "linked")
+    met = members.filter("node != pivot").select("node", "pivot").distinct().join(nearest, ["node", "pivot"], "left_anti")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = met.join(of("node"), "node", "left").join(of("pivot"), "pivot", "left")
+    apart = apart.filter(F.coalesce("node_root", "node") != F.coalesce("pivot_root", "pivot"))
+    def joined(more: DataFrame) -> None:
+        nonlocal edges, roots
         if not more.isEmpty():
-            roots = cut(connected_components(edges.union(more)), "roots")
+            edges = edges.union(more)
+            roots = cut(connected_components(edges), "roots")
+
+    joined(linked(cut(apart.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "pairs")))
+    found = cut(_tiled(members, classes, roots, docs, percent), "tiled")
+    maybe = found.filter("not sure").select("a", "b")
+    more = found.filter("sure").select("a", "b")
+    joined(more if maybe.isEmpty() else more.union(linked(maybe)))
 
     of_class = cut(classes.select("digest", "node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
     lowest = cut(of_class.groupBy("root").agg(F.min("first_doc").alias("component_id")), "lowest")
