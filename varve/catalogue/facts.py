@@ -86,3 +86,14 @@ LEFT JOIN (SELECT store_id, title, concat('img', CAST(min(product_id) AS STRING)
 def ing_reconcile(spark, d):
     rows = products(spark, d).withColumn("image_url", F.when(F.col("product_id") % 4 != 0, F.concat(F.lit("img"), F.col("product_id").cast("string"))))
     return ingest.reconcile(rows).select("product_id", "image_url", "model_key")
+
+
+@query(""", own AS (SELECT product_id, lower(brand) AS b, lower(regexp_replace(upper(model), '[^A-Z0-9]', '', 'g')) AS k FROM products),
+sites AS (SELECT DISTINCT lower(p_brand) AS b, lower(concat('XX', replace(p_name, ' ', ''), CAST(p_size AS STRING), 'CA')) AS u, concat('/p/', lower(p_brand), '/', replace(p_name, ' ', ''), CAST(p_size AS STRING)) AS url FROM part)
+SELECT product_id, url FROM own JOIN sites USING (b) WHERE length(k) >= 4 AND contains(u, k) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY length(u), url) = 1""")
+def join_contained_keys(spark, d):
+    """The shortest address of a product's brand that contains its model key: lengths stand for addresses' own."""
+    part = table(spark, d, "part")
+    bare = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_size").cast("string"))
+    sites = part.select(F.col("p_brand").alias("brand"), F.concat(F.lit("XX"), bare, F.lit("CA")).alias("url_key"), F.concat(F.lit("/p/"), F.lower("p_brand"), F.lit("/"), bare).alias("url")).distinct()
+    return fusion.locate_by_key(sites, products(spark, d))

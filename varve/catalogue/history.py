@@ -115,3 +115,19 @@ SELECT product_id, variant_key IS NULL OR n = 1 AS is_variant_lead FROM ranked""
 def win_leader_election(spark, d):
     rows = scored(spark, d).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5))
     return scoring.elect_leaders(rows).select("product_id", "is_variant_lead")
+
+
+@query("""SELECT CAST(user_id AS STRING) AS key, ts AS observed_at, value AS price FROM (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE n = 1 OR abs(value - before) >= 0.005""")
+def str_changes_with_state(spark, d):
+    """The file source, one state per key and a Parquet sink, until what is there is read."""
+    import uuid
+
+    from varve.staging import folder
+    from varve.streaming import cdc
+
+    out = f"{folder(spark)}/changes-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    rows = stream.select(F.col("user_id").alias("key"), F.col("ts").alias("observed_at"), F.col("value").alias("price"), F.lit(None).cast("double").alias("list_price"), F.lit(None).cast("boolean").alias("in_stock"))
+    writer = cdc.changes(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(cdc.OUT).parquet(f"{out}/rows").select("key", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "price")

@@ -124,3 +124,24 @@ def txt_suggest(spark, d):
 def txt_document_frequencies(spark, d):
     docs = table(spark, d, "documents")
     return textsearch.postings(docs, "doc_id", ["text"]).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+
+
+@query()
+def agg_brand_candidates(spark, d):
+    from varve.sources.landed import brand_candidates
+
+    return brand_candidates(table(spark, d, "documents"), "text")
+
+
+@query("""SELECT product_id, CASE WHEN title LIKE '%refurb%' THEN 'refurbished' WHEN lower(title) LIKE '%open box%' THEN 'open-box' ELSE 'new' END AS condition FROM products""")
+def scl_condition(spark, d):
+    return products(spark, d).select("product_id", prices.condition_of(F.col("title")).alias("condition"))
+
+
+@query(""", n AS (SELECT product_id, price, list_price FROM products)
+SELECT product_id, CASE WHEN price < 1000 THEN '' ELSE CAST(floor(price / 1000) AS BIGINT)::VARCHAR || chr(160) END || CASE WHEN price < 1000 THEN (CAST(floor(price * 100 + 0.5) AS BIGINT) // 100)::VARCHAR ELSE lpad(((CAST(floor(price * 100 + 0.5) AS BIGINT) // 100) % 1000)::VARCHAR, 3, '0') END
+|| ',' || lpad((CAST(floor(price * 100 + 0.5) AS BIGINT) % 100)::VARCHAR, 2, '0') || chr(160) || '$' AS shown FROM n""")
+def scl_money(spark, d):
+    from varve.functions import display
+
+    return products(spark, d).select("product_id", display.money(F.col("price")).alias("shown"))
