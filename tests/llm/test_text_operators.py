@@ -302,3 +302,15 @@ def test_licences_are_found_by_cosine_and_inherited_from_the_nearest_directory(s
     want = brute_cosine("// Permission is hereby granted, free of charge, under the MIT License.", licenses.TEMPLATES["MIT"], df, len(rows))
     assert got[6].cosine == pytest.approx(want, abs=1e-6)
     assert licenses.scan(files(spark, [])).collect() == []
+
+
+def licence_df(texts):
+    return Counter(t for text in texts for t in {x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x})
+
+
+def test_licence_terms_are_weighted_by_the_texts_that_have_them(spark):
+    line = "Please note that this work is licensed under the GNU General Public License, version 3."
+    texts = [line] * 20 + ["please note that it rains"] * 180 + ["note\nnote that"] * 100
+    got = licenses.scan(files(spark, [(k, f"a/{k}", t) for k, t in enumerate(texts)])).collect()
+    want = brute_cosine(line, licenses.TEMPLATES["GPL-3.0"], licence_df(texts), len(texts))
+    assert {r.doc_id for r in got} == set(range(20)) and all(r.cosine == pytest.approx(want, abs=1e-6) for r in got)

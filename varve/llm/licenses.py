@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of text lines to templates, and inheritance from the nearest directory.
 
 Everything is DataFrame operations. Each line of a text is compared: its terms are weighted by term frequency and
-inverse document frequency (files with the term in a line that speaks of rights, of all files); lines that share fewer than two terms with every template can't reach the
+inverse document frequency (texts with the term, of all texts, for every term); lines that share fewer than two terms with every template can't reach the
 threshold and are left out early. A file's licence is that of its best line. A file without one takes the licence of
 the nearest directory above it that has a licence file, by joining the paths of all directories above it.
 
@@ -56,14 +56,14 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, id_col: str
     lines = lines.withColumn("terms", terms(F.col("line"))).filter(F.size(F.array_intersect("terms", known)) >= 2)
     lines = cut(lines.select("id", "path", "terms").withColumn("line_id", F.monotonically_increasing_id()), "lines")
     n = texts.count()
-    seen = lines.select("id", F.explode(F.array_distinct(F.array_intersect("terms", known))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = F.log(F.lit(n + 1.0)) + 1
+    seen = cut(texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     idf = spark.range(1).select(F.explode(known).alias("term")).join(seen, "term", "left").select("term", (F.log((n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
     weights = wanted.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weights.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     weights = F.broadcast(weights.join(norms, "license").select("license", "term", (F.col("w") / F.col("t_norm")).alias("t_w")))
     per = lines.select("line_id", F.explode("terms").alias("term")).groupBy("line_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    per = per.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
+    few = cut(per.select("term").distinct().join(seen, "term").select("term", (F.log((n + 1.0) / (F.col("df") + 1)) + 1).alias("idf")), "few")
+    per = per.join(few, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = per.groupBy("line_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = per.join(weights, "term").groupBy("line_id", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     best = dots.join(norm, "line_id").withColumn("cosine", F.floor(F.col("dot") / F.col("norm") * 1e9 + 0.5) / 1e9).filter(F.col("cosine") >= least)
