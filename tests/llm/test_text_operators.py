@@ -308,9 +308,37 @@ def licence_df(texts):
     return Counter(t for text in texts for t in {x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x})
 
 
+def test_licence_headers_without_keywords_and_wrapped_ones_are_found(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification,"
+    wrapped = "x = 1\n\n// This work\n// is licensed under\n// the GNU General\n// Public\n// License, version\n// 3.\n//\ncode follows here and runs"
+    texts = [f"some code\n{bsd}\nare permitted provided that the conditions are met", wrapped, "This work is\nlicensed under the\nGNU General Public\nLicense, version 3.", "plain words"]
+    got = {r.doc_id: r for r in licenses.scan(files(spark, [(k, f"a/{k}", t) for k, t in enumerate(texts)])).collect()}
+    assert {k: r.license for k, r in got.items()} == {0: "BSD-3-Clause", 1: "GPL-3.0", 2: "GPL-3.0"}
+    df = licence_df(texts)
+    blocks = [b for b in (texts[0], *texts[0].split("\n"))]
+    assert got[0].cosine == pytest.approx(max(brute_cosine(b, licenses.TEMPLATES["BSD-3-Clause"], df, len(texts)) for b in blocks), abs=1e-6)
+    own = licenses.scan(files(spark, [(0, "a/0", "You may share this freely")]), {"own": "You may share this freely"}).collect()
+    assert [r.license for r in own] == ["own"]
+
+
 def test_licence_terms_are_weighted_by_the_texts_that_have_them(spark):
     line = "Please note that this work is licensed under the GNU General Public License, version 3."
     texts = [line] * 20 + ["please note that it rains"] * 180 + ["note\nnote that"] * 100
     got = licenses.scan(files(spark, [(k, f"a/{k}", t) for k, t in enumerate(texts)])).collect()
     want = brute_cosine(line, licenses.TEMPLATES["GPL-3.0"], licence_df(texts), len(texts))
     assert {r.doc_id for r in got} == set(range(20)) and all(r.cosine == pytest.approx(want, abs=1e-6) for r in got)
+
+
+def test_licence_scan_equals_comparing_everything(spark):
+    rng = random.Random(4)
+    words = [w for t in licenses.TEMPLATES.values() for w in re.findall(r"\w+", t)] + ["code", "rain", "x1", "sun"] * 12
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 7))) if rng.random() < 0.8 else rng.choice(list(licenses.TEMPLATES.values())) for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    df = licence_df(texts)
+    want = {}
+    for k, t in enumerate(texts):
+        units = [u for u in (*t.split("\n"), *re.split(r"\n[\W_]*\n", t), t) if re.search(r"\w", u)]
+        c, name = min(((-round(brute_cosine(u, v, df, len(texts)), 9), name) for u in units for name, v in licenses.TEMPLATES.items()), default=(0, ""))
+        if -c >= 0.6:
+            want[k] = (name, pytest.approx(-c, abs=1e-6))
+    assert 20 < len(want) < 150
+    assert {r.doc_id: (r.license, r.cosine) for r in licenses.scan(files(spark, [(k, f"a/{k}", t) for k, t in enumerate(texts)])).collect()} == want

@@ -1,8 +1,10 @@
 """Licence scan: sparse TF-IDF cosine of text lines to templates, and inheritance from the nearest directory.
 
-Everything is DataFrame operations. Each line of a text is compared: its terms are weighted by term frequency and
-inverse document frequency (texts with the term, of all texts, for every term); lines that share fewer than two terms with every template can't reach the
-threshold and are left out early. A file's licence is that of its best line. A file without one takes the licence of
+Everything is DataFrame operations. Each line of a text is compared, each block (lines between lines without a term)
+and the whole text: terms are weighted by term frequency and inverse document frequency (texts with the term, of all
+texts, for every term). What can't reach the threshold by the templates' term weights is left out early; this loses
+nothing. A file's licence is that of its best line, block or whole. A notice that is wrapped over lines is not found
+if other text follows or precedes it without a line between and outweighs it. A file without a licence takes that of
 the nearest directory above it that has a licence file, by joining the paths of all directories above it.
 
 Rows: null or empty texts have no licence of their own but inherit. A null path has no directory and inherits
@@ -44,28 +46,49 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.select("license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def units() -> Column:
+    """What of a text is compared: each line, each block (lines between lines without a term) and the whole text."""
+    return F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[^\\p{L}\\p{N}]*\n"), F.array("text")))
+
+
+def _may_reach(known: list, least: float) -> Column:
+    """False only where no template's cosine can reach least. The product with a template is at most the sum of each
+    known term's idf times its largest weight in any template; the squared norm is at least that of the known terms
+    plus one for each other term, as no idf is below 1."""
+    if not known:
+        return F.lit(False)
+    words = F.array(*(F.lit(r["term"]) for r in known))
+    of = F.map_from_arrays(words, F.array(*(F.struct(F.lit(r["gain"]).alias("gain"), F.lit(r["square"]).alias("square")) for r in known)))
+    kind = "struct<last:string,odd:double,n:double,gain:double,square:double>"
+    start = F.struct(F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).cast(kind)
+
+    def add(s: Column, t: Column) -> Column:  # a term's squares grow by 1, 3, 5, ... times that of its idf
+        odd = F.when(t == s["last"], s["odd"] + 2).otherwise(1.0)
+        return F.struct(t.alias("last"), odd.alias("odd"), (s["n"] + 1).alias("n"), (s["gain"] + of[t]["gain"]).alias("gain"), (s["square"] + odd * of[t]["square"]).alias("square")).cast(kind)
+
+    met = F.sort_array(F.filter("terms", lambda t: t.isin([r["term"] for r in known])))
+    return F.aggregate(met, start, add, lambda s: (s["n"] > 0) & (s["gain"] >= (least - 1e-6) * F.sqrt(s["square"] + F.size("terms") - s["n"])))
+
+
 def scan(files: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", least: float = LEAST_COSINE) -> DataFrame:
-    """id, path, license and cosine of each file of which a line matches a template. files: id, path, text."""
+    """id, path, license and cosine of each file of which a line, a block or the whole matches a template. files: id, path, text."""
     spark, templates = files.sparkSession, templates or TEMPLATES
     wanted = _templates(spark, templates)
-    vocabulary = sorted({r[0] for r in wanted.select("term").distinct().collect()})  # bounded by the templates
-    known = F.array(*map(F.lit, vocabulary))
     texts = files.select(F.col(id_col).alias("id"), "path", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # one pass: only lines with two known terms leave a text, and a row for each text's known terms
-    lines = texts.select("id", "path", F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen|permi|rights|public|subject|domain|spdx"))).alias("line"))
-    lines = lines.withColumn("terms", terms(F.col("line"))).filter(F.size(F.array_intersect("terms", known)) >= 2)
-    lines = cut(lines.select("id", "path", "terms").withColumn("line_id", F.monotonically_increasing_id()), "lines")
     n = texts.count()
     seen = cut(texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
-    idf = spark.range(1).select(F.explode(known).alias("term")).join(seen, "term", "left").select("term", (F.log((n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
-    weights = wanted.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    idf = F.log((n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    weights = wanted.join(seen.join(F.broadcast(wanted.select("term").distinct()), "term"), "term", "left").withColumn("idf", idf).withColumn("w", F.col("tf") * F.col("idf"))
     norms = weights.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    weights = F.broadcast(weights.join(norms, "license").select("license", "term", (F.col("w") / F.col("t_norm")).alias("t_w")))
-    per = lines.select("line_id", F.explode("terms").alias("term")).groupBy("line_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    few = cut(per.select("term").distinct().join(seen, "term").select("term", (F.log((n + 1.0) / (F.col("df") + 1)) + 1).alias("idf")), "few")
+    weights = cut(weights.join(norms, "license").select("license", "term", "idf", (F.col("w") / F.col("t_norm")).alias("t_w")), "weights")
+    known = weights.groupBy("term").agg((F.max("t_w") * F.first("idf")).alias("gain"), F.first(F.col("idf") * F.col("idf")).alias("square")).collect()  # bounded by the templates
+    lines = texts.select("id", "path", F.explode(F.transform(units(), terms)).alias("terms")).filter(_may_reach(known, least))
+    lines = cut(lines.withColumn("line_id", F.monotonically_increasing_id()), "lines")
+    per = cut(lines.select("line_id", F.explode("terms").alias("term")).groupBy("line_id", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    few = cut(per.select("term").distinct().join(seen, "term").select("term", idf.alias("idf")), "few")
     per = per.join(few, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = per.groupBy("line_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = per.join(weights, "term").groupBy("line_id", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    dots = per.join(F.broadcast(weights.drop("idf")), "term").groupBy("line_id", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     best = dots.join(norm, "line_id").withColumn("cosine", F.floor(F.col("dot") / F.col("norm") * 1e9 + 0.5) / 1e9).filter(F.col("cosine") >= least)
     best = best.groupBy("line_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     hits = lines.select("line_id", "id", "path").join(best, "line_id")
