@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -106,6 +107,21 @@ def test_stream_of_changes_keeps_state_between_batches(spark, tmp_path):
     assert [(r.key, r.price, r.in_stock) for r in got] == [("a", 10.0, True), ("a", 9.0, True), ("b", 5.0, None), ("b", 5.0, False)]
 
 
+def test_stream_of_changes_keeps_all_changes_of_a_key_with_many_rows(spark, tmp_path):
+    """More rows than Spark hands over at once, in no order of time."""
+    rng = random.Random(8)
+    n = 25_000
+    prices = [float(rng.randrange(3)) for _ in range(n)]
+    rows = [("hot", T0 + timedelta(minutes=k), p, None, True) for k, p in enumerate(prices)] + [("cold", T0, 1.0, None, None)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, cdc.OUT).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(cdc.OUT).parquet(str(tmp_path / "in"))
+    query = cdc.changes(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = sorted((r.observed_at, r.price) for r in spark.read.parquet(str(tmp_path / "out")).filter("key = 'hot'").collect())
+    assert got == [(T0 + timedelta(minutes=k), p) for k, p in enumerate(prices) if k == 0 or p != prices[k - 1]]
+
+
 def test_streamed_upserts_are_versioned_and_replays_change_nothing(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -31,26 +31,27 @@ def _near(a, b) -> bool:
 
 
 def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A key's rows of a micro-batch come in several frames that aren't in order of time: all are sorted before any is compared."""
     last = state.get if state.exists else None
+    columns = ["observed_at", "price", "list_price", "in_stock"]
     rows = []
-    for frame in frames:
-        for at, price, list_price, stock in frame.sort_values(["observed_at", "price"])[["observed_at", "price", "list_price", "in_stock"]].itertuples(index=False):
-            now = (at, _none(price), _none(list_price), None if stock is None or stock != stock else bool(stock))
-            if last is not None and now[0] < last[0]:
-                continue  # older than what is known
-            if last is None or not _near(last[1], now[1]) or not _near(last[2], now[2]) or last[3] != now[3]:
-                rows.append((key[0], *now))
-                last = now
-            else:
-                last = (now[0], *last[1:])
+    for at, price, list_price, stock in pd.concat([f[columns] for f in frames]).sort_values(["observed_at", "price"]).itertuples(index=False):
+        now = (at, _none(price), _none(list_price), None if stock is None or stock != stock else bool(stock))
+        if last is not None and now[0] < last[0]:
+            continue  # older than what was known before this micro-batch
+        if last is None or not _near(last[1], now[1]) or not _near(last[2], now[2]) or last[3] != now[3]:
+            rows.append((key[0], *now))
+            last = now
+        else:
+            last = (now[0], *last[1:])
     if last is not None:
         state.update(last)
-    yield pd.DataFrame(rows, columns=["key", "observed_at", "price", "list_price", "in_stock"])
+    yield pd.DataFrame(rows, columns=["key", *columns])
 
 
 def changes(observations: DataFrame, key: str = "key") -> DataFrame:
-    """A stream (or a batch) of key, observed_at, price, list_price, in_stock as its changes only. Rows that come after
-    a later one of their key was seen are left out."""
+    """A stream (or a batch) of key, observed_at, price, list_price, in_stock as its changes only. Rows that are
+    older than one of their key in an earlier micro-batch are left out. A task holds one key's rows of a micro-batch at a time."""
     rows = observations.select(F.col(key).cast("string").alias("key"), F.col("observed_at").cast("timestamp").alias("observed_at"), "price", "list_price", "in_stock")
     return rows.groupBy("key").applyInPandasWithState(_changed, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
