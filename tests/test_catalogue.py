@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -41,3 +44,11 @@ def test_query_matches_its_sql(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert canonical(got) == canonical(want)
     assert len(got) or name in MAY_BE_EMPTY
+
+
+def test_whole_texts_of_all_languages_are_folded(spark, tmp_path):
+    texts = {1: ("fr", "É" + "a" * 500 + " Ça très"), 2: ("de", "x" * 450 + " Ärger ß Öl"), 3: ("es", "Niñez"), 4: ("fr", ""), 5: ("en", None)}
+    spark.createDataFrame([(k, t, lang) for k, (lang, t) in texts.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.folded for r in catalogue.queries()["scl_fold_whole_texts"](spark, str(tmp_path)).collect()}
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+    assert got == {k: None if t is None else hashlib.md5(re.sub("[^a-z0-9]+", "-", plain(t)).encode()).hexdigest() for k, (_, t) in texts.items()}

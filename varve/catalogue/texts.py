@@ -15,6 +15,12 @@ def scl_fold(spark, d):
     return table(spark, d, "documents").filter("lang = 'fr'").select("doc_id", F.md5(F.regexp_replace(text.fold(F.left("text", F.lit(400))), "[^a-z0-9]+", "-").cast("binary")).alias("folded"))
 
 
+@query(r"""SELECT doc_id, md5(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g')) AS folded FROM documents""")
+def scl_fold_whole_texts(spark, d):
+    """Every document of every language, to its end."""
+    return table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(text.fold(F.col("text")), "[^a-z0-9]+", "-").cast("binary")).alias("folded"))
+
+
 @query(r"""SELECT DISTINCT title, trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(upper(model), '[- .]', '', 'g') AS punctuation_key, regexp_replace(upper(model), '[^A-Z0-9]', '', 'g') AS strict_key FROM products""")
 def scl_slugs_and_model_keys(spark, d):
     return products(spark, d).select("title", text.slug(F.col("title")).alias("slug"), text.model_key(F.col("model")).alias("punctuation_key"), text.model_key(F.col("model"), "strict").alias("strict_key")).distinct()
