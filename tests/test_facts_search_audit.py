@@ -98,3 +98,21 @@ def test_breaker_doubles_its_pause(spark):
     runs = spark.createDataFrame([("a", "ok", at(9)), ("a", "failed", at(3)), ("a", "skipped", at(2)), ("a", "failed", at(1)), ("b", "failed", at(5)), ("b", "ok", at(1))] + [("c", "failed", at(k)) for k in range(1, 12)], "store_id string, status string, finished_at timestamp")
     got = {r.store_id: (r.consecutive_failures, r.paused_until) for r in audit.breaker(runs).collect()}
     assert got == {"a": (2, at(1) + timedelta(minutes=10)), "c": (11, at(1) + timedelta(minutes=360))}
+
+
+def test_root_categories_without_deals_are_told(spark):
+    tree = spark.createDataFrame([(r, None) for r in "abcdef"] + [("a1", "a"), ("c1", "c")], "slug string, parent_slug string")
+    found = lambda *used: [(r.subject, r.detail) for r in audit.empty_categories(tree, spark.createDataFrame([(c,) for c in used], "category string")).collect()]
+    assert found("a1", "a1", "b", "unknown") == [("c,d,e,f", 4.0)] and found("a1", "b", "c1") == []
+
+
+def test_empty_categories_are_audited_over_all_deals(spark, tmp_path):
+    from varve import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    part.filter("p_partkey > 2").write.parquet(str(tmp_path / "part.parquet"))  # none of the two products that were looked at
+    query = catalogue.queries()["aud_empty_categories"]
+    assert [(r.subject.count(","), r.detail) for r in query(spark, str(tmp_path)).collect()] == [(3, 4.0)]

@@ -143,6 +143,14 @@ def aud_empty_roots(spark, d):
     return tree.filter("parent_slug IS NULL").join(used, "slug", "left_anti").select("slug")
 
 
+@query("""SELECT 'empty_categories' AS "check", 'info' AS severity, string_agg(slug, ',' ORDER BY slug) AS subject, count(*)::DOUBLE AS detail FROM categories c WHERE parent_slug IS NULL
+AND NOT EXISTS (SELECT 1 FROM deals JOIN categories k ON k.slug = 'NATION_' || CAST(5 * (product_id % 5) AS STRING) WHERE coalesce(k.parent_slug, k.slug) = c.slug) HAVING count(*) > 3""")
+def aud_empty_categories(spark, d):
+    """All deals, dealt over every fifth nation, which leaves roots unused however many there are."""
+    placed = deals(spark, d).withColumn("category", F.concat(F.lit("NATION_"), (5 * (F.col("product_id") % 5)).cast("string")))
+    return audit.empty_categories(categories(spark, d), placed)
+
+
 @query("""SELECT store_id, scope, coalesce(laps, 0) AS laps, coalesce(next_page, 1) AS next_page FROM (SELECT s_suppkey AS store_id, s_nationkey AS scope FROM supplier) LEFT JOIN
 (SELECT l_suppkey AS store_id, s_nationkey AS scope, max(l_linenumber)::BIGINT AS next_page, count(*) // 100 AS laps FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 3 <> 0 GROUP BY 1, 2) USING (store_id, scope)""")
 def srt_collection_order(spark, d):
