@@ -116,3 +116,12 @@ def test_empty_categories_are_audited_over_all_deals(spark, tmp_path):
     part.filter("p_partkey > 2").write.parquet(str(tmp_path / "part.parquet"))  # none of the two products that were looked at
     query = catalogue.queries()["aud_empty_categories"]
     assert [(r.subject.count(","), r.detail) for r in query(spark, str(tmp_path)).collect()] == [(3, 4.0)]
+
+
+def test_home_sections_have_their_own_limits(spark):
+    from varve.plans import readmodel
+
+    rows = [(k, 50.0 + k, 0.9, 1.0, "new" if k < 40 else "open-box", True, True, True) for k in range(80)]
+    deals = spark.createDataFrame(rows, "product_id long, score double, confidence double, price double, condition string, is_active boolean, is_variant_lead boolean, is_lowest_ever boolean")
+    got = {r.section: r["count"] for r in readmodel.home_sections(deals).groupBy("section").count().collect()}
+    assert got == {"lowest": 10, "verified": 10, "used": 10, "best": 30}

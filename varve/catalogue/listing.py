@@ -107,6 +107,14 @@ def api_spec_facets(spark, d):
 SELECT 'lowest' AS section, * FROM deals WHERE is_lowest_ever AND score >= 20 AND condition = 'new' UNION ALL SELECT 'verified', * FROM deals WHERE confidence >= 0.5 AND score >= 30 AND condition = 'new'
 UNION ALL SELECT 'used', * FROM deals WHERE condition <> 'new' AND score >= 20 UNION ALL SELECT 'best', * FROM deals WHERE condition = 'new') WHERE is_active AND is_variant_lead) WHERE place <= 12""")
 def api_home_sections(spark, d):
+    return readmodel.home_sections(deals(spark, d), 12).select("section", "place", "product_id", "score")
+
+
+@query("""SELECT section, place, product_id, score FROM (SELECT section, product_id, score, row_number() OVER (PARTITION BY section ORDER BY score DESC, confidence DESC, product_id) AS place FROM (
+SELECT 'lowest' AS section, * FROM deals WHERE is_lowest_ever AND score >= 20 AND condition = 'new' UNION ALL SELECT 'verified', * FROM deals WHERE confidence >= 0.5 AND score >= 30 AND condition = 'new'
+UNION ALL SELECT 'used', * FROM deals WHERE condition <> 'new' AND score >= 20 UNION ALL SELECT 'best', * FROM deals WHERE condition = 'new') WHERE is_active AND is_variant_lead) WHERE place <= CASE section WHEN 'best' THEN 30 ELSE 10 END""")
+def api_home_page(spark, d):
+    """Each section with as many deals as the first page shows."""
     return readmodel.home_sections(deals(spark, d)).select("section", "place", "product_id", "score")
 
 

@@ -21,8 +21,13 @@ def count_deals(deals: DataFrame, f: DealFilters, categories: DataFrame | None =
     return filters.apply(deals, f, categories, specs).agg(F.count(F.lit(1)).alias("n"))
 
 
-def home_sections(deals: DataFrame, limit: int = 12) -> DataFrame:
-    """section and place of the deals on the first page, in one pass: lowest ever, verified, used and best ones."""
+#: How many deals each section of the first page shows.
+HOME_LIMITS = {"lowest": 10, "verified": 10, "used": 10, "best": 30}
+
+
+def home_sections(deals: DataFrame, limit: int | None = None) -> DataFrame:
+    """section and place of the deals on the first page, in one pass: lowest ever, verified, used and best ones. Each
+    section has its own limit of HOME_LIMITS unless limit is given for all."""
     live = deals.filter(F.col("is_active") & F.col("is_variant_lead"))
     sections = {
         "lowest": F.col("is_lowest_ever") & (F.col("score") >= 20) & (F.col("condition") == "new"),
@@ -33,7 +38,8 @@ def home_sections(deals: DataFrame, limit: int = 12) -> DataFrame:
     names = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in sections.items())))
     rows = live.select("product_id", "score", "confidence", "price", F.explode(names).alias("section"))
     place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), F.desc("confidence"), "product_id"))
-    return rows.withColumn("place", place).filter(F.col("place") <= limit)
+    most = F.lit(limit) if limit is not None else F.coalesce(*(F.when(F.col("section") == k, n) for k, n in HOME_LIMITS.items()))
+    return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
 def similar(deals: DataFrame, category: str, product_id: int, limit: int = 10) -> DataFrame:
