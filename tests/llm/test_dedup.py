@@ -5,12 +5,13 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 from varve.llm import exact_dedup, near_dedup, suffix_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-CLASH = "digest string, node long, rid long, sig int, kept boolean, start int, places string, first_doc_id long"
+CLASH = "digest string, node long, rid long, sig int, kept boolean, start int, places string, first_doc_id long, spans int, doc int, id int, hash int, sha int, `left` int, keep_id int, __spans int, __digest int, `a.b` int"
 
 
 def vocabulary(rng, n=400):
@@ -81,11 +82,12 @@ def test_near_components_match_brute_force(spark):
     assert sorted(map(tuple, got)) == brute_components(rows)
 
 
-@pytest.mark.parametrize("bottom", [512, 64])
-def test_near_components_are_found_across_a_mixed_bucket(spark, monkeypatch, bottom):
+@pytest.mark.parametrize(("bottom", "split"), [(512, 1024), (64, 1024), (512, 3)])
+def test_near_components_are_found_across_a_mixed_bucket(spark, monkeypatch, bottom, split):
     """Classes that only link to each other, not to their bucket's smallest, are still compared, in several tiles;
-    with whole sets, and with the smallest hashes of sets that are too large."""
+    with whole sets, with the smallest hashes of sets that are too large, and split by rare shingles."""
     monkeypatch.setattr(near_dedup, "TILE", 4)
+    monkeypatch.setattr(near_dedup, "SPLIT", split)
     monkeypatch.setattr(near_dedup, "BOTTOM", bottom)
     rng = random.Random(9)
     words = vocabulary(rng, 3000)
@@ -125,6 +127,30 @@ def test_drop_near_copies_keeps_one_of_each(spark):
     assert sorted(r.doc_id for r in out.collect()) == [d for d, _, _, kept in brute_components(rows, 80) if kept]
 
 
+def test_drop_near_copies_goes_by_rows_that_share_an_id(spark):
+    w, u = "a b c d e f g h", "i j k l m n o p"
+    docs = frame(spark, [(1, w), (5, w), (5, u), (None, w), (None, u), (6, None), (6, "")])
+    left = sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_copies(docs).collect()), key=repr)
+    assert left == sorted([(1, w), (5, u), (None, w), (None, u), (6, None), (6, "")], key=repr)
+
+
+def test_rare_shingles_bring_all_linked_pairs_together_and_no_others_by_what_all_have(spark):
+    rng = random.Random(4)
+    common = ["c%d" % k for k in range(60)]
+    rows = []
+    for k in range(60):  # pairs of near copies around a common half
+        own = ["x%d" % rng.randrange(10**6) for _ in range(60)]
+        rows += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + own[:-1] + ["y%d" % k]))]
+    docs = frame(spark, rows)
+    sketched = near_dedup.sketches(docs)
+    classes = sketched.selectExpr("doc_id as node", "doc_id as first_doc", "digest")
+    large = classes.selectExpr("0 as band", "cast(7 as long) as key", "node", "node as root")
+    met = defaultdict(set)
+    for r in near_dedup._rare_shingles(large, classes, docs, 85).collect():
+        met[r.part].add(r.node)
+    assert all(any({2 * k, 2 * k + 1} <= m for m in met.values()) for k in range(60)) and max(map(len, met.values())) == 2
+
+
 def test_exact_against_brute_force(spark):
     rows = corpus(5)
     groups = defaultdict(list)
@@ -154,6 +180,36 @@ def test_index_lasts_and_takes_each_text_once(spark, tmp_path):
     assert {(r.doc_id, r.keep_id) for r in again.resolve(batch).collect()} == {(9, 3), (10, 11), (11, 11)}
 
 
+def test_index_keeps_its_buckets_whatever_the_session_says(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    texts = [(k, f"t{k}") for k in range(500)]
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        index = exact_dedup.DigestIndex(spark, path)
+        index.append(exact_dedup.digests(frame(spark, texts)))
+        index.forget()  # as in another session, whose catalogue doesn't have it
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = exact_dedup.DigestIndex(spark, path)
+        batch = exact_dedup.digests(frame(spark, texts + [(1000, "new")]))
+        assert again.buckets == 3 and [r.keep_id for r in again.new_entries(batch).collect()] == [1000]
+        again.append(batch)
+        small = again.compacted(f"file://{tmp_path}/compact")
+        assert small.entries().count() == again.entries().count() == 501
+        files = lambda d: sum(1 for f in (tmp_path / d).glob("part-*") if pq.read_metadata(f).num_rows)
+        assert files("compact") == 3 < files("index")
+        assert small.new_entries(batch).isEmpty()
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, buckets=7)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_batch_is_grouped_before_it_is_shuffled(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    new = index.new_entries(exact_dedup.digests(frame(spark, [(k, "same") for k in range(50)])))
+    assert "Aggregate" not in new._jdf.queryExecution().optimizedPlan().toString() and new.count() == 1
+
+
 def test_drop_copies_with_repeated_rows_and_nulls(spark):
     docs = frame(spark, [(1, "a"), (2, "a"), (2, "a"), (3, None), (None, "b"), (None, "b"), (4, "")])
     out = exact_dedup.drop_copies(docs)

@@ -75,6 +75,14 @@ def test_quality_matches_brute_force(spark):
     assert quality.assess(docs(spark, [])).collect() == []
 
 
+def test_drop_poor_judges_each_row_by_its_own_text(spark):
+    clean = " ".join("w%d" % (k * k % 4999) for k in range(200))
+    rows = [(1, clean), (1, "short"), (None, clean), (None, None), (2, clean), (2, clean)]
+    out = quality.drop_poor(docs(spark, rows))
+    assert out.columns == docs(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, clean), (None, clean), (2, clean), (2, clean)], key=repr)
+
+
 def test_quality_keeps_plain_text_and_drops_repetition(spark):
     rng = random.Random(5)
     clean = " ".join("w%d" % rng.randrange(5000) for _ in range(400))

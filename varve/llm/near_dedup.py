@@ -7,7 +7,8 @@ pairs. In each bucket (band, key) the classes are compared with the bucket's sma
 each class with the smallest of its pivots, then with those that aren't in its component yet. Buckets
 whose members are then in one component are done; in the others the members of different components
 are compared in tiles of bounded size, and a tile gives no more links than it has members, unless sets
-are too large for it. Pairs that pass are confirmed on their full sets.
+are too large for it. Very large buckets are split by shingles that are rare in them first. Pairs that pass are
+confirmed on their full sets.
 
 Rows: null or empty texts and texts without words have no shingles and are linked with nothing. Rows
 without doc_id are never linked and always kept. Rows that share a doc_id but not a text are separate
@@ -32,6 +33,8 @@ SHINGLE, BANDS, ROWS, PERCENT = 5, 25, 5, 85
 DROP_PERCENT = 80
 #: Classes of one block of a tile, and the smallest shingle hashes of each that a tile sees: sets of up to BOTTOM are whole.
 TILE, BOTTOM = 256, 512
+#: A bucket of more classes is split by its members' rare shingles before it is tiled.
+SPLIT = 1024
 
 
 def least_agreeing(n: int, percent: int) -> int:
@@ -90,12 +93,14 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and signature (16 bits of each minimum) of each row."""
+    """doc_id, sha (hash of the text), n_shingles, digest of the set, band keys and signature (16 bits of each minimum)
+    of each row."""
 
+    @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for sets in _shingle_sets(batch.column(1), SHINGLE):
+            for sets in _shingle_sets(batch.column(2), SHINGLE):
                 full = [k for k, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 sigs: list = [None] * len(sets)
@@ -104,19 +109,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                     for k, row, short in zip(full, _band_keys(sig).view(np.int64), (sig & 0xFFFF).astype(np.uint16)):
                         keys[k], sigs[k] = row, short.tobytes()
                 yield pa.record_batch(
-                    [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "keys", "sig"],
+                    [*(batch.column(c).slice(at, len(sets)) for c in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "sha", "n_shingles", "digest", "keys", "sig"],
                 )
                 at += len(sets)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>, sig binary")
+    return docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, sha long, n_shingles long, digest binary, keys array<long>, sig binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose signatures and sizes let them be linked."""
     least = least_agreeing(BANDS * ROWS, percent)
 
+    @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
@@ -133,6 +139,7 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, most: int | Non
     """node and shingles of the classes in nodes: their sorted hashes, the `most` smallest."""
     wanted = nodes.join(classes.select("node", "first_doc", "digest"), "node")
 
+    @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             digests, at = x.column(2).to_pylist(), 0
@@ -182,20 +189,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _rare_shingles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """band, key, node, root, part: the members of each bucket by the shingles that are rare in it. Of two linked sets,
+    each in the order of rising frequency in the bucket, the first size - ceil(size * percent / 100) + 1 shingles share
+    one, so that no link is lost, and what many members have in common brings no two of them together."""
+    of = ["band", "key"]
+    held = large.select(*of, "node", "root").join(_sets(large.select("node").distinct(), classes, docs), "node")
+    held = cut(held.select(*of, "node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("part")), "elements")
+    often = cut(held.groupBy(*of, "part").agg(F.count(F.lit(1)).alias("often")), "often")
+    ranked = held.join(often, [*of, "part"]).groupBy(*of, "node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("often", "part"))).alias("by"))
+    first = F.slice("by", 1, (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
+    return ranked.select(*of, "node", "root", F.explode(first).alias("x")).filter("x.often > 1").select(*of, "node", "root", F.col("x.part").alias("part"))
+
+
 def _tiled(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """a, b, sure from buckets that still hold several components: members of different components are compared
     within tiles of TILE by TILE classes, each pair in its first common bucket. Where both sets are whole, links are
     sure and a tile gives only those that join its components, so it never has more rows than members; pairs with
-    larger sets are given where their smallest hashes let them be linked. A bucket's smallest class has met all others."""
+    larger sets are given where their smallest hashes let them be linked (3 in a million linked pairs fall short). A
+    bucket's smallest class has met all others. Buckets of more than SPLIT are split by rare shingles first."""
     known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "key")
     open_ = cut(cut(known.filter("size > 2 and node != pivot"), "members").join(cut(mixed, "mixed"), ["band", "key"]), "open")
-    bottoms = _sets(open_.select("node").distinct(), classes, docs, BOTTOM)
+    rows = open_.filter(F.col("size") <= SPLIT).select("band", "key", F.lit(0).cast("long").alias("part"), "node", "root", "size")
+    large = open_.filter(F.col("size") > SPLIT)
+    if not large.isEmpty():
+        rare = cut(_rare_shingles(large, classes, docs, percent), "rare")
+        several = rare.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        rows = cut(rows.union(rare.join(cut(several, "several"), ["band", "key", "part"]).select(*rows.columns)), "open")
+    bottoms = _sets(rows.select("node").distinct(), classes, docs, BOTTOM)
     traits = classes.select("node", "sig", "keys", "n_shingles").join(bottoms, "node")
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    rows = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(cut(traits, "traits"), "node")
-    rows = rows.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sig", "keys", "n_shingles", "shingles")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(cut(traits, "traits"), "node")
+    rows = rows.select("band", "key", "part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sig", "keys", "n_shingles", "shingles")
     least, least_bottom = least_agreeing(BANDS * ROWS, percent), least_agreeing(BOTTOM, percent)
 
     def run(table: pa.Table) -> pa.Table:
@@ -231,12 +258,16 @@ def _tiled(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataF
         a, b, sure = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64)), "b": pa.array(np.maximum(a, b).astype(np.int64)), "sure": pa.array(sure, pa.bool_())})
 
-    return rows.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long, sure boolean").distinct()
+    return rows.groupBy("band", "key", "part", "i", "j").applyInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of its component)
     and kept (doc_id is component_id, or there is no doc_id)."""
+    return _labelled(docs, percent).drop("sha")
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     rows = cut(sketches(docs).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     able = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = able.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_doc"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig"))
@@ -257,6 +288,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     apart = met.join(of("node"), "node", "left").join(of("pivot"), "pivot", "left")
     apart = apart.filter(F.coalesce("node_root", "node") != F.coalesce("pivot_root", "pivot"))
+
     def joined(more: DataFrame) -> None:
         nonlocal edges, roots
         if not more.isEmpty():
@@ -272,13 +304,15 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of_class = cut(classes.select("digest", "node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
     lowest = cut(of_class.groupBy("root").agg(F.min("first_doc").alias("component_id")), "lowest")
     of_class = cut(of_class.join(lowest, "root").select("digest", "component_id"), "components")
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    out = rows.select("doc_id", "sha", "n_shingles", "digest").join(of_class, "digest", "left")
     alone = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
-    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", "sha", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = DROP_PERCENT) -> DataFrame:
-    """docs without those whose component has a smaller doc_id, in docs' columns."""
-    gone = cut(components(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without those whose component has a smaller doc_id, in docs' columns. A row goes by its own text's
+    component: another text with the same doc_id stays."""
+    gone = cut(_labelled(docs, percent).filter(~F.col("kept")).select("doc_id", "sha").distinct(), "gone")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return rows.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("sha")), "left_anti").select("doc.*")

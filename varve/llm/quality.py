@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,7 @@ def _slice(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def assess(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of each row, base_failed and kept."""
 
+    @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.bytes_of(batch.column(1))
@@ -99,6 +101,12 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def drop_poor(docs: DataFrame) -> DataFrame:
-    """docs that are kept, in docs' columns."""
-    gone = assess(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs that are kept, in docs' columns: each row by its own text, whatever its id."""
+
+    @F.pandas_udf("boolean")
+    def passes(texts: pd.Series) -> pd.Series:
+        data, offsets = T.bytes_of(pa.array(texts, pa.string()))
+        kept = [_slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[6] for i, j in T.slices(offsets)]
+        return pd.Series(np.concatenate(kept) if kept else np.zeros(0, bool))
+
+    return docs.filter(passes(F.col("text").cast("string")))

@@ -80,6 +80,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, sha (hash of the text), place, gram, around, lo, hi: each suffix kept, the hash of its first words and
     of all words around, and the starts of its passages."""
 
+    @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             data, offsets = T.bytes_of(x.column(2))
@@ -105,6 +106,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("sha"), F.col("text").cast("string").alias("text"))
     met = texts.join(lists, texts["doc_id"].eqNullSafe(lists["d"]) & (texts["sha"] == lists["s"])).select("doc_id", "sha", "text", "places")
 
+    @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             data, offsets = T.bytes_of(x.column(2))
@@ -112,13 +114,13 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = data[offsets[d] : offsets[d + 1]]
                 starts, ends, _ = T.words(part, np.array([0, len(part)]))
                 hashes = T.hash_spans(part, starts, ends)
-                places = x.column(3)[d].as_py()
+                places = pa.RecordBatch.from_struct_array(x.column(3)[d].values)
                 for k in range(0, len(places), 2000):
-                    some = places[k : k + 2000]
-                    place = np.array([p["place"] for p in some], np.int64)
+                    some = places.slice(k, 2000)
+                    place = some.column(0).to_numpy().astype(np.int64)
                     right, left = (_spans(hashes, place, 0, len(hashes), a, b).astype(">u4") for a, b in ((0, LEAST), (-SPAN + 1, 0)))
-                    take = pa.array([d] * len(some))
-                    yield pa.record_batch([x.column(0).take(take), x.column(1).take(take), pa.array(place.astype(np.int32)), pa.array([p["lo"] for p in some], pa.int32()), pa.array([p["hi"] for p in some], pa.int32()), pa.array([r.tobytes() for r in right], pa.binary()), pa.array([r.tobytes() for r in left], pa.binary())], names=["doc_id", "sha", "place", "lo", "hi", "right", "left"])
+                    take = pa.array([d] * len(place))
+                    yield pa.record_batch([x.column(0).take(take), x.column(1).take(take), *some.columns, pa.array([r.tobytes() for r in right], pa.binary()), pa.array([r.tobytes() for r in left], pa.binary())], names=["doc_id", "sha", "place", "lo", "hi", "right", "left"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return met.mapInArrow(run, f"doc_id {kind}, sha long, place int, lo int, hi int, right binary, left binary")
@@ -157,6 +159,7 @@ def _passages(contexts: DataFrame) -> DataFrame:
         n, get = x.num_rows, lambda c: x.column(x.schema.get_field_index(c))
         return {"doc_id": get("doc_id"), "sha": get("sha"), **{c: get(c).to_numpy().astype(np.int64) for c in ("place", "lo", "hi")}, "right": np.frombuffer(b"".join(get("right").to_pylist()), ">u4").reshape(n, LEAST), "left": np.frombuffer(b"".join(get("left").to_pylist()), ">u4").reshape(n, SPAN - 1)}
 
+    @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a row is complete when the row after it is known, so the last one waits for the next batch; a
         # partition's first and last rows may match a row of another partition: they take the whole length
@@ -223,10 +226,10 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with later occurrences of repeated passages cut out of their texts, in docs' columns; n_chars follows.
-    A text of which nothing stays is dropped."""
-    spans = repeated_spans(docs).groupBy("doc_id", "sha").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
-    spans = cut(spans.withColumnRenamed("doc_id", "__d").withColumnRenamed("sha", "__s"), "spans")
-    met = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__s")), "left")
+    A text of which nothing stays is dropped. Only texts with spans to cut go through Python."""
+    spans = cut(repeated_spans(docs).groupBy("doc_id", "sha").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    same = rows["id"].eqNullSafe(spans["doc_id"]) & (rows["hash"] == spans["sha"])
 
     @F.pandas_udf("string")
     def without(texts, spans):
@@ -234,10 +237,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([_without(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("__spans")))
-    out = met.withColumn("__text", text).filter(F.col("__spans").isNull() | (F.length("__text") > 0))
-    columns = [F.col("__text").alias("text") if c == "text" else F.when(F.col("__spans").isNull(), docs["n_chars"]).otherwise(F.length("__text").cast("long")).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*columns)
+    whole = rows.join(spans, same, "left_anti").select("doc.*")
+    left = rows.join(spans, same).select("doc", without(F.col("doc.text"), "spans").alias("left")).filter(F.length("left") > 0)
+    changed = {"text": F.col("left"), "n_chars": F.length("left")}
+    return whole.union(left.select(*(changed.get(f.name, F.col("doc").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema)))
 
 
 def _without(text: str | None, spans) -> str | None:
