@@ -33,8 +33,8 @@ SHINGLE, BANDS, ROWS, PERCENT = 5, 25, 5, 85
 DROP_PERCENT = 80
 #: Classes of one block of a tile, and the smallest shingle hashes of each that a tile sees: sets of up to BOTTOM are whole.
 TILE, BOTTOM = 256, 512
-#: A bucket of more classes is split by its members' rare shingles before it is tiled.
-SPLIT = 1024
+#: A bucket of more classes is split by its members' rare shingles before it is tiled, where that makes less work.
+SPLIT = 4096
 
 
 def least_agreeing(n: int, percent: int) -> int:
@@ -214,9 +214,16 @@ def _tiled(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataF
     rows = open_.filter(F.col("size") <= SPLIT).select("band", "key", F.lit(0).cast("long").alias("part"), "node", "root", "size")
     large = open_.filter(F.col("size") > SPLIT)
     if not large.isEmpty():
+        tiles = F.col("size") * F.ceil(F.col("size") / TILE)
         rare = cut(_rare_shingles(large, classes, docs, percent), "rare")
         several = rare.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        rows = cut(rows.union(rare.join(cut(several, "several"), ["band", "key", "part"]).select(*rows.columns)), "open")
+        several = cut(several, "several")
+        split = several.groupBy("band", "key").agg(F.sum(tiles).alias("split"))
+        work = cut(large.groupBy("band", "key").agg(F.first(tiles).alias("whole")).join(split, ["band", "key"], "left"), "work")
+        less = F.coalesce("split", F.lit(0)) < F.col("whole")
+        again = large.join(work.filter(~less), ["band", "key"]).select("band", "key", F.lit(0).cast("long").alias("part"), "node", "root", "size")
+        parts = rare.join(several, ["band", "key", "part"]).join(work.filter(less).select("band", "key"), ["band", "key"], "left_semi").select(*rows.columns)
+        rows = cut(rows.union(again).union(parts), "open")
     bottoms = _sets(rows.select("node").distinct(), classes, docs, BOTTOM)
     traits = classes.select("node", "sig", "keys", "n_shingles").join(bottoms, "node")
     blocks = F.ceil(F.col("size") / TILE).cast("int")
