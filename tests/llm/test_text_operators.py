@@ -196,7 +196,7 @@ def brute_base(rows):
     return [(d, held(d), len(low(t)), sum(c[w] > 0 for w in low(t)), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in low(t))) for d, t in rows]
 
 
-@pytest.mark.parametrize("head", [1_000_000, 20])
+@pytest.mark.parametrize("head", [100_000, 20])
 def test_lm_base_score_matches_brute_force(spark, monkeypatch, head):
     monkeypatch.setattr(brown_lm, "HEAD", head)
     rows = list(enumerate(some_texts(3))) + [(1, ""), (None, "a b")]
@@ -215,6 +215,84 @@ def test_lm_beats_the_base_where_words_follow_classes(spark):
     assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.25  # log10 3 = 0.48 is all that order tells
 
 
+def lm_words(t):
+    return WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+@pytest.mark.parametrize(("head", "seeds"), [(100_000, 1024), (100, 20), (30, 8)])
+def test_lm_score_matches_brute_force(spark, monkeypatch, head, seeds):
+    """The score from the classes that the operator gave, by plain loops; words in and out of what is broadcast."""
+    for name, value in {"HEAD": head, "SEEDS": seeds, "UNITS": seeds + 2, "REST_UNIT": seeds, "END_UNIT": seeds + 1}.items():
+        monkeypatch.setattr(brown_lm, name, value)
+    rows = list(enumerate(some_texts(5))) + [(2, "new never seen"), (None, "a b")]
+    frame = docs(spark, rows)
+    lexicon = {r.word.decode(): (r.c, r.k) for r in brown_lm.fit(frame).lexicon.collect()}
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    train = [lm_words(t) for d, t in rows if not held(d)]
+    assert {w: c for w, (c, _) in lexicon.items()} == Counter(w for t in train for w in t)
+    once = Counter(k for c, k in lexicon.values() if c == 1)
+    unseen = min(range(brown_lm.CLASSES), key=lambda k: (-once[k], k))
+    of = lambda w: brown_lm.END_CLASS if w is None else lexicon[w][1] if w in lexicon else unseen
+    cells, tokens_in, words_in = Counter(), Counter(), Counter(k for _, k in lexicon.values())
+    words_in[brown_lm.END_CLASS] = 1
+    for t in train:
+        for a, b in zip([None, *t], [*t, None]):
+            cells[of(a), of(b)] += 1
+            tokens_in[of(b)] += 1
+    total, before = sum(tokens_in.values()), Counter()
+    for (a, _), n in cells.items():
+        before[a] += n
+
+    def brute(t):
+        out = 0.0
+        for a, b in zip([None, *t], [*t, None]):
+            share = (tokens_in[of(b)] + 1) / (total + brown_lm.CLASSES + 1)
+            step = cells[of(a), of(b)] / before[of(a)] if before[of(a)] else share
+            c = len(train) if b is None else lexicon.get(b, (0, 0))[0]
+            out += math.log10(0.98 * step + 0.02 * share) + math.log10((c + 1) / (tokens_in[of(b)] + words_in[of(b)] + 1))
+        return out
+
+    want = sorted((round(brute(lm_words(t)), 6), -1 if d is None else d) for d, t in rows)
+    got = sorted((round(r.score, 6), -1 if r.doc_id is None else r.doc_id) for r in brown_lm.score(frame).collect())
+    assert [d for _, d in got] == [d for _, d in want] and [x for x, _ in got] == pytest.approx([x for x, _ in want], abs=2e-6)
+
+
+def test_lm_words_go_where_the_likelihood_is_largest():
+    rng = np.random.default_rng(3)
+    size = brown_lm.CONTEXTS
+    table = rng.integers(0, 40, (size, size)).astype(float)
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    likelihood = lambda x: f(x) - f(x.sum(0)) - f(x.sum(1))
+    row = np.repeat(np.arange(30), rng.integers(1, 6, 30))
+    before, after, n = rng.integers(0, size, len(row)), rng.integers(0, size, len(row)), rng.integers(1, 9, len(row))
+    after[:20] = before[:20]
+    got = brown_lm.best_classes(row, before, after, n, 30, table)
+    for w in range(30):
+        values = []
+        for k in range(brown_lm.CLASSES):
+            x = table.copy()
+            for b, a, m in zip(before[row == w], after[row == w], n[row == w]):
+                x[b, k] += m
+                x[k, a] += m
+            values.append(likelihood(x))
+        assert values[got[w]] == pytest.approx(max(values), abs=1e-6)
+
+
+def test_lm_rare_words_share_the_class_of_words_in_like_places(spark, monkeypatch):
+    """Words that are too rare for a seed, whatever their letters, are told apart by their neighbours."""
+    for name, value in {"SEEDS": 20, "UNITS": 22, "REST_UNIT": 20, "END_UNIT": 21, "HEAD": 40}.items():
+        monkeypatch.setattr(brown_lm, name, value)
+    rng = random.Random(2)
+    often = {c: ["%s%d" % (c, k) for k in range(6)] for c in "nvr"}
+    word = lambda c, k: "%s%d" % (rng.choice("xyz"), 3 * rng.randrange(40) + k) if rng.random() < 0.2 else rng.choice(often[c])
+    rows = [(d, " ".join(w for _ in range(40) for w in (word("n", 0), word("v", 1), word("r", 2)))) for d in range(120)]
+    kinds = defaultdict(Counter)
+    for r in brown_lm.fit(docs(spark, rows)).lexicon.collect():
+        if r.word.decode()[0] in "xyz":
+            kinds[r.k][int(r.word.decode()[1:]) % 3] += r.c
+    assert sum(max(c.values()) for c in kinds.values()) > 0.9 * sum(c.total() for c in kinds.values())
+
+
 def test_lm_without_training_or_rows(spark):
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)
     r = brown_lm.score(docs(spark, [(held, "a b")])).first()

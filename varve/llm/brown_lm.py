@@ -1,14 +1,16 @@
 """Class-based n-gram scoring: Brown clustering by exchange, class transitions and word emissions.
 
-Units are the UNITS_TOP most frequent words, each for itself, and UNIT_BUCKETS buckets that take all other words
-by their beginning and ending, so that every word has a unit without a lookup of its own. Spark counts which unit
-follows which over all training documents; exchange clustering moves units between CLASSES classes while the
-likelihood of the class bigrams rises; a word has its unit's class. A text's score is the sum over tokens of
-log10 P(class | class before) + log10 P(word | class). Counts of words that are at least one in HEAD tokens are
-broadcast (so there are HEAD at most); all other words of a text are joined with the count table on the word.
+Every training word gets a class of its own by likelihood. The SEEDS most frequent words are clustered first: Spark
+counts which of them follow each other, and exchange clustering moves them between CLASSES classes while the
+likelihood of the class bigrams rises. Then Spark counts for every other word, rare ones too, which classes stand
+before and after it, and an exchange step puts it where that likelihood is largest. Texts are turned into word numbers
+once and from those into paths of classes; transitions are counted on the paths of all training texts. A text's score
+is the sum over tokens of log10 P(class | class before) + log10 P(word | class). Words that are at least one in HEAD
+tokens are broadcast (so there are HEAD at most); all other words of a text are joined with the table of words.
 
 Smoothing: transitions are mixed with the classes' own shares; in each class unseen words share one extra count
-each way: P(word | class) = (count + 1) / (tokens of the class + words of the class + 1).
+each way: P(word | class) = (count + 1) / (tokens of the class + words of the class + 1). A word that no training text
+has is given to the class with the most words that occur once.
 
 Rows: null or empty texts are the end token alone. Rows without doc_id belong to the training part. Repeated rows
 count each for itself. Without training documents all counts are 0. An empty table gives an empty result.
@@ -17,40 +19,35 @@ count each for itself. Without training documents all counts are 0. An empty tab
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
 from .scratch import cut
 from .toxicity import remainder
 
-UNITS_TOP, UNIT_BUCKETS, CLASSES, SWEEPS = 1024, 1023, 48, 12
-#: A word is sent to all tasks if it is one in HEAD tokens or more, and not longer than that: HEAD words at most.
-HEAD, HEAD_BYTES = 1_000_000, 32
-UNITS = UNITS_TOP + UNIT_BUCKETS + 1
-END_UNIT, END_CLASS = UNITS - 1, CLASSES
+SEEDS, CLASSES, SWEEPS = 1024, 48, 12
+#: A word is sent to all tasks if it is one in HEAD tokens or more, and not longer than HEAD_BYTES: HEAD words at most.
+HEAD, HEAD_BYTES = 100_000, 32
+#: While seeds are clustered, all other words are one unit with a class of its own, and so is the end token.
+UNITS, REST_UNIT, END_UNIT = SEEDS + 2, SEEDS, SEEDS + 1
+END_CLASS, REST_CLASS, CONTEXTS = CLASSES, CLASSES + 1, CLASSES + 2
 #: Weight of the class bigram against the class's own share.
 BIGRAM = 0.98
 HELD_OUT_OF, HELD_OUT = 7, 2
-MOST_CACHED = 300_000
 
 
-class Units(dict):
-    """From a word to its unit."""
-
-    def __init__(self, top: list[bytes]):
-        super().__init__({w: k for k, w in enumerate(top)})
+class Numbers(dict):
+    """From a word that is sent to all tasks to its number; -1 for any other."""
 
     def __missing__(self, word: bytes) -> int:
-        unit = UNITS_TOP + zlib.crc32(word[:2] + b" " + word[-3:]) % UNIT_BUCKETS
-        if len(self) < MOST_CACHED and len(word) < 64:
-            self[word] = unit
-        return unit
+        return -1
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -88,42 +85,74 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def count_bigrams(train: DataFrame, top: list[bytes]) -> DataFrame:
-    """cell (UNITS * unit before + unit; the end token comes before the first) and its count."""
+def number(docs: DataFrame, head: list[bytes]) -> DataFrame:
+    """doc_id, held_out, rid, ids (a 32-bit number for each word: its place in head, or len(head) and more for the
+    text's other words), others (those words, each once)."""
+    sent = docs.sparkSession.sparkContext.broadcast(head)
 
+    @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, have, rows, waiting = Units(top), np.zeros(UNITS * UNITS, np.int64), [], 0
+        numbers, n = Numbers({w: k for k, w in enumerate(sent.value)}), len(sent.value)
         for x in batches:
-            for text in _texts(x, 0):
-                row = np.fromiter(map(units.__getitem__, tokens(text)), np.int64)
-                row = np.concatenate([[END_UNIT], row, [END_UNIT]])
-                rows.append(row[:-1] * UNITS + row[1:])
-                waiting += len(row)
-                if waiting > 2_000_000:
-                    have += np.bincount(np.concatenate(rows), minlength=len(have))
-                    rows, waiting = [], 0
-        if rows:
-            have += np.bincount(np.concatenate(rows), minlength=len(have))
+            ids, others = [], []
+            for text in _texts(x, 2):
+                words = tokens(text)
+                row = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                own: dict[bytes, int] = {}
+                for at in np.flatnonzero(row < 0).tolist():
+                    row[at] = own.setdefault(words[at], n + len(own))
+                ids.append(row.astype("<i4").tobytes())
+                others.append(list(own))
+            yield pa.record_batch([x.column(0), x.column(1), pa.array(ids, pa.binary()), pa.array(others, pa.list_(pa.binary()))], names=["doc_id", "held_out", "ids", "others"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    numbered = docs.select("doc_id", _held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, held_out boolean, ids binary, others array<binary>")
+    return cut(numbered.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+
+
+def _held_out() -> Column:
+    return F.coalesce(remainder("doc_id", HELD_OUT_OF) == HELD_OUT, F.lit(False))
+
+
+def _rows(x: pa.RecordBatch, column: int, kind: str) -> Iterator[np.ndarray]:
+    return (np.frombuffer(b.as_py(), kind) for b in x.column(column))
+
+
+def _pair_counts(rows: DataFrame, column: str, kind: str, states: int, state_of: Callable[[np.ndarray], np.ndarray], end: int) -> DataFrame:
+    """cell (states * state before + state; the end comes before the first and after the last) and its count n."""
+
+    @T.releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(states * states, np.int64)
+        for x in batches:
+            paths = [np.concatenate([[end], state_of(row), [end]]).astype(np.int64) for row in _rows(x, 0, kind)]
+            for k in range(0, len(paths), 1000):
+                have += np.bincount(np.concatenate([p[:-1] * states + p[1:] for p in paths[k : k + 1000]]), minlength=len(have))
         at = np.flatnonzero(have)
         for k in range(0, len(at), 100_000):
             yield pa.record_batch([pa.array(at[k : k + 100_000].astype(np.int32)), pa.array(have[at[k : k + 100_000]])], names=["cell", "n"])
 
-    return train.select(F.col("text").cast("string")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return rows.select(column).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each unit. counts: a square table of unit bigrams; the last unit, the end token, keeps a class of its own.
+def count_bigrams(train: DataFrame) -> DataFrame:
+    """Bigrams of units in the rows of number()."""
+    return _pair_counts(train, "ids", "<i4", UNITS, lambda ids: np.where(ids < SEEDS, ids, REST_UNIT), END_UNIT)
+
+
+def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, fixed: int = 1) -> np.ndarray:
+    """The class of each unit. counts: a square table of unit bigrams; the last `fixed` units keep a class of their own each.
 
     Each step takes one unit out of its class and puts it where sum n(a,b) log n(a,b) - sum n(a) log n(a) - sum
     n(b) log n(b) over class bigrams is largest.
     """
     units = len(counts)
     weight = counts.sum(0) + counts.sum(1)
-    order = np.argsort(-weight[:-1], kind="stable")
+    order = np.argsort(-weight[:-fixed], kind="stable")
     of = np.empty(units, np.int64)
-    of[order] = np.arange(units - 1) % classes
-    of[-1] = classes
-    one = np.zeros((units, classes + 1))
+    of[order] = np.arange(units - fixed) % classes
+    of[-fixed:] = classes + np.arange(fixed)
+    one = np.zeros((units, classes + fixed))
     one[np.arange(units), of] = 1
     right, left = counts @ one, counts.T @ one  # unit by class: after it, before it
     table = one.T @ right
@@ -163,85 +192,203 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     return of
 
 
-def _class_stats(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each unit and the table of class bigrams, fitted in one task: UNITS * UNITS cells at most."""
+def seed_classes(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each seed and the table of class bigrams with REST_CLASS, fitted in one task: UNITS * UNITS cells at
+    most, whatever the corpus."""
+    turn = np.arange(CONTEXTS)
+    turn[[CLASSES, CLASSES + 1]] = REST_CLASS, END_CLASS  # exchange() gives REST_UNIT and END_UNIT their classes in this order
 
     def run(table: pa.Table) -> pa.Table:
         counts = np.zeros(UNITS * UNITS, np.float64)
         counts[table["cell"].to_numpy()] = table["n"].to_numpy()
         counts = counts.reshape(UNITS, UNITS)
-        of = exchange(counts)
-        one = np.zeros((UNITS, CLASSES + 1))
+        of = turn[exchange(counts, fixed=2)]
+        one = np.zeros((UNITS, CONTEXTS))
         one[np.arange(UNITS), of] = 1
         flat = (one.T @ counts @ one).ravel()
         return pa.table({"k": np.arange(UNITS + len(flat)), "v": np.concatenate([of.astype(float), flat])})
 
     got = bigrams.groupBy(F.lit(0).alias("all")).applyInArrow(run, "k long, v double").toPandas().sort_values("k")["v"].to_numpy()
     if not len(got):
-        return np.append(np.arange(UNITS - 1) % CLASSES, CLASSES), np.zeros((CLASSES + 1, CLASSES + 1))
-    return got[:UNITS].astype(np.int64), got[UNITS:].reshape(CLASSES + 1, CLASSES + 1)
+        return np.arange(SEEDS) % CLASSES, np.zeros((CONTEXTS, CONTEXTS))
+    return got[:SEEDS].astype(np.int64), got[UNITS:].reshape(CONTEXTS, CONTEXTS)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark = docs.sparkSession
-    held_out = F.coalesce(remainder("doc_id", HELD_OUT_OF) == HELD_OUT, F.lit(False))
-    train = docs.filter(~held_out)
-    counts = cut(count_words(train), "words")
+def contexts(train: DataFrame, head: list[bytes], seeds: np.ndarray) -> DataFrame:
+    """word, pair (CONTEXTS * class before + class after) and n, of every word that isn't a seed, from the rows of number()."""
+    sent = train.sparkSession.sparkContext.broadcast(head)
+
+    @T.releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, waiting, size = pa.array(sent.value, pa.binary()), [], 0
+
+        def counted(codes: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+            codes, n = np.unique(codes, return_counts=True)
+            for k in range(0, len(codes), 100_000):
+                word, pair = np.divmod(codes[k : k + 100_000], CONTEXTS * CONTEXTS)
+                yield pa.record_batch([names.take(pa.array(word)), pa.array(pair.astype(np.int32)), pa.array(n[k : k + 100_000])], names=["word", "pair", "n"])
+
+        for x in batches:
+            others = x.column(1)
+            starts = np.asarray(others.offsets)[: x.num_rows] - others.offsets[0].as_py()
+            rare = []
+            for first, ids in zip(starts.tolist(), _rows(x, 0, "<i4")):
+                path = np.full(len(ids) + 2, REST_CLASS)
+                path[[0, -1]] = END_CLASS
+                seed = ids < SEEDS
+                path[1:-1][seed] = seeds[ids[seed]]
+                pair = path[:-2] * CONTEXTS + path[2:]
+                codes = ids.astype(np.int64) * (CONTEXTS * CONTEXTS) + pair
+                waiting.append(codes[~seed & (ids < len(words))])
+                rare.append(codes[ids >= len(words)] + (first - len(words)) * (CONTEXTS * CONTEXTS))
+                size += len(waiting[-1])
+            yield from counted(np.concatenate(rare), others.flatten())
+            if size > 3_000_000:
+                yield from counted(np.concatenate(waiting), words)
+                waiting, size = [], 0
+        if waiting:
+            yield from counted(np.concatenate(waiting), words)
+
+    return train.select("ids", "others").mapInArrow(run, "word binary, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def best_classes(row: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, rows: int, table: np.ndarray) -> np.ndarray:
+    """The class of each of `rows` words: an exchange step for each by itself. Entry k says that word row[k] was seen n[k]
+    times between the classes before[k] and after[k]; table holds the class bigrams."""
+    gain = np.zeros((rows, CLASSES))
+    sides = {}
+    for side, (neighbour, cells) in {"out": (after, table[:CLASSES]), "in": (before, table[:, :CLASSES].T)}.items():
+        key, at = np.unique(row * CONTEXTS + neighbour, return_inverse=True)
+        many = np.bincount(at, n, len(key))
+        word, c = np.divmod(key, CONTEXTS)
+        sides[side] = np.zeros((rows, CONTEXTS))
+        sides[side][word, c] = many
+        for k in range(0, len(key), 20_000):
+            w, old = word[k : k + 20_000], cells[:, c[k : k + 20_000]].T
+            more = _f(old + many[k : k + 20_000, None]) - _f(old)
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[first]] += np.add.reduceat(more, first)
+        total, sums = np.bincount(row, n, rows)[:, None], cells.sum(1)[None, :]
+        gain -= _f(sums + total) - _f(sums)
+    d, r, c = np.diagonal(table)[None, :CLASSES], sides["out"][:, :CLASSES], sides["in"][:, :CLASSES]
+    w, k = np.nonzero((r > 0) & (c > 0))  # a cell that both sides add to
+    d, r, c = np.broadcast_to(d, gain.shape)[w, k], r[w, k], c[w, k]
+    gain[w, k] += _f(d + r + c) - _f(d + r) - _f(d + c) + _f(d)
+    return np.argmax(gain, 1)
+
+
+def assign(seen: DataFrame, table: np.ndarray) -> DataFrame:
+    """word, c (its count) and k (its class) from the rows of contexts()."""
+
+    @T.releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                x = whole.slice(k, 1000)
+                entries = pa.RecordBatch.from_struct_array(x.column(1).flatten())
+                pair, n = entries.column(0).to_numpy().astype(np.int64), entries.column(1).to_numpy()
+                row = np.repeat(np.arange(x.num_rows), np.diff(np.asarray(x.column(1).offsets)[: x.num_rows + 1]))
+                of = best_classes(row, pair // CONTEXTS, pair % CONTEXTS, n, x.num_rows, table)
+                yield pa.record_batch([x.column(0), pa.array(np.bincount(row, n, x.num_rows).astype(np.int64)), pa.array(of.astype(np.int32))], names=["word", "c", "k"])
+
+    return seen.groupBy("word").agg(F.collect_list(F.struct("pair", "n")).alias("seen")).mapInArrow(run, "word binary, c long, k int")
+
+
+def _resolved(numbered: DataFrame, lexicon: DataFrame, head: dict[bytes, tuple[int, int]], unseen: int) -> DataFrame:
+    """doc_id, held_out, n_words, n_known, logs (sum of log10(count + 1)) and path (a class for each word, as bytes)."""
+    words = numbered.select("rid", F.posexplode("others").alias("at", "word"))
+    found = words.join(lexicon, "word").groupBy("rid").agg(F.collect_list(F.struct("at", "c", "k")).alias("found"))
+    sent = numbered.sparkSession.sparkContext.broadcast(head)
+
+    @T.releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, classes = np.array(list(sent.value.values()), np.int64).reshape(-1, 2).T
+        for x in batches:
+            out = []
+            for k, ids in enumerate(_rows(x, 2, "<i4")):
+                many = x.column(3)[k].as_py()
+                c, of = np.concatenate([counts, np.zeros(many, np.int64)]) if many else counts, classes
+                if many:
+                    of = np.concatenate([classes, np.full(many, unseen)])
+                    if x.column(4)[k].is_valid:
+                        at, more, kind = (v.to_numpy() for v in pa.RecordBatch.from_struct_array(x.column(4)[k].values).columns)
+                        c[len(counts) + at], of[len(counts) + at] = more, kind
+                seen = c[ids]
+                out.append((len(ids), int((seen > 0).sum()), float(np.log10(seen + 1).sum()), of[ids].astype(np.uint8).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
+            yield pa.record_batch([x.column(0), x.column(1), *map(pa.array, zip(*out), kinds)], names=["doc_id", "held_out", "n_words", "n_known", "logs", "path"])
+
+    kind = dict(numbered.dtypes)["doc_id"]
+    rows = numbered.join(found, "rid", "left").select("doc_id", "held_out", "ids", F.size("others").alias("many"), "found")
+    return cut(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_words long, n_known long, logs double, path binary"), "paths")
+
+
+@dataclass
+class Model:
+    numbered: DataFrame  # the rows of number()
+    lexicon: DataFrame  # word, c, k of every training word
+    head: dict[bytes, int]  # words that are sent to all tasks, the most frequent first, and their counts
+    n: int  # training tokens
+    v: int  # distinct ones
+    ends: int
+
+
+def fit(docs: DataFrame) -> Model:
+    """Count words, number the texts, cluster the seeds and give every other word its class."""
+    counts = cut(count_words(docs.filter(~_held_out())), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counts.filter((F.col("c") * HEAD >= n) & F.length("word").between(1, HEAD_BYTES)).collect()  # HEAD rows at most, as the counts add up to n
     head = {bytes(w): c for w, c in sorted(frequent, key=lambda r: (-r[1], bytes(r[0])))}
     ends = sum(r[0] for r in counts.filter("length(word) = 0").select("c").collect())
-    top = list(head)[:UNITS_TOP]
-    of, table = _class_stats(count_bigrams(train, top))
-    per_class = np.zeros((CLASSES + 1, 2))  # tokens and words; tokens of a class are its column in the table
-    per_class[:, 0] = table.sum(0)
-    head_sent = spark.sparkContext.broadcast((head, top))
-
-    def class_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, many = Units(head_sent.value[1]), np.zeros(CLASSES + 1, np.int64)
-        for x in batches:
-            us = np.fromiter((units[w] if w else END_UNIT for w in x.column(0).to_pylist()), np.int64, x.num_rows)
-            many += np.bincount(of[us], minlength=CLASSES + 1)
-        yield pa.record_batch([pa.array(np.arange(CLASSES + 1)), pa.array(many)], names=["k", "n"])
+    numbered = number(docs, list(head))
+    train = numbered.filter(~F.col("held_out"))
+    seeds, table = seed_classes(count_bigrams(train))
+    rest = assign(contexts(train, list(head), seeds), table)
+    known = list(zip(list(head.items())[:SEEDS], seeds.tolist()))
+    own = docs.sparkSession.createDataFrame([(bytearray(w), c, k) for (w, c), k in known], "word binary, c long, k int")
+    return Model(numbered, cut(rest.union(own), "lexicon"), head, n, v, ends)
+
 
-    for k, many in counts.select("word").mapInArrow(class_of_words, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
-        per_class[k, 1] = many
+def score(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    m = fit(docs)
+    n, v, ends = m.n, m.v, m.ends
+    per_class = np.zeros((CLASSES + 1, 2))  # tokens and words
+    per_class[END_CLASS] = ends, ends > 0
+    once = np.zeros(CLASSES, np.int64)
+    for k, c, words, ones in m.lexicon.groupBy("k").agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).collect():
+        per_class[k], once[k] = (c, words), ones
+    frequent = (F.col("c") * HEAD >= n) & (F.length("word") <= HEAD_BYTES)
+    of = {bytes(w): k for w, k in m.lexicon.filter(frequent).select("word", "k").collect()}  # the words of head
+    head = {w: (c, of[w]) for w, c in m.head.items()}
+    paths = _resolved(m.numbered, m.lexicon.filter(~frequent), head, int(np.argmax(once)))
+    table = np.zeros((CLASSES + 1) ** 2)
+    for cell, many in _pair_counts(paths.filter(~F.col("held_out")), "path", "u1", CLASSES + 1, lambda row: row, END_CLASS).collect():  # a cell for each pair of classes
+        table[cell] = many
+    table = table.reshape(CLASSES + 1, CLASSES + 1)
     share = (per_class[:, 0] + 1) / (per_class[:, 0].sum() + CLASSES + 1)
     rows_sum = table.sum(1, keepdims=True)
     step = np.log10(BIGRAM * np.where(rows_sum > 0, table / np.maximum(rows_sum, 1), share) + (1 - BIGRAM) * share)
     emit = -np.log10(per_class[:, 0] + per_class[:, 1] + 1)
     end_emit, base_each = emit[END_CLASS] + math.log10(ends + 1), -math.log10(n + v + 1)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, top = head_sent.value
-        units = Units(top)
-        logs = {w: math.log10(c + 1) for w, c in head.items()}
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             out = []
-            for text in _texts(x, 2):
-                words = tokens(text)
-                cs = of[np.fromiter(map(units.__getitem__, words), np.int64)] if words else np.zeros(0, np.int64)
-                path = np.concatenate([[END_CLASS], cs, [END_CLASS]])
-                fixed = float(step[path[:-1], path[1:]].sum() + emit[cs].sum() + end_emit)
-                rest = Counter(w for w in words if w not in logs)
-                known = len(words) - rest.total()
-                out.append((len(words) + 1, known + (ends > 0), sum(logs[w] for w in words if w in logs), fixed, list(rest), list(rest.values())))
-            c = list(zip(*out)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.record_batch([x.column(0), x.column(1), *map(pa.array, c, kinds)], names=["doc_id", "held_out", "n_tokens", "known", "logs", "fixed", "words", "times"])
+            for row in _rows(x, 5, "u1"):
+                path = np.concatenate([[END_CLASS], row, [END_CLASS]]).astype(np.int64)
+                out.append(float(step[path[:-1], path[1:]].sum() + emit[row].sum() + end_emit))
+            yield pa.record_batch([*x.columns[:5], pa.array(out, pa.float64())], names=["doc_id", "held_out", "n_words", "n_known", "logs", "fixed"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string"))
-    scored = scored.mapInArrow(first, f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, fixed double, words array<binary>, times array<int>")
-    scored = cut(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    met = tail.join(counts, "word").select("rid", F.col("times").cast("long").alias("known"), (F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
-    sums = met.groupBy("rid").agg(F.sum("known").alias("more_known"), F.sum("logs").alias("more_logs"))
-    out = scored.drop("words", "times").join(sums, "rid", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    out = out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (logs + math.log10(ends + 1) + F.col("n_tokens") * base_each).alias("base_score"), (logs + F.col("fixed")).alias("score"),
+    scored = paths.select("doc_id", "held_out", "n_words", "n_known", "logs", "path").mapInArrow(sums, f"doc_id {kind}, held_out boolean, n_words long, n_known long, logs double, fixed double")
+    tokens_of = F.col("n_words") + 1
+    out = scored.select(
+        "doc_id", "held_out", tokens_of.alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") + math.log10(ends + 1) + tokens_of * base_each).alias("base_score"), (F.col("logs") + F.col("fixed")).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
