@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,14 +86,19 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def first_other(head: list | dict) -> int:
+    """Numbers below SEEDS are seeds', even where there are fewer words in head."""
+    return max(len(head), SEEDS)
+
+
 def number(docs: DataFrame, head: list[bytes]) -> DataFrame:
-    """doc_id, held_out, rid, ids (a 32-bit number for each word: its place in head, or len(head) and more for the
-    text's other words), others (those words, each once)."""
+    """doc_id, held_out, rid, ids (a 32-bit number for each word: its place in head, or first_other(head) and more for
+    the text's other words), others (those words, each once)."""
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, n = Numbers({w: k for k, w in enumerate(sent.value)}), len(sent.value)
+        numbers, n = Numbers({w: k for k, w in enumerate(sent.value)}), first_other(sent.value)
         for x in batches:
             ids, others = [], []
             for text in _texts(x, 2):
@@ -214,19 +220,30 @@ def seed_classes(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got[:SEEDS].astype(np.int64), got[UNITS:].reshape(CONTEXTS, CONTEXTS)
 
 
+_ENTRY = np.dtype([("pair", "<u2"), ("n", "<u4")])
+
+
 def contexts(train: DataFrame, head: list[bytes], seeds: np.ndarray) -> DataFrame:
-    """word, pair (CONTEXTS * class before + class after) and n, of every word that isn't a seed, from the rows of number()."""
+    """word and entries (pair: CONTEXTS * class before + class after, and how often, packed) of every word that isn't a
+    seed, from the rows of number(); several rows for a word."""
     sent = train.sparkSession.sparkContext.broadcast(head)
 
     @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, waiting, size = pa.array(sent.value, pa.binary()), [], 0
+        base = first_other(words)
 
         def counted(codes: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
             codes, n = np.unique(codes, return_counts=True)
-            for k in range(0, len(codes), 100_000):
-                word, pair = np.divmod(codes[k : k + 100_000], CONTEXTS * CONTEXTS)
-                yield pa.record_batch([names.take(pa.array(word)), pa.array(pair.astype(np.int32)), pa.array(n[k : k + 100_000])], names=["word", "pair", "n"])
+            word, pair = np.divmod(codes, CONTEXTS * CONTEXTS)
+            packed = np.empty(len(codes), _ENTRY)
+            packed["pair"], packed["n"] = pair, n
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            for k in range(0, len(first), 50_000):
+                ends = np.append(first, len(codes))[k : k + 50_001]
+                offsets = pa.py_buffer(((ends - ends[0]) * _ENTRY.itemsize).astype(np.int32))
+                entries = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(packed[ends[0] : ends[-1]].tobytes())])
+                yield pa.record_batch([names.take(pa.array(word[ends[:-1]])), entries], names=["word", "entries"])
 
         for x in batches:
             others = x.column(1)
@@ -237,10 +254,9 @@ def contexts(train: DataFrame, head: list[bytes], seeds: np.ndarray) -> DataFram
                 path[[0, -1]] = END_CLASS
                 seed = ids < SEEDS
                 path[1:-1][seed] = seeds[ids[seed]]
-                pair = path[:-2] * CONTEXTS + path[2:]
-                codes = ids.astype(np.int64) * (CONTEXTS * CONTEXTS) + pair
-                waiting.append(codes[~seed & (ids < len(words))])
-                rare.append(codes[ids >= len(words)] + (first - len(words)) * (CONTEXTS * CONTEXTS))
+                codes = ids.astype(np.int64) * (CONTEXTS * CONTEXTS) + path[:-2] * CONTEXTS + path[2:]
+                waiting.append(codes[~seed & (ids < base)])
+                rare.append(codes[ids >= base] + (first - base) * (CONTEXTS * CONTEXTS))
                 size += len(waiting[-1])
             yield from counted(np.concatenate(rare), others.flatten())
             if size > 3_000_000:
@@ -249,7 +265,7 @@ def contexts(train: DataFrame, head: list[bytes], seeds: np.ndarray) -> DataFram
         if waiting:
             yield from counted(np.concatenate(waiting), words)
 
-    return train.select("ids", "others").mapInArrow(run, "word binary, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    return train.select("ids", "others").mapInArrow(run, "word binary, entries binary")
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -278,24 +294,50 @@ def best_classes(row: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.n
     w, k = np.nonzero((r > 0) & (c > 0))  # a cell that both sides add to
     d, r, c = np.broadcast_to(d, gain.shape)[w, k], r[w, k], c[w, k]
     gain[w, k] += _f(d + r + c) - _f(d + r) - _f(d + c) + _f(d)
+    filled = table[:CLASSES].sum(1) > 0
+    if filled.any():  # a class without seeds suits each word best as long as it's alone there, so all would meet in it
+        gain[:, ~filled] = -np.inf
     return np.argmax(gain, 1)
 
 
 def assign(seen: DataFrame, table: np.ndarray) -> DataFrame:
-    """word, c (its count) and k (its class) from the rows of contexts()."""
+    """word, c (its count) and k (its class) from the rows of contexts(). A word's rows are read one after the other, so
+    a task holds the entries of one batch, and of one word those of its different pairs. No word here is a seed, so
+    none has more than one in SEEDS tokens."""
 
     @T.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                x = whole.slice(k, 1000)
-                entries = pa.RecordBatch.from_struct_array(x.column(1).flatten())
-                pair, n = entries.column(0).to_numpy().astype(np.int64), entries.column(1).to_numpy()
-                row = np.repeat(np.arange(x.num_rows), np.diff(np.asarray(x.column(1).offsets)[: x.num_rows + 1]))
-                of = best_classes(row, pair // CONTEXTS, pair % CONTEXTS, n, x.num_rows, table)
-                yield pa.record_batch([x.column(0), pa.array(np.bincount(row, n, x.num_rows).astype(np.int64)), pa.array(of.astype(np.int32))], names=["word", "c", "k"])
+        held: pa.Array | None = None  # the last word so far and its entries: its rows may go on in the next batch
+        kept = np.zeros(0, _ENTRY)
+
+        def placed(words: pa.Array, row: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+            pair, n = entries["pair"].astype(np.int64), entries["n"].astype(np.int64)
+            of = best_classes(row, pair // CONTEXTS, pair % CONTEXTS, n, len(words), table)
+            return pa.record_batch([words, pa.array(np.bincount(row, n, len(words)).astype(np.int64)), pa.array(of.astype(np.int32))], names=["word", "c", "k"])
+
+        for x in batches:
+            if not x.num_rows:
+                continue
+            entries = [kept, *_rows(x, 1, _ENTRY)]
+            words = pa.concat_arrays([held if held is not None else x.column(0).slice(0, 1), x.column(0)])
+            row = np.append(0, np.cumsum(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
+            words = words.take(pa.array(np.flatnonzero(np.diff(row, prepend=-1))))
+            row, entries = np.repeat(row, list(map(len, entries))), np.concatenate(entries)
+            last = row == len(words) - 1
+            for k in range(0, len(words) - 1, 2000):
+                some = (row >= k) & (row < min(k + 2000, len(words) - 1))
+                yield placed(words.slice(k, min(2000, len(words) - 1 - k)), row[some] - k, entries[some])
+            held = words.slice(len(words) - 1)
+            pair, at = np.unique(entries["pair"][last], return_inverse=True)
+            kept = np.empty(len(pair), _ENTRY)
+            kept["pair"], kept["n"] = pair, np.bincount(at, entries["n"][last], len(pair))
+        if held is not None:
+            yield placed(held, np.zeros(len(kept), np.int64), kept)
+
+    return seen.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, c long, k int")
+
 
-    return seen.groupBy("word").agg(F.collect_list(F.struct("pair", "n")).alias("seen")).mapInArrow(run, "word binary, c long, k int")
+OPEN = 255
 
 
 def _resolved(numbered: DataFrame, lexicon: DataFrame, head: dict[bytes, tuple[int, int]], unseen: int) -> DataFrame:
@@ -303,28 +345,42 @@ def _resolved(numbered: DataFrame, lexicon: DataFrame, head: dict[bytes, tuple[i
     words = numbered.select("rid", F.posexplode("others").alias("at", "word"))
     found = words.join(lexicon, "word").groupBy("rid").agg(F.collect_list(F.struct("at", "c", "k")).alias("found"))
     sent = numbered.sparkSession.sparkContext.broadcast(head)
+    kind = dict(numbered.dtypes)["doc_id"]
 
     @T.releasing
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, classes = np.array(list(sent.value.values()), np.int64).reshape(-1, 2).T
+    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, classes = np.array([*sent.value.values(), (0, OPEN)], np.int64).T  # the last for all words that aren't in head
+        logs, classes, base = np.log10(counts + 1), classes.astype(np.uint8), first_other(sent.value)
         for x in batches:
             out = []
-            for k, ids in enumerate(_rows(x, 2, "<i4")):
-                many = x.column(3)[k].as_py()
-                c, of = np.concatenate([counts, np.zeros(many, np.int64)]) if many else counts, classes
-                if many:
-                    of = np.concatenate([classes, np.full(many, unseen)])
-                    if x.column(4)[k].is_valid:
-                        at, more, kind = (v.to_numpy() for v in pa.RecordBatch.from_struct_array(x.column(4)[k].values).columns)
-                        c[len(counts) + at], of[len(counts) + at] = more, kind
-                seen = c[ids]
-                out.append((len(ids), int((seen > 0).sum()), float(np.log10(seen + 1).sum()), of[ids].astype(np.uint8).tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
-            yield pa.record_batch([x.column(0), x.column(1), *map(pa.array, zip(*out), kinds)], names=["doc_id", "held_out", "n_words", "n_known", "logs", "path"])
+            for ids in _rows(x, 3, "<i4"):
+                at = np.minimum(ids, len(logs) - 1)
+                rest = ids[ids >= base] - base
+                out.append((len(ids), len(ids) - len(rest), float(logs[at].sum()), classes[at].tobytes(), rest.astype("<i4").tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
+            yield pa.record_batch([*x.columns[:3], *map(pa.array, zip(*out), kinds), x.column(4)], names=["doc_id", "held_out", "rid", "n_words", "n_known", "logs", "path", "rest", "many"])
 
-    kind = dict(numbered.dtypes)["doc_id"]
-    rows = numbered.join(found, "rid", "left").select("doc_id", "held_out", "ids", F.size("others").alias("many"), "found")
-    return cut(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_words long, n_known long, logs double, path binary"), "paths")
+    begun = numbered.select("doc_id", "held_out", "rid", "ids", F.size("others").alias("many"))
+    begun = begun.mapInArrow(half, f"doc_id {kind}, held_out boolean, rid long, n_words long, n_known long, logs double, path binary, rest binary, many int")
+
+    @T.releasing
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            out = []
+            for k, (known, logs, path, rest, many) in enumerate(zip(*(x.column(c).to_pylist() for c in range(3, 8)))):
+                if many:
+                    path, rest = np.frombuffer(path, np.uint8).copy(), np.frombuffer(rest, "<i4")
+                    c, of = np.zeros(many, np.int64), np.full(many, unseen, np.uint8)
+                    if x.column(8)[k].is_valid:
+                        at, more, kinds = (v.to_numpy() for v in pa.RecordBatch.from_struct_array(x.column(8)[k].values).columns)
+                        c[at], of[at] = more, kinds
+                    path[path == OPEN] = of[rest]
+                    known, logs, path = known + int((c[rest] > 0).sum()), logs + float(np.log10(c[rest] + 1).sum()), path.tobytes()
+                out.append((known, logs, path))
+            yield pa.record_batch([*x.columns[:3], *map(pa.array, zip(*out), (pa.int64(), pa.float64(), pa.binary()))], names=["doc_id", "held_out", "n_words", "n_known", "logs", "path"])
+
+    rows = begun.join(found, "rid", "left").select("doc_id", "held_out", "n_words", "n_known", "logs", "path", "rest", "many", "found")
+    return cut(rows.mapInArrow(fill, f"doc_id {kind}, held_out boolean, n_words long, n_known long, logs double, path binary"), "paths")
 
 
 @dataclass
