@@ -1,8 +1,9 @@
 """Chat formatting: a finite-state machine over roles checks turn order while a declarative template turns each
 turn into text segments with loss flags.
 
-Control strings inside texts are escaped: `<`, any number of backslashes and `|` gets one more backslash, so
-`<|` stands only where the template put it, and taking one backslash off gives the text back.
+Control strings inside texts are escaped: where the first character of the template's start or end, any number of
+backslashes and its second character follow each other, one more backslash goes after the first, so that the two
+stand together only where the template put them; taking one backslash off gives the text back.
 
 Rows: turns are formatted in the order of turn (null first), then role and text for ties; repeated rows are
 turns of their own. A null role or text counts as empty. Rows without conv_id form one conversation. A
@@ -40,9 +41,35 @@ class Template:
     )
     last: frozenset[str] = frozenset({"assistant"})
 
+    def __post_init__(self):
+        marks = sorted({x[:2] for x in (self.start, self.end)})
+        if any(len(x) < 2 or "\\" in x for x in marks):
+            raise ValueError("start and end need two characters first that aren't backslashes")
+        either = lambda extra: re.compile("|".join(f"{re.escape(x[0])}{extra}(?=\\\\*{re.escape(x[1])})" for x in marks))
+        object.__setattr__(self, "_control", either(""))
+        object.__setattr__(self, "_escaped", either(r"\\"))
+
+    def escape(self, text: str) -> str:
+        return self._control.sub(lambda m: m[0] + "\\", text)
+
+    def unescape(self, text: str) -> str:
+        return self._escaped.sub(lambda m: m[0][:-1], text)
+
+    def escape_role(self, role: str) -> str:
+        role = role.replace("%", "%25")
+        for c in dict.fromkeys(self.after_role):
+            role = role.replace(c, f"%{ord(c):02X}") if c not in "%25" else role
+        return self.escape(role)
+
+    def unescape_role(self, role: str) -> str:
+        role = self.unescape(role)
+        for c in dict.fromkeys(self.after_role):
+            role = role.replace(f"%{ord(c):02X}", c) if c not in "%25" else role
+        return role.replace("%25", "%")
+
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """The turn's segments, each with its loss flag."""
-        return [(self.start + escape_role(role) + self.after_role, False), (escape(text), role in self.learned), (self.end, False)]
+        return [(self.start + self.escape_role(role) + self.after_role, False), (self.escape(text), role in self.learned), (self.end, False)]
 
     def allows(self, before: str, role: str) -> bool:
         return role in self.follows.get(before, ())
@@ -51,27 +78,8 @@ class Template:
         """Role, text and text under the loss mask, from one turn's formatted segments."""
         whole = "".join(s for s, _ in segments)
         head, _, body = whole[len(self.start) :].partition(self.after_role)
-        text = unescape(body[: len(body) - len(self.end)])
-        return unescape_role(head), text, "".join(unescape(s) for s, loss in segments if loss)
-
-
-_control, _escaped = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-
-
-def escape(text: str) -> str:
-    return _control.sub(r"<\1\\|", text)
-
-
-def unescape(text: str) -> str:
-    return _escaped.sub(r"<\1|", text)
-
-
-def escape_role(role: str) -> str:
-    return escape(role.replace("%", "%25").replace("\n", "%0A"))
-
-
-def unescape_role(role: str) -> str:
-    return unescape(role).replace("%0A", "\n").replace("%25", "%")
+        text = self.unescape(body[: len(body) - len(self.end)])
+        return self.unescape_role(head), text, "".join(self.unescape(s) for s, loss in segments if loss)
 
 
 SEGMENTS = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
