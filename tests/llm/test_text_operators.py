@@ -130,6 +130,22 @@ def test_a_template_is_data(spark):
     assert chat.read_back(chat.format_turns(frame, t), t).first().loss_chars == 2
 
 
+@pytest.mark.parametrize("marks", [("[[", "]]", "[[/"), ("<s>", "\n", "</s>"), ("##", ": ", "##\n")])
+def test_control_strings_of_any_template_are_escaped(spark, marks):
+    t = chat.Template(*marks)
+    bits = [marks[0], marks[2], "[[[", "[\\[", "##", "#\\#", "<s", "<\\/", "x", "\\", "A: ", "%25", "\n"]
+    rng = random.Random(1)
+    rows = [(c, k, rng.choice(["user", "assistant", "a: b", "a]]b%5D", "".join(rng.choice(bits) for _ in range(3))]), "".join(rng.choice(bits) for _ in range(7))) for c in range(60) for k in range(3)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(frame, t)
+    for r in formatted.collect():
+        assert marks[0] not in r.segments[1].text and marks[2].strip() not in r.segments[1].text
+    got = {r.conv_id: r.turns_sha256 for r in chat.read_back(formatted, t).collect()}
+    assert got == {c: digest("".join(f"{r}\n{x}\n" for d, _, r, x in rows if d == c)) for c in range(60)}
+    with pytest.raises(ValueError):
+        chat.Template(start="[")
+
+
 # toxicity
 
 
@@ -343,11 +359,36 @@ def test_pieces_round_trip_and_chunks_match_whole(spark):
         assert any(p.decode(j)[1:] == want for j in joined)
         value = lambda seq: int(p.score_of[seq].sum()) if seq else 0
         assert {value(j) for j in joined} == {value(i) for i in ids[d]}  # as good as the best segmentation of the whole
+        if max(map(len, re.findall(" *[^ ]+| +", " " + (t or "")))) <= 64:
+            assert sorted(joined) == sorted(ids[d])  # and the same one
     assert all(r.exact for r in pieces.round_trip(cut).collect())
     assert sorted((r.doc_id, r.text) for r in pieces.decode(cut, MODEL).collect()) == sorted([(d, t or "") for d, t in enumerate(texts)] + [(0, "again")])
     assert pieces.encode(docs(spark, []), MODEL).collect() == []
 
 
+def test_segmentations_by_enumeration():
+    p = pieces.Pieces(MODEL)
+
+    def every(t):  # all segmentations: lengths of pieces, with bytes for characters that have none
+        if not t:
+            yield (), 0
+        for n in range(1, len(t) + 1):
+            own = p.pieces[t[:n]][1] if t[:n] in p.pieces else pieces.BYTE_SCORE * len(t[0].encode()) if n == 1 else None
+            if own is not None:
+                yield from (((n, *more), own + value) for more, value in every(t[n:]))
+
+    rng = random.Random(4)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "b", "aa", "ab", "é", "er", "日", "x"]) for _ in range(rng.randint(1, 6)))
+        best = max(value for _, value in every(t))
+        lengths = min(x for x, value in every(t) if value == best)  # ties: the shortest first piece
+        at, want = 0, []
+        for n in lengths:
+            want += [p.pieces[t[at : at + n]][0]] if t[at : at + n] in p.pieces else [p.bytes[b] for b in t[at : at + n].encode()]
+            at += n
+        assert np.frombuffer(p[t], "<i4").tolist() == want
+
+
 def test_segmentations_are_the_best():
     p = pieces.Pieces(MODEL)
     rng = random.Random(2)

@@ -2,13 +2,16 @@
 
 The pieces of a SentencePiece model are used with the best-scoring segmentation: the sum of piece scores is
 largest. A character that no piece covers is
-written as its bytes. Giant texts are cut into chunks of CHUNK characters. A chunk's transfer matrix has the best
+written as its bytes. Giant texts are cut into chunks of at most CHUNK characters, each at the last place that no
+piece crosses, if it has one. A chunk's transfer matrix has the best
 score from each boundary state before it to each after it; a state is the number of characters that a piece begun
 earlier still covers. Matrices are combined in blocks of FAN, level by level, up to one for each text; going down
 again fixes the states between the chunks, and each chunk is then backtraced by itself.
 
-Within a chunk, a piece never runs past the place where a space follows another character, so stretches between
-such places are segmented alone and remembered; only the stretches at the chunk's two ends depend on the states.
+A piece never runs past the place where a space follows another character, so stretches between such places are
+segmented alone and remembered. Of equally good segmentations of a stretch the one with the shortest first piece that
+differs is taken, whatever the chunk size; only a stretch of more than CHUNK characters has its own chunks, whose
+states decide between equally good ones.
 
 Rows: null counts as empty, and an empty text is the piece of its leading space. Repeated rows are encoded each
 for itself. An empty table gives an empty result. Other columns are ignored.
@@ -198,9 +201,12 @@ class Pieces(dict):
             if enter > size:
                 return b""
             return self.ids(text, self.best(text, [NEVER] * enter + [0], size)[1], size + leave)
-        head = self.ids(text[:first], self.best(text[:first], [NEVER] * enter + [0], first)[1], first)
-        tail = self.ids(text[last:], self.best(text[last:], [0], size - last)[1], size + leave - last)
-        return head + self.encode(text[first:last]) + tail
+        # a chunk that begins or ends between two stretches is segmented there like any other text
+        starts = enter == 0 and text[0] == " "
+        ends = leave == 0 and (size == len(text) or (text[size] == " " and text[size - 1] != " "))
+        head = b"" if starts else self.ids(text[:first], self.best(text[:first], [NEVER] * enter + [0], first)[1], first)
+        tail = b"" if ends else self.ids(text[last:], self.best(text[last:], [0], size - last)[1], size + leave - last)
+        return head + self.encode(text[0 if starts else first : size if ends else last]) + tail
 
 
 _models: dict[str, Pieces] = {}
@@ -262,9 +268,16 @@ def _chunked(giants: DataFrame, chunk: int, longest: int) -> DataFrame:
         for x in batches:
             for rid, doc, text in zip(*(x.column(c).to_pylist() for c in range(3))):
                 text = " " + text
-                for k, at in enumerate(range(0, len(text), chunk)):
+                at = k = 0
+                while at < len(text):
                     size = min(chunk, len(text) - at)
+                    if at + size < len(text):
+                        place = at + size
+                        while place > at and not (text[place] == " " and text[place - 1] != " "):
+                            place -= 1
+                        size = place - at or size
                     yield pa.record_batch([pa.array([rid], pa.int64()), pa.array([doc], x.schema.field(1).type), pa.array([k], pa.int64()), pa.array([size], pa.int32()), pa.array([text[at : at + size + longest - 1]], pa.string())], names=["rid", "doc_id", "k", "size", "text"])
+                    at, k = at + size, k + 1
 
     return giants.mapInArrow(run, f"rid long, doc_id {dict(giants.dtypes)['doc_id']}, k long, size int, text string")
 
