@@ -66,10 +66,13 @@ def listings(spark, d):
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.lit(None).cast("double").alias("list_price"), (F.col("l_linestatus") == "F").alias("in_stock"), F.col("l_shipdate").cast("timestamp").alias("seen_at"),
         (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 0 + F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * 1000 + F.col("l_orderkey") % 1000).alias("arrival"),
     )
-    return ingest.clean(rows.dropDuplicates(["store_id", "sku", "arrival"]))
+    first = F.min_by(F.struct(*rows.columns), F.struct("price", "in_stock"))
+    return ingest.clean(rows.groupBy("store_id", "sku", "arrival").agg(first.alias("x")).select("x.*"))
 
 
-@query()
+@query(""", listed AS (SELECT CAST(l_suppkey AS VARCHAR) AS store_id, CAST(l_partkey AS VARCHAR) AS sku, l_shipdate AS seen_at, l_orderkey % 1000 AS within, arg_min(l_extendedprice / l_quantity, (l_extendedprice / l_quantity, l_linestatus = 'F')) AS price, min((l_extendedprice / l_quantity, l_linestatus = 'F'))[2] AS in_stock
+FROM lineitem GROUP BY 1, 2, 3, 4), marked AS (SELECT *, lag(price) OVER w IS NULL OR abs(price - lag(price) OVER w) >= 0.005 OR in_stock <> lag(in_stock) OVER w AS changed, seen_at < TIMESTAMP '2000-01-01' AS early FROM listed WINDOW w AS (PARTITION BY store_id, sku ORDER BY seen_at, within))
+SELECT store_id, sku, floor(arg_max(price, (seen_at, within)) * 100 + 0.5) / 100 AS price, arg_max(in_stock, (seen_at, within)) AS in_stock, strftime(min(seen_at), '%Y-%m-%d') AS first_seen, strftime(max(seen_at), '%Y-%m-%d') AS last_seen, strftime(max(seen_at) FILTER (changed), '%Y-%m-%d') AS last_change, true AS is_active FROM marked GROUP BY store_id, sku""")
 def ing_upsert(spark, d):
     from varve import schema
     from varve.staging import stage
@@ -77,7 +80,9 @@ def ing_upsert(spark, d):
     rows = stage(listings(spark, d), "listings")
     cut_at = F.lit("2000-01-01").cast("timestamp")
     state = stage(ingest.upsert(spark.createDataFrame([], schema.PRODUCTS), rows.filter(F.col("seen_at") < cut_at)), "state")
-    return ingest.upsert(state, rows.filter(F.col("seen_at") >= cut_at)).select("store_id", "sku", "price", "in_stock", "first_seen_at", "last_seen_at", "last_price_change_at", "is_active")
+    return ingest.upsert(state, rows.filter(F.col("seen_at") >= cut_at)).select(
+        "store_id", "sku", (F.floor(F.col("price") * 100 + 0.5) / 100).alias("price"), "in_stock", *(F.date_format(c, "yyyy-MM-dd").alias(n) for c, n in (("first_seen_at", "first_seen"), ("last_seen_at", "last_seen"), ("last_price_change_at", "last_change"))), "is_active",
+    )
 
 
 @query("""SELECT product_id, CASE WHEN product_id % 4 <> 0 THEN concat('img', CAST(product_id AS STRING)) ELSE coalesce(m.image, v.image) END AS image_url, regexp_replace(upper(model), '[- .]', '', 'g') AS model_key FROM (SELECT *, regexp_replace(upper(model), '[- .]', '', 'g') AS k FROM products) p

@@ -136,11 +136,11 @@ def str_circuit_breaker(spark, d):
     return audit.breaker(runs(spark, d))
 
 
-@query("""SELECT slug FROM categories c WHERE parent_slug IS NULL AND NOT EXISTS (SELECT 1 FROM deals JOIN categories k ON k.slug = category WHERE coalesce(k.parent_slug, k.slug) = c.slug AND deals.product_id < 3)""")
+@query("""SELECT 'empty_categories' AS "check", 'info' AS severity, string_agg(slug, ',' ORDER BY slug) AS subject, count(*)::DOUBLE AS detail FROM categories c WHERE parent_slug IS NULL
+AND NOT EXISTS (SELECT 1 FROM deals JOIN categories k ON k.slug = category WHERE coalesce(k.parent_slug, k.slug) = c.slug AND deals.condition = 'none') HAVING count(*) > 3""")
 def aud_empty_roots(spark, d):
-    tree = categories(spark, d)
-    used = deals(spark, d).filter("product_id < 3").join(tree, F.col("slug") == F.col("category")).select(F.coalesce("parent_slug", "slug").alias("slug")).distinct()
-    return tree.filter("parent_slug IS NULL").join(used, "slug", "left_anti").select("slug")
+    """All root categories are empty of deals in a condition that none has."""
+    return audit.empty_categories(categories(spark, d), deals(spark, d).filter("condition = 'none'"))
 
 
 @query("""SELECT 'empty_categories' AS "check", 'info' AS severity, string_agg(slug, ',' ORDER BY slug) AS subject, count(*)::DOUBLE AS detail FROM categories c WHERE parent_slug IS NULL

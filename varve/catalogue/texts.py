@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from varve.functions import jsonld, prices, text
 from varve.operators import specs, textsearch
+from varve.operators.filters import DealFilters
 
 from .base import R6, categories, deals, products, query, r6, table
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(strip_accents(lower(left(text, 400))), '[^a-z0-9]+', '-', 'g')) AS folded FROM documents WHERE lang = 'fr'""")
+@query(r"""SELECT doc_id, md5(regexp_replace(strip_accents(lower(text)), '[^a-z]+', '', 'g')) AS folded FROM documents""")
 def scl_fold(spark, d):
-    return table(spark, d, "documents").filter("lang = 'fr'").select("doc_id", F.md5(F.regexp_replace(text.fold(F.left("text", F.lit(400))), "[^a-z0-9]+", "-").cast("binary")).alias("folded"))
+    """The letters alone, of every document."""
+    return table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(text.fold(F.col("text")), "[^a-z]+", "").cast("binary")).alias("folded"))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g')) AS folded FROM documents""")
@@ -111,12 +113,34 @@ def txt_bm25(spark, d):
     return found.select(F.col("doc").alias("doc_id"), (-F.floor(-F.col("bm25") * 1e4 + 0.5) / 1e4).alias("bm25"))
 
 
-@query()
+SEARCH = """, toks AS (SELECT product_id AS doc, unnest(list_filter(regexp_split_to_array(strip_accents(lower(concat_ws(' ', title, brand))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS token FROM products),
+lens AS (SELECT doc, count(*) AS length FROM toks GROUP BY doc), st AS (SELECT count(*) AS n, avg(length) AS mean FROM lens),
+per AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, 0 AS term FROM toks WHERE token = 'blue' UNION ALL SELECT doc, 1 FROM toks WHERE starts_with(token, 'oled')) GROUP BY doc, term),
+idf AS (SELECT term, greatest(ln((n - count(*) + 0.5e0) / (count(*) + 0.5e0)), 1e-6) AS w FROM per, st GROUP BY term, n),
+met AS (SELECT doc AS product_id, -sum(w * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))) AS bm25 FROM per JOIN idf USING (term) JOIN lens USING (doc), st GROUP BY doc HAVING count(*) = 2),
+page AS (SELECT product_id, score, bm25 + (100 - score) * 0.06 AS relevance, count(*) OVER () AS total FROM met JOIN deals USING (product_id) ORDER BY relevance, product_id LIMIT 48)
+SELECT product_id, score, total, floor(relevance * 1e4 + 0.5) / 1e4 AS relevance FROM page"""
+
+
+def search_index(spark, d):
+    items = products(spark, d)
+    return textsearch.postings(items, "product_id", ["title", "brand"]), textsearch.statistics(items, ["title", "brand"])
+
+
+def shown(page):
+    return page.select("product_id", "score", "total", (F.floor(F.col("relevance") * 1e4 + 0.5) / 1e4).alias("relevance"))
+
+
+@query(SEARCH)
 def txt_search(spark, d):
     """Relevance blended with the deal score, with the total."""
-    items = products(spark, d)
-    index, stats = textsearch.postings(items, "product_id", ["title", "brand"]), textsearch.statistics(items, ["title", "brand"])
-    return textsearch.search(index, stats, deals(spark, d).select("product_id", "score"), "blue oled").select("product_id", "score", "total", r6(F.col("relevance")).alias("relevance"))
+    return shown(textsearch.search(*search_index(spark, d), deals(spark, d).select("product_id", "score"), "blue oled"))
+
+
+@query(SEARCH.replace("USING (product_id) ORDER", "USING (product_id) WHERE is_active AND is_variant_lead AND condition <> 'new' AND (in_stock IS NULL OR in_stock) ORDER"))
+def txt_search_filtered(spark, d):
+    """A search within a listing's filters."""
+    return shown(textsearch.search(*search_index(spark, d), deals(spark, d), "blue oled", within=DealFilters(condition="used", in_stock_only=True)))
 
 
 @query()

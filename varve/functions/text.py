@@ -110,3 +110,13 @@ def query_tokens(raw: str, most: int = 8) -> list[str]:
     """The tokens of a search: folded, of two letters or digits at least, the first few."""
     plain = "".join(c for c in unicodedata.normalize("NFD", raw.lower()) if not unicodedata.combining(c))
     return [t for t in "".join(c if c.isalnum() else " " for c in plain).split() if len(t) >= 2][:most]
+
+
+def json_list(raw: Column) -> Column:
+    """A JSON array of strings; empty for null or anything else."""
+    return F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
+
+
+def json_text(value: Column) -> Column:
+    """A list, map or struct as JSON."""
+    return F.to_json(value)

@@ -139,3 +139,12 @@ def collection_order(sources: DataFrame, cursors: DataFrame) -> DataFrame:
     at = cursors.select("store_id", "scope", "next_page", "laps")
     met = sources.join(at, ["store_id", "scope"], "left").withColumns({"laps": F.coalesce("laps", F.lit(0)), "next_page": F.coalesce("next_page", F.lit(1))})
     return met.orderBy("laps", "next_page", "store_id", "scope")
+
+
+def stale_first(stores: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
+    """store_id, last_collected_at and place of the stores to collect next: those never collected, then the oldest.
+    runs: store_id, finished_at."""
+    last = runs.groupBy("store_id").agg(F.max("finished_at").alias("last_collected_at"))
+    first = stores.join(last, "store_id", "left").orderBy(F.asc_nulls_first("last_collected_at"), "store_id").limit(limit)
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_first("last_collected_at"), "store_id"))  # over `limit` rows
+    return first.withColumn("place", place)

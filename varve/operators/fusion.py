@@ -84,7 +84,7 @@ def eligible(products: DataFrame, source: str, stores: list | None = None, brand
     if source in ("cross_store", "manufacturer"):
         out = out.filter(F.length(model_key(F.col("model"))) >= LEAST_MODEL)
     if brands is not None:
-        out = out.join(F.broadcast(brands.select(F.lower("brand").alias("_brand")).distinct()), F.lower("brand") == F.col("_brand"), "left_semi")
+        out = out.join(brands.select(F.lower("brand").alias("_brand")).distinct(), F.lower("brand") == F.col("_brand"), "left_semi")
     return out
 
 

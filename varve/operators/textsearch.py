@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from varve.functions.text import fold, query_tokens, spaces
 
+from . import filters
+from .filters import DealFilters
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Weight of the score's distance from 100 in the blended order.
 BLEND = 0.06
@@ -56,8 +59,10 @@ def blended(bm25: Column, score: Column) -> Column:
     return bm25 + (100 - score) * BLEND
 
 
-def search(index: DataFrame, stats: DataFrame, deals: DataFrame, raw: str, doc: str = "product_id", limit: int = 48, offset: int = 0) -> DataFrame:
-    """A page of deals by blended relevance, with the total of all matches."""
+def search(index: DataFrame, stats: DataFrame, deals: DataFrame, raw: str, doc: str = "product_id", limit: int = 48, offset: int = 0, within: DealFilters | None = None) -> DataFrame:
+    """A page of deals by blended relevance, with the total of all matches: deals of every condition, or those within
+    a listing's filters."""
+    deals = deals if within is None else filters.apply(deals, within)
     met = match(index, stats, raw).withColumnRenamed("doc", doc).join(deals, doc)
     ranked = met.withColumn("relevance", blended(F.col("bm25"), F.col("score")))
     total = ranked.agg(F.count(F.lit(1)).alias("total"))
@@ -82,3 +87,8 @@ def suggest(products: DataFrame, categories: DataFrame, index: DataFrame, stats:
     one = met.withColumn("_n", F.row_number().over(first)).filter("_n = 1").orderBy("class", "bm25", "doc").limit(limit)
     items = one.select(F.lit("product").alias("kind"), F.col("title").alias("label"), F.col("doc").cast("string").alias("id"), "class", F.col("bm25").alias("by"))
     return brands.unionByName(words).unionByName(items).orderBy("class", "by", "label")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """The postings sorted by token over all files, so that a query's tokens and prefix skip files and row groups."""
+    index.repartitionByRange("token").sortWithinPartitions("token", "doc").write.mode("overwrite").parquet(path)

@@ -42,6 +42,17 @@ def home_sections(deals: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
+def product(deals: DataFrame, product_id: int) -> DataFrame:
+    """The one deal of a product's page, whether it is active or not."""
+    return deals.filter(F.col("product_id") == product_id)
+
+
+def manufacturer_reference(references: DataFrame, product_id: int) -> DataFrame:
+    """product_id, launch_price, notes, sources and checked_at of a product's found reference, the latest one."""
+    found = references.filter((F.col("product_id") == product_id) & F.col("found"))
+    return found.select("product_id", "launch_price", "notes", "sources", "checked_at").orderBy(F.desc("checked_at")).limit(1)
+
+
 def similar(deals: DataFrame, category: str, product_id: int, limit: int = 10) -> DataFrame:
     f = DealFilters(category=category, limit=limit)
     return top_deals(deals.filter(F.col("product_id") != product_id), f)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ _own: dict[str, str] = {}
 
 
 def folder(spark) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir; where that is unset, a temporary one, on a single
+    machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="varve-", dir=os.environ.get("TMPDIR", "/tmp"))
