@@ -212,7 +212,7 @@ def brute_base(rows):
     return [(d, held(d), len(low(t)), sum(c[w] > 0 for w in low(t)), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in low(t))) for d, t in rows]
 
 
-@pytest.mark.parametrize("head", [100_000, 20])
+@pytest.mark.parametrize("head", [1_000_000, 20])
 def test_lm_base_score_matches_brute_force(spark, monkeypatch, head):
     monkeypatch.setattr(brown_lm, "HEAD", head)
     rows = list(enumerate(some_texts(3))) + [(1, ""), (None, "a b")]
@@ -235,7 +235,7 @@ def lm_words(t):
     return WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize(("head", "seeds"), [(100_000, 1024), (100, 20), (30, 8)])
+@pytest.mark.parametrize(("head", "seeds"), [(1_000_000, 1024), (100, 20), (30, 8)])
 def test_lm_score_matches_brute_force(spark, monkeypatch, head, seeds):
     """The score from the classes that the operator gave, by plain loops; words in and out of what is broadcast."""
     for name, value in {"HEAD": head, "SEEDS": seeds, "UNITS": seeds + 2, "REST_UNIT": seeds, "END_UNIT": seeds + 1}.items():

@@ -35,7 +35,7 @@ from .toxicity import remainder
 
 SEEDS, CLASSES, SWEEPS = 1024, 48, 12
 #: A word is sent to all tasks if it is one in HEAD tokens or more, and not longer than HEAD_BYTES: HEAD words at most.
-HEAD, HEAD_BYTES = 100_000, 32
+HEAD, HEAD_BYTES = 1_000_000, 32
 #: While seeds are clustered, all other words are one unit with a class of its own, and so is the end token.
 UNITS, REST_UNIT, END_UNIT = SEEDS + 2, SEEDS, SEEDS + 1
 END_CLASS, REST_CLASS, CONTEXTS = CLASSES, CLASSES + 1, CLASSES + 2
@@ -223,6 +223,13 @@ def seed_classes(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _ENTRY = np.dtype([("pair", "<u2"), ("n", "<u4")])
 
 
+def _entries(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a column of packed ones, and how many each row has."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(_ENTRY), np.diff(offsets) // _ENTRY.itemsize
+
+
 def contexts(train: DataFrame, head: list[bytes], seeds: np.ndarray) -> DataFrame:
     """word and entries (pair: CONTEXTS * class before + class after, and how often, packed) of every word that isn't a
     seed, from the rows of number(); several rows for a word."""
@@ -318,11 +325,11 @@ def assign(seen: DataFrame, table: np.ndarray) -> DataFrame:
         for x in batches:
             if not x.num_rows:
                 continue
-            entries = [kept, *_rows(x, 1, _ENTRY)]
+            entries, many = _entries(x.column(1))
             words = pa.concat_arrays([held if held is not None else x.column(0).slice(0, 1), x.column(0)])
             row = np.append(0, np.cumsum(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
             words = words.take(pa.array(np.flatnonzero(np.diff(row, prepend=-1))))
-            row, entries = np.repeat(row, list(map(len, entries))), np.concatenate(entries)
+            row, entries = np.repeat(row, np.append(len(kept), many)), np.concatenate([kept, entries])
             last = row == len(words) - 1
             for k in range(0, len(words) - 1, 2000):
                 some = (row >= k) & (row < min(k + 2000, len(words) - 1))
