@@ -201,6 +201,59 @@ def test_toxicity_edges(spark):
     assert kept.columns == docs(spark, rows).columns and 0 < kept.count() < len(rows)
 
 
+def test_toxicity_sees_pairs_of_which_neither_word_tells_anything_alone(spark):
+    rng, rows, labels = random.Random(3), [], []
+    for d in range(1200):
+        t = [rng.choice(["w%d" % k for k in range(200)]) for _ in range(30)]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        t[10:10] = ["tall"] * a + ["neighbours"] * b + ["idiot"] * (not a and not b)
+        rows.append((d, " ".join(t)))
+        labels.append((d, int(a == b)))
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    y = dict(labels)
+    held = [r for r in toxicity.score(docs(spark, rows), given).collect() if r.held_out]
+    assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.97
+
+
+def test_toxicity_takes_the_terms_that_brute_force_takes(spark):
+    rows, labels = toxic_rows(900)
+    rows = rows + rows[:300]  # equal texts count once
+    machine = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    y = {t: labels[d][1] for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 0}
+    n, ones = len(y), sum(y.values())
+    chi2 = lambda k, of: (of * n - k * ones) ** 2 * n / (k * (n - k) * ones * (n - ones)) if k < n else 0
+    single, pair = Counter(), Counter()
+    single1, pair1 = Counter(), Counter()
+    number = lambda w: zlib.crc32(b"w" + w.encode()) % 2**toxicity.BITS
+    for t, v in y.items():
+        w = t.split()
+        terms = set().union(*map(toxicity.hashed, w))
+        near = {tuple(sorted((number(w[i]), number(w[j])))) for i in range(len(w)) for j in range(i + 1, min(len(w), i + toxicity.NEAR + 1)) if w[i] != w[j]}
+        single.update(terms)
+        pair.update(near)
+        if v:
+            single1.update(terms)
+            pair1.update(near)
+    want = {f for f, k in single.items() if k >= toxicity.LEAST_DOCS and chi2(k, single1[f]) >= toxicity.LEAST_CHI2}
+    for p, k in pair1.items():
+        if k >= toxicity.LEAST_PAIR and k * n > pair[p] * ones and chi2(pair[p], k) >= toxicity.LEAST_PAIR_CHI2:
+            want |= set(p)
+    assert set(machine.features.tolist()) == want
+
+
+def test_toxicity_score_is_the_sum_over_all_pairs_of_terms(spark):
+    rows, labels = toxic_rows(400)
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.fit(docs(spark, rows), given)
+    place = {int(f): k for k, f in enumerate(machine.features)}
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, rows), given).collect()}
+    for d, t in rows[:150]:
+        at = sorted({place[f] for w in set(t.split()) for f in toxicity.hashed(w) if f in place})
+        z = machine.bias + sum(machine.weights[i] for i in at)
+        z += sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 # language model
 
 
