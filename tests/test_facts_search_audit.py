@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from varve import schema
 from varve.operators import audit, filters, fusion, textsearch
 from varve.operators.filters import DealFilters
+from varve.operators.joins import left_by_known_key
 from varve.plans import readmodel
 
 NOW = datetime(2026, 3, 1)
@@ -125,3 +127,25 @@ def test_home_sections_have_their_own_limits(spark):
     deals = spark.createDataFrame(rows, "product_id long, score double, confidence double, price double, condition string, is_active boolean, is_variant_lead boolean, is_lowest_ever boolean")
     got = {r.section: r["count"] for r in readmodel.home_sections(deals).groupBy("section").count().collect()}
     assert got == {"lowest": 10, "verified": 10, "used": 10, "best": 30}
+
+
+def test_category_ranks_match_brute_force(spark):
+    rng = random.Random(5)
+    quality = [rng.choice([None, -0.25, 0.0, 1.0, 3.5, *(rng.random() for _ in range(12)), *(0.5 + rng.random() / 5000 for _ in range(8))]) for _ in range(600)]
+    rows = [(k, "hot" if k % 3 else f"c{k % 12}", q) for k, q in enumerate(quality)] + [(900, "rare", 0.5), (901, None, 0.5)]
+    got = {r.product_id: (r.quality_rank, r.rated) for r in readmodel.category_ranks(spark.createDataFrame(rows, "product_id long, category string, quality_score double")).collect()}
+    want = {}
+    for k, c, q in rows:
+        peers = [p for _, d, p in rows if d == c and p is not None]
+        if c is not None and q is not None and len(peers) >= 5:
+            want[k] = (1 + sum(p > q for p in peers), len(peers))
+    assert got == want
+
+
+def test_rows_without_a_key_stay_and_match_nothing(spark):
+    rows = spark.createDataFrame([(k, None if k % 3 else "a", "" if k % 2 else "b") for k in range(30)] + [(99, "a", "b")], "product_id long, x string, y string")
+    found = spark.createDataFrame([("a", "b", 7), ("a", "", 8), (None, "b", 9)], "x string, y string, n int")
+    got = {r.product_id: r.n for r in left_by_known_key(rows, found, ["x", "y"]).collect()}
+    assert got == {**{k: None if k % 3 else 8 if k % 2 else 7 for k in range(30)}, 99: 7}
+    marked = left_by_known_key(rows, found, ["x", "y"], unknown=F.col("y") == "")
+    assert {r.product_id: r.n for r in marked.collect()} == {k: None if n == 8 else n for k, n in got.items()}

@@ -113,7 +113,7 @@ def criteria(f: DealFilters) -> dict[str, Column]:
 def in_category(deals: DataFrame, categories: DataFrame, slug: str) -> DataFrame:
     """Deals of a category or of its direct children."""
     slugs = categories.filter((F.col("slug") == slug) | (F.col("parent_slug") == slug)).select(F.col("slug").alias("category"))
-    return deals.join(F.broadcast(slugs), "category", "left_semi")
+    return deals.join(slugs, "category", "left_semi")
 
 
 def apply(deals: DataFrame, f: DealFilters, categories: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from varve.functions.prices import EPSILON, same_price, sane_list_price, sane_rating
 from varve.functions.text import model_key, plain_text, variant_key
+from varve.operators.joins import left_by_known_key
 
 KEY = ["store_id", "sku"]
 #: Descriptive columns of which a new null doesn't erase a known value, and those that always follow the batch.
@@ -94,7 +95,7 @@ def reconcile(products: DataFrame) -> DataFrame:
     for key, name in (("model_key", "_by_model"), ("variant_key", "_by_variant")):
         have = rows.filter(F.col("image_url").isNotNull() & F.col(key).isNotNull())
         pictures = have.groupBy("store_id", key).agg(F.min_by("image_url", "product_id").alias(name))
-        rows = rows.join(pictures, ["store_id", key], "left")
+        rows = left_by_known_key(rows, pictures, ["store_id", key])
     rating, count = sane_rating(F.col("rating"), F.col("rating_count"))
     rows = rows.withColumns({"image_url": F.coalesce("image_url", "_by_model", "_by_variant"), "rating": rating, "rating_count": count})
     return rows.select(*dict.fromkeys([*products.columns, "variant_key", "model_key"]))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.prices import EPSILON, clamp, discount, half_up, lerp, saturating_log
+from varve.operators.joins import left_by_known_key
 
 INPUTS = {
     "price": "double", "list_price": "double", "in_stock": "boolean", "rating": "double", "rating_count": "bigint", "condition": "string",
@@ -164,7 +165,7 @@ def inherit_quality(products: DataFrame, model: str = "model_key", store: str |
     many reviews; inherited_quality says so. One aggregate per model, joined back."""
     reviews = F.coalesce(F.col("recommend_total"), F.col("rating_count"), F.lit(0))
     best = products.filter(F.col(model).isNotNull() & (F.col(model) != "")).groupBy(model).agg(F.max_by(F.struct(F.col("rating").alias("m_rating"), F.col("rating_count").alias("m_count"), F.col("recommend_yes").alias("m_yes"), F.col("recommend_total").alias("m_total"), reviews.alias("m_reviews")), F.struct(reviews, -F.col("product_id"))).alias("m"))
-    met = products.join(best.select(model, "m.*"), model, "left")
+    met = left_by_known_key(products, best.select(model, "m.*"), [model], unknown=F.col(model) == "")
     take = F.coalesce(F.col("m_reviews") > 2 * reviews, F.lit(False))
     pick = lambda own, other: F.when(take, F.col(other)).otherwise(F.col(own))
     out = met.withColumns({"rating": pick("rating", "m_rating"), "rating_count": pick("rating_count", "m_count"), "recommend_yes": pick("recommend_yes", "m_yes"), "recommend_total": pick("recommend_total", "m_total"), "inherited_quality": take})
@@ -181,5 +182,5 @@ def elect_leaders(scored: DataFrame, store: str = "store_id", variant: str = "va
     without a variant key all lead. Per key one maximum is aggregated, so large groups are summed up before the shuffle."""
     keyed = scored.filter(F.col(variant).isNotNull())
     best = keyed.groupBy(store, variant).agg(F.max_by(F.col(product), F.struct(F.col("score"), -F.col(product))).alias("_lead"))
-    met = scored.join(best, [store, variant], "left")
+    met = left_by_known_key(scored, best, [store, variant], product)
     return met.withColumn("is_variant_lead", F.col(variant).isNull() | (F.col("_lead") == F.col(product))).drop("_lead")

@@ -11,6 +11,7 @@ from varve.operators.filters import DealFilters
 from varve.operators.spec_rules import FAMILY_ORDER
 
 LEAST_FACET, MOST_FACET = 3, 12
+RANK_BINS = 1000
 
 
 def top_deals(deals: DataFrame, f: DealFilters, categories: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:
@@ -86,12 +87,17 @@ def comparables(deals: DataFrame, product_id: int, limit: int = 3) -> DataFrame:
 
 def category_ranks(deals: DataFrame, least: int = 5, quality: str = "quality_score", category: str = "category") -> DataFrame:
     """product_id, category, quality_rank (one more than those strictly better), rated; categories with few rated
-    products have none. Ranks come from counts per distinct quality, joined back."""
+    products have none. Ranks come from counts per distinct quality, joined back; qualities are ranked within RANK_BINS
+    bins to the unit, so that a category with a third of all products is dealt out, and bins are ranked among themselves."""
     rated = deals.filter(F.col(quality).isNotNull())
-    levels = rated.groupBy(category, quality).agg(F.count(F.lit(1)).alias("_n"))
+    levels = rated.groupBy(category, quality).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", F.floor(F.col(quality) * RANK_BINS))
+    bins = levels.groupBy(category, "_bin").agg(F.sum("_n").alias("_in_bin"))
     over = Window.partitionBy(category)
-    better = over.orderBy(F.desc(quality)).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.select(category, quality, (F.coalesce(F.sum("_n").over(better), F.lit(0)) + 1).alias("quality_rank"), F.sum("_n").over(over).alias("rated"))
+    above = F.coalesce(F.sum("_in_bin").over(over.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select(category, "_bin", above.alias("_above"), F.sum("_in_bin").over(over).alias("rated"))
+    better = Window.partitionBy(category, "_bin").orderBy(F.desc(quality)).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("_better", F.coalesce(F.sum("_n").over(better), F.lit(0))).join(bins, [category, "_bin"])
+    levels = levels.select(category, quality, (F.col("_above") + F.col("_better") + 1).alias("quality_rank"), "rated")
     return rated.select("product_id", category, quality).join(levels.filter(F.col("rated") >= least), [category, quality])
 
 
@@ -153,7 +159,7 @@ def categories_with_counts(categories: DataFrame, deals: DataFrame, store=None)
     """Each category with its deals and best score; zero where there are none."""
     rows = deals.filter(F.col("is_active")) if store is None else deals.filter(F.col("is_active") & (F.col("store_id") == store))
     totals = rows.groupBy(F.col("category").alias("slug")).agg(F.count(F.lit(1)).alias("deals"), F.max("score").alias("_best"))
-    out = categories.join(F.broadcast(totals), "slug", "left")
+    out = categories.join(totals, "slug", "left")
     return out.select("slug", "name", "parent_slug", F.coalesce("deals", F.lit(0)).alias("deals"), half_up(F.col("_best"), 1).alias("best_score"))
 
 
@@ -171,7 +177,7 @@ def site_stats(deals: DataFrame, runs: DataFrame) -> DataFrame:
 def active_stores(stores: DataFrame, products: DataFrame, now: Column) -> DataFrame:
     """Stores with their active products (zero included): larger ones first, then those that are ready, then by name."""
     counts = products.filter(F.col("is_active")).groupBy("store_id").agg(F.count(F.lit(1)).alias("products"))
-    out = stores.join(F.broadcast(counts), "store_id", "left").withColumn("products", F.coalesce("products", F.lit(0)))
+    out = stores.join(counts, "store_id", "left").withColumn("products", F.coalesce("products", F.lit(0)))
     out = out.withColumn("ready", F.col("enabled") & (F.col("paused_until").isNull() | (F.col("paused_until") <= now)))
     return out.orderBy(F.desc("products"), F.desc("ready"), F.collate("name", "fr_CI_AI"), "store_id")
 
