@@ -17,11 +17,10 @@ table gives an empty result. Label, lang, source and doc_id are never inputs of
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +35,8 @@ NEAR, LEAST_PAIR, LEAST_PAIR_CHI2 = 4, 6, 40.0
 SLOTS = 1 << 22
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 15, 256, 0.05, 1e-4
 HELD_OUT_OF = 5
+#: Words of which a task keeps the features; others are hashed again. This bounds memory only.
+MOST_KNOWN = 100_000
 
 
 def remainder(doc_id: str | Column, of: int) -> Column:
@@ -75,25 +76,27 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def scores(self, texts: Iterator[str]) -> list[float]:
+    def scorer(self) -> Callable[[str], float]:
+        """The score of one text; places and known words are kept between texts."""
         places = {int(f): k for k, f in enumerate(self.features)}
         known: dict[str, tuple] = {}
-        out = []
-        for text in texts:
+
+        def score(text: str) -> float:
             hits: set[int] = set()
             for w in set(words_of(text)):
                 found = known.get(w)
                 if found is None:
                     found = tuple(places[f] for f in hashed(w) if f in places)
-                    if len(known) < 300_000:
+                    if len(known) < MOST_KNOWN:
                         known[w] = found
                 if found:
                     hits.update(found)
             at = sorted(hits)
             v = self.factors[at]
             z = self.bias + self.weights[at].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-        return out
+            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+        return score
 
 
 def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -204,11 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
 
 
 def scorer(machine: Machine):
-    """A vectorised function from texts to scores from 0 to 1."""
+    """A vectorised function from texts to scores from 0 to 1. Texts become Python strings one at a time."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(machine.scores("" if t is None else t for t in texts))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scored = machine.scorer()
+        for texts in releasing(iter)(batches):
+            yield pa.array([scored(t.as_py() or "") for t in texts], pa.float64())
 
     return score
 
