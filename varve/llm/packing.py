@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import releasing
+
 WIDTH, END = 2048, 1
 #: Small pieces balance better: with CUT = WIDTH, windows were up to 5 percent padding, with 512 they are under one.
 CUT, GROUP = 512, 1024
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words of which a task keeps the ids; others are tokenised again. This bounds memory only.
-MOST_CACHED = 400_000
+MOST_CACHED = 150_000
 
 
 class WordIds(dict):
@@ -119,6 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     tokenizer: path of a tokenizers file with word-wise BPE that drops white space."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer)
         end, cut = np.array([END], "<u4").tobytes(), min(CUT, width)
