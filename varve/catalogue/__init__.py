@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog, checks, facts, history, listing, peer, relational, texts
+from . import catalog, checks, facts, history, landing, listing, peer, relational, texts
 from .base import ORACLES, QUERIES
 
-MODULES = (catalog, checks, facts, history, listing, peer, relational, texts)
+MODULES = (catalog, checks, facts, history, landing, listing, peer, relational, texts)
 
 
 def queries():
