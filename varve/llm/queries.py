@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, chat, exact_dedup, licenses, near_dedup, packing, pieces, quality, suffix_dedup, toxicity
+from . import brown_lm, chat, exact_dedup, jaccard_join, licenses, near_dedup, packing, pieces, prefix_trie, quality, spelling, suffix_dedup, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -70,8 +70,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_read(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_read(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations share no turns here: each begins with up to three turns of another one."""
+    conv = F.col("conv_id")
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"), (conv - conv % 20, F.crc32(conv.cast("string")) % 4))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_brown_lm, op4_licenses, op5_exact_dedup, op6_near_dedup, op7_pieces, op8_chat, op9_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_brown_lm, op4_licenses, op5_exact_dedup, op6_near_dedup, op7_pieces, op8_chat, op9_toxicity, op10_quality, op11_jaccard_join, op12_prefix_trie, op13_spelling)}
 
 
 OP5 = """
@@ -102,5 +116,65 @@ FROM formed GROUP BY conv_id
 """
 
 
+#: crc32 of a list of bytes.
+CRC = "xor(list_reduce({bytes}, lambda a, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295), 4294967295)"
+
+OP11 = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+often AS (SELECT s, count(*) AS c FROM shingles GROUP BY s),
+-- linked sets share one of their rarest shingles: of each, all but the last ceil(n * 90 / 100) - 1
+rare AS (SELECT doc_id, s FROM (SELECT doc_id, s, c, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, s) AS r FROM shingles JOIN often USING (s) JOIN sizes USING (doc_id)) WHERE r <= n - (n * 90 + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM rare a JOIN rare b ON a.s = b.s AND a.doc_id < b.doc_id),
+links AS (SELECT a, b FROM (SELECT p.a, p.b, count(*) AS common FROM pairs p JOIN shingles x ON x.doc_id = p.a JOIN shingles y ON y.doc_id = p.b AND y.s = x.s GROUP BY p.a, p.b)
+    JOIN sizes i ON i.doc_id = a JOIN sizes j ON j.doc_id = b WHERE 100 * common >= 90 * (i.n + j.n - common)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, low AS component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS low FROM reached GROUP BY a) USING (doc_id)
+"""
+
+OP12 = r"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM conversations WHERE conv_id IS NOT NULL),
+sized AS (SELECT conv_id, count(*) AS n, """ + CRC.format(bytes="list_transform(range(1, strlen(conv_id::VARCHAR) + 1), lambda i: ord(substring(conv_id::VARCHAR, i, 1))::BIGINT)") + r""" % 4 AS h FROM turns GROUP BY conv_id),
+convs AS (SELECT c.conv_id, c.conv_id - c.conv_id % 20 AS source, c.h, least(c.h, coalesce(s.n, 0)) AS lent, c.n FROM sized c LEFT JOIN sized s ON s.conv_id = c.conv_id - c.conv_id % 20),
+rebuilt AS (
+    SELECT c.conv_id, t.place AS depth, role, said FROM convs c JOIN turns t ON t.conv_id = c.source AND t.place <= c.lent
+    UNION ALL SELECT c.conv_id, t.place - c.h + c.lent, role, said FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h),
+path AS (
+    SELECT conv_id, depth, sha256(string_agg(sha256(role) || sha256(said), '') OVER w) AS key, len(regexp_extract_all(said, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+    UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+ends AS (SELECT conv_id, max(depth) AS last FROM path GROUP BY conv_id),
+nodes AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256 FROM path JOIN ends USING (conv_id) GROUP BY depth, key),
+linked AS (SELECT n.*, p.key AS parent, m.conv_id AS parent_conv_id FROM nodes n LEFT JOIN path p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes m ON m.depth = p.depth AND m.key = p.key),
+counted AS (SELECT depth - 1 AS depth, parent AS key, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN counted USING (depth, key)),
+sums AS (SELECT p.depth, p.key, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.words)::BIGINT AS saved_tokens FROM full_ v JOIN path p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.depth, p.key)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN sums USING (depth, key)
+"""
+
+OP13 = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+hexed AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+bytes AS (SELECT run, c, list_transform(range(0, strlen(x) // 2), lambda i: ((strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1)::BIGINT) AS b FROM hexed),
+hashed AS (SELECT run, c, """ + CRC.format(bytes="b") + r""" AS h FROM bytes),
+noisy AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM noisy WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS MATERIALIZED (SELECT word, n, length(word) AS size, i, substring(word, 1, i - 1) || substring(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+    SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.short = b.short AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.short = b.word
+    UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.short = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS most FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN other END AS form, CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS root FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s USING (word) JOIN forms r ON r.word = s.root WHERE r.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op8_chat": OP8}
+    return {"op5_exact_dedup": OP5, "op8_chat": OP8, "op11_jaccard_join": OP11, "op12_prefix_trie": OP12, "op13_spelling": OP13}
