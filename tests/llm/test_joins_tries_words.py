@@ -53,26 +53,42 @@ def test_join_matches_brute_force(spark, percent):
     assert sorted(map(tuple, got), key=str) == components(rows, percent)
 
 
-def test_tiles_link_what_pivots_leave_apart(spark, monkeypatch):
-    """Texts that share a bucket with a pivot that they don't link with; small blocks, and hashes that collide."""
-    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 3)
+def test_hashes_that_collide_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_name", lambda seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(40 if seed < 2 else 1 << 40)))
-    rng = random.Random(8)
-    base, rows = [f"w{k}" for k in range(200)], []
-    for g in range(8):
-        mine = list(base)
-        for k in range(6):
-            mine[20 + 25 * k + g] = f"x{g}{k}"
-        for v in range(6):
-            w = list(mine)
-            w[rng.randrange(200)] = f"y{g}{v}"
-            rows.append((100 - 10 * g - v, " ".join(w)))
-    sizes = []
-    tiled = jaccard_join._tiled
-    monkeypatch.setattr(jaccard_join, "_tiled", lambda open_, *a: sizes.append(open_.count()) or tiled(open_, *a))
+    rows = corpus(5)
     got = jaccard_join.components(frame(spark, rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == components(rows, 90)
-    assert sizes and sizes[0] > 6
+
+
+@pytest.mark.parametrize("gathered", [True, False])
+def test_tiles_join_components(spark, monkeypatch, gathered):
+    """Open members of overlapping buckets, in small blocks: the same components as all pairs within buckets give."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 3)
+    rng = random.Random(8)
+    sets, bucket = {}, {}
+    for g in range(10):
+        base = [rng.randrange(1 << 64) for _ in range(60)]
+        for v in range(6):
+            sets[10 * g + v] = set(base) ^ set(rng.sample(base, v)) | {rng.randrange(1 << 64)}
+    for k in range(25):
+        bucket[k] = rng.sample(sorted(sets), 9)
+    links = {(a, b) for m in bucket.values() for a in m for b in m if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    open_ = spark.createDataFrame([(k, v, v, len(sets[v])) for k, m in bucket.items() for v in m], "key long, node long, root long, n_shingles long")
+    table = spark.createDataFrame([(v, np.array(sorted(s), np.uint64).view(np.int64).tolist()) for v, s in sets.items()], "node long, shingles array<long>")
+    got = {tuple(r) for r in jaccard_join._tiled(jaccard_join._gathered(open_) if gathered else open_, table, 90).collect()}
+
+    def parts(edges):
+        label = {v: v for v in sets}
+        for a, b in edges:
+            old, new = label[a], label[b]
+            label = {v: new if x == old else x for v, x in label.items()}
+        return {frozenset(v for v in sets if label[v] == x) for x in set(label.values())}
+
+    if gathered:  # clusters may bring more members together
+        assert all(100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for a, b in got)
+        assert all(any(p <= q for q in parts(got)) for p in parts(links))
+    else:
+        assert got <= links and parts(got) == parts(links) and len(parts(links)) < 55
 
 
 @pytest.mark.parametrize("percent", [90, 70])

@@ -2,15 +2,15 @@
 
 Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of shingles (words lower-cased in A-Z only).
 Sizes fall into bands such that a set links only with sets of its own band and of the two beside it; a set is in the
-instance of its own band and in the one above. Sets of one instance that link differ in at most k shingles. Their domain
-is cut by hash into n1 partitions of n2 parts, so that in one partition at most SPARE parts hold differences; each choice
-of n2 - SPARE parts in each partition gives a signature, a hash of all the set's shingles there. Linked sets share one,
-always: nothing is missed.
+instance of its own band, and in the next one if sets there are small enough. What sets of one instance that link may
+differ in is bounded. The domain of shingles is cut by hash into partitions of PARTS parts, so many that in one of them
+at most SPARE parts hold differences; each choice of PARTS - SPARE parts in each partition gives a signature, a hash of
+all the set's shingles there. Linked sets share one, always: nothing is missed.
 
 Equal sets are one class, found by digest, so that copies never meet. In each bucket (signature) the classes are compared
 with its smallest class, its pivot; those that aren't in the pivot's component then are compared in tiles of bounded
-size, and a tile gives only the links that join components. Buckets with the same open members are compared once. All
-comparisons are on full sets.
+size, and a tile gives only the links that join components. Buckets with the same open members are compared once, and
+buckets that share members as one where that is less work. All comparisons are on full sets.
 
 Rows: null or empty texts and texts without words have no shingles and are linked with nothing. Rows without doc_id
 are never linked. Rows that share a doc_id but not a text are separate classes under that id. An empty table gives an
@@ -33,8 +33,8 @@ from .near_dedup import _digest, _shingle_sets, connected_components
 from .scratch import cut
 
 SHINGLE, PERCENT = 3, 90
-#: Parts of a partition, and how many of them may hold differences.
-PARTS, SPARE = 3, 1
+#: Parts of a partition, and how many of them may hold differences; steps from a size to its largest partner in a band.
+PARTS, SPARE, STEPS = 3, 1, 3
 #: Shingles that a block of a tile holds, about, and its classes at most.
 BLOCK_SHINGLES, BLOCK_CLASSES = 1 << 19, 256
 #: Digests that a task remembers, so that it makes the signatures of equal sets once.
@@ -43,11 +43,15 @@ REMEMBERED = 1 << 20
 
 @lru_cache(64)
 def bands(percent: int, most: int) -> np.ndarray:
-    """The largest size of each band, up to a band that holds `most`: sets link with no set beyond the next band."""
-    tops = [0]
-    while tops[-1] < most:
-        tops.append((tops[-1] + 1) * 100 // percent)
-    return np.array(tops, np.int64)
+    """The largest size of each band, up to the band above the one that holds `most`. A set's largest partners are in its own band or
+    the next one; bands of several steps spare most sets the second."""
+    tops = [0, 0]
+    while tops[-2] < most:
+        top = tops[-1] + 1
+        for _ in range(STEPS):
+            top = top * 100 // percent
+        tops.append(top)
+    return np.array(tops[1:], np.int64)
 
 
 def differing(percent: int, a: int, b: int) -> int:
@@ -55,15 +59,16 @@ def differing(percent: int, a: int, b: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def instances(size: int, percent: int) -> list[tuple[int, int, int]]:
-    """instance, k and number of partitions, for the bands where a set of this size has signatures. Where k is 0, only equal sets link."""
-    tops = bands(percent, max(size, 1) * 2 + 100)
+def instances(size: int, percent: int) -> list[tuple[int, int]]:
+    """instance and number of partitions, for the bands where a set of this size has signatures: its own, and the next if sets
+    there may link with it. Where no differences are allowed, only equal sets link."""
+    tops = bands(percent, 1 << max(size, 1).bit_length())
     band = int(np.searchsorted(tops, size))
     out = []
-    for instance in (band, band + 1):
+    for instance in range(band, band + 1 + (size * 100 // percent > tops[band])):
         k = differing(percent, int(tops[instance]), int(tops[instance]))
         if k:
-            out.append((instance, k, -(-(k + 1) // (SPARE + 1))))
+            out.append((instance, -(-(k + 1) // (SPARE + 1))))
     return out
 
 
@@ -76,7 +81,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The signatures of a set of 64-bit hashes."""
     found = []
     mixed = T.mix(s ^ _SALT)
-    for instance, _, n1 in instances(len(s), percent):
+    for instance, n1 in instances(len(s), percent):
         partition = ((s >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
         part = ((s & _LOW) * np.uint64(PARTS)) >> np.uint64(32)
         sums = np.zeros(n1 * PARTS, np.uint64)
@@ -156,6 +161,22 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
     return cut(both.mapInArrow(run, "a long, b long"), "linked")
 
 
+def _gathered(open_: DataFrame) -> DataFrame:
+    """The open members of buckets, in clusters of buckets that share members where that makes less work: near copies that fall
+    short of the limit meet in many buckets, of which each holds other ones of them."""
+    work = lambda size: F.col(size) * F.ceil(F.col(size) / BLOCK_CLASSES)
+    sized = cut(open_.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("size")), "sized")
+    stars = open_.join(sized, "key").filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = cut(connected_components(stars), "clusters").select("node", F.col("root").alias("cluster"))
+    of_key = sized.join(clusters, sized["low"] == clusters["node"]).select("key", "cluster", "size")
+    apart = of_key.groupBy("cluster").agg(F.sum(work("size")).alias("apart"))
+    whole = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select("cluster", work("size").alias("whole"))
+    less = cut(apart.join(whole, "cluster").filter("whole <= apart").select("cluster"), "less")
+    one = open_.select("node", "root", "n_shingles").distinct().join(clusters, "node").join(less, "cluster", "left_semi").select(F.col("cluster").alias("key"), "node", "root", "n_shingles")
+    rest = of_key.join(less, "cluster", "left_anti").select("key")
+    return cut(one.union(open_.join(rest, "key", "left_semi").select("key", "node", "root", "n_shingles")), "gathered")
+
+
 def _tiled(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links between open members (key, node, root, n_shingles) of a bucket that join components, from tiles of two blocks."""
     sized = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("n_shingles").alias("largest"))
@@ -168,7 +189,7 @@ def _tiled(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         node, label, mine = (t[c].to_numpy().copy() for c in ("node", "root", "mine"))
         lists = t["shingles"].combine_chunks()
-        some = [lists[k].values.to_numpy() for k in range(t.num_rows)]
+        some = [lists[k].values.to_numpy().view(np.uint64) for k in range(t.num_rows)]  # they are sorted as such
         size = np.fromiter(map(len, some), np.int64, len(some))
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
@@ -230,7 +251,7 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     mixed = cut(mixed.groupBy("size", "sum1", "sum2").agg(F.min("key").alias("key")).select("key"), "mixed")  # one of the buckets with the same open members
     open_ = cut(known.join(mixed, "key", "left_semi").join(classes.select("node", "n_shingles"), "node").select("key", "node", "root", "n_shingles"), "open")
     if not open_.isEmpty():
-        more = cut(_tiled(open_, _full_sets(open_.select("node").distinct(), classes, docs, size), percent), "tiled")
+        more = cut(_tiled(_gathered(open_), _full_sets(open_.select("node").distinct(), classes, docs, size), percent), "tiled")
         roots = cut(connected_components(edges.union(more)), "roots")
 
     of_class = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
