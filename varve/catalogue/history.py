@@ -131,3 +131,33 @@ def str_changes_with_state(spark, d):
     writer = cdc.changes(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(cdc.OUT).parquet(f"{out}/rows").select("key", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "price")
+
+
+@query("""SELECT CAST(user_id AS STRING) AS key, ts AS observed_at, value AS price FROM (
+    SELECT *, lag(value) OVER w AS before, row_number() OVER w AS n FROM events, (SELECT epoch_us(max(ts)) // 1000 * 1000 - CAST(ceil((epoch_us(max(ts)) - epoch_us(min(ts))) / 2e6) + 1 AS BIGINT) * 1000000 AS settled FROM events)
+    WHERE epoch_us(ts) <= settled WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)) WHERE n = 1 OR abs(value - before) >= 0.005""")
+def str_ordered_changes(spark, d):
+    """Three files, of which each goes back behind the end of the one before, and a restart after each: the changes up to
+    the last watermark, in order of time."""
+    import uuid
+
+    from varve.staging import folder
+    from varve.streaming import ordered
+
+    out = f"{folder(spark)}/ordered-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("value").alias("price"))
+    first, last = events.agg(F.unix_micros(F.min("observed_at")), F.unix_micros(F.max("observed_at"))).first()
+    slot = F.floor((F.unix_micros("observed_at") - first) * 4 / (last - first + 1))
+    late = f"{-(-(last - first) // 2_000_000) + 1} seconds"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.STORE)
+    try:
+        for wave in range(3):
+            rows = events.filter(F.floor((slot + F.col("event_id") % 2) / 2) == wave)
+            rows.select("key", "observed_at", "price").write.mode("append").parquet(f"{out}/in")
+            stream = spark.readStream.schema("key string, observed_at timestamp, price double, list_price double, in_stock boolean").parquet(f"{out}/in")
+            writer = ordered.ordered_changes(stream, late).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress")
+            writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(ordered.OUT).parquet(f"{out}/rows").select("key", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "price")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from varve.operators import textsearch
 from varve.plans import rebuild
 from varve.staging import folder
+from varve.streaming.keyed import KeyedState
 
 from .base import deals, query, table
 from .texts import BM25, SPEC_SQL, extracted
@@ -46,3 +47,14 @@ def snk_compacted(spark, d):
     source = place(spark, "small")
     deals(spark, d).select("product_id", "store_id", "price").repartition(20).write.parquet(source)
     return rebuild.compacted(spark, source, place(spark, "compacted"))
+
+
+@query("""SELECT store_id, product_id, CASE WHEN product_id = (SELECT min(product_id) FROM deals WHERE product_id % 3 <> 0) THEN price + 1 ELSE price END AS price, 1 AS buckets_written FROM deals WHERE product_id % 3 <> 0""")
+def snk_keyed_merge(spark, d):
+    """Two thirds of the deals in one batch, then a batch of one deal, which writes one bucket anew."""
+    known = deals(spark, d).filter("product_id % 3 <> 0").select("store_id", "product_id", F.col("price").cast("double").alias("price"))
+    state = KeyedState(spark, place(spark, "keyed"), "store_id bigint, product_id bigint, price double", ["store_id", "product_id"])
+    put = lambda part, news: part.join(news, ["store_id", "product_id"], "left_anti").unionByName(news)
+    state.merge(known, put, 0)
+    touched = state.merge(known.orderBy("product_id").limit(1).withColumn("price", F.col("price") + 1), put, 1)
+    return state.read().withColumn("buckets_written", F.lit(len(touched)))
