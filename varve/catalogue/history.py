@@ -145,7 +145,7 @@ def str_ordered_changes(spark, d):
     from varve.streaming import ordered
 
     out = f"{folder(spark)}/ordered-{uuid.uuid4().hex}"
-    events = table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("value").alias("price"))
+    events = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("value").alias("price"))
     first, last = events.agg(F.unix_micros(F.min("observed_at")), F.unix_micros(F.max("observed_at"))).first()
     slot = F.floor((F.unix_micros("observed_at") - first) * 4 / (last - first + 1))
     late = f"{-(-(last - first) // 2_000_000) + 1} seconds"
