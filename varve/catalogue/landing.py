@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions import jsonld, text
@@ -189,3 +189,30 @@ def flt_from_address(spark, d):
     """Filters decoded from an address; a bound that isn't a number is none, and what may be in stock passes."""
     f = DealFilters.from_query("condition=used&stores=1,2,%205&min=300&max=many&stock=1&sort=price-asc")
     return readmodel.top_deals(deals(spark, d), f).select("product_id", "store_id", "price")
+
+
+@query("""SELECT 'shop' AS store_id, p_brand AS scope, (count(*) + 9) // 10 + 1 AS next_page, 0 AS laps, count(*) AS records, (count(*) + 9) // 10 AS pages, TRUE AS bounded FROM part GROUP BY p_brand""")
+def src_paged_stream(spark, d):
+    """Brands as scopes of pages of ten products, streamed in batches of 400 records, with a stop after the first pages: the
+    cursor, and what was read."""
+    from varve.sources import paged
+
+    root = f"{folder(spark)}/paged-{uuid.uuid4().hex}"
+    rows = table(spark, d, "part").withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    pages = rows.select(F.col("p_brand").alias("scope"), F.lit(0).alias("lap"), (F.floor(F.col("n") / 10) + 1).alias("page"), F.to_json(F.struct("p_partkey", "p_name")).alias("value"))
+    sizes = []
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        sizes.append(batch.count())
+
+    for half in (F.col("page") <= 2, F.col("page") > 2):
+        pages.filter(half).repartition("scope").write.mode("append").partitionBy("scope", "lap", "page").text(f"{root}/in")
+        stream = paged.page_stream(spark, f"{root}/in", f"{root}/cursor")
+        running = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/progress").start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    read = spark.read.schema(paged.SCHEMA).parquet(f"{root}/rows").groupBy("scope").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("lap", "page").alias("pages"))
+    return paged.cursors(spark, f"{root}/cursor", "shop").join(read, "scope").withColumn("bounded", F.lit(max(sizes) < paged.RECORDS + 10))
