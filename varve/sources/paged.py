@@ -46,7 +46,7 @@ class Page(InputPartition):
     scope: str
     lap: int
     page: int
-    path: str
+    folder: str
 
 
 class PageReader(DataSourceStreamReader):
@@ -61,22 +61,22 @@ class PageReader(DataSourceStreamReader):
     def _folders(self, *parts: str) -> list[str]:
         from pyarrow import fs
 
-        store, root = _store("/".join([self.path, *parts]))
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        store, root = _store(self.path)
+        found = store.get_file_info(fs.FileSelector("/".join([root, *parts]), allow_not_found=True))
         return [f.base_name for f in found if f.type == fs.FileType.Directory]
 
     def _files(self, page: Page) -> list[str]:
         from pyarrow import fs
 
-        store, root = _store(page.path)
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        store, root = _store(self.path)
+        found = store.get_file_info(fs.FileSelector(f"{root}/{page.folder}", allow_not_found=True))
         return sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
 
     def _page(self, scope: str, lap: int, page: int) -> Page:
-        return Page(scope, lap, page, f"{self.path}/scope={_escaped(scope)}/lap={lap}/page={page}")
+        return Page(scope, lap, page, f"scope={_escaped(scope)}/lap={lap}/page={page}")
 
     def _lines(self, page: Page) -> Iterator[str]:
-        store, _ = _store(page.path)
+        store, _ = _store(self.path)
         for name in self._files(page):
             with store.open_input_stream(name) as f:
                 for line in f.read().decode().splitlines():
