@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from varve.functions import jsonld, text
 from varve.operators.filters import DealFilters
 from varve.plans import readmodel
-from varve.sources import landed
+from varve.sources import discovery, landed
 from varve.staging import folder
 
 from .base import R6, deals, query, r6, table
@@ -216,3 +216,34 @@ def src_paged_stream(spark, d):
             running.stop()
     read = spark.read.schema(paged.SCHEMA).parquet(f"{root}/rows").groupBy("scope").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("lap", "page").alias("pages"))
     return paged.cursors(spark, f"{root}/cursor", "shop").join(read, "scope").withColumn("bounded", F.lit(max(sizes) < paged.RECORDS + 10))
+
+
+@query("""SELECT concat('https://x.ca/p/', p_partkey) AS url, concat(CASE WHEN p_partkey % 25 % 2 = 0 THEN 'n' WHEN p_partkey % 25 % 4 = 1 THEN 'm' ELSE 'd' END, p_partkey % 25) AS sitemap,
+CASE WHEN p_partkey % 25 % 2 = 0 THEN 1 WHEN p_partkey % 25 % 4 = 1 THEN 2 ELSE 3 END AS level FROM part JOIN nation ON n_nationkey = p_partkey % 25""")
+def src_sitemap_tree(spark, d):
+    """An index of 25 sitemaps; every second one is an index itself, of which every second one's is an index again, named by the first, too.
+    All indexes name the root; an index three steps down names pages."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    index = lambda inside: F.concat(F.lit("<sitemapindex><loc>root</loc>"), inside, F.lit("</sitemapindex>"))
+    loc = lambda letter: F.format_string(f"<loc>{letter}%d</loc>", "k")
+    root = nations.agg(F.array_join(F.collect_list(loc("n")), "").alias("inside")).select(F.lit("root").alias("url"), index(F.col("inside")).alias("xml"))
+    pages = table(spark, d, "part").groupBy((F.col("p_partkey") % 25).alias("k")).agg(F.array_join(F.collect_list(F.format_string("<url><loc>https://x.ca/p/%d</loc></url>", "p_partkey")), "").alias("urls"))
+    odd, deep = F.col("k") % 2 == 1, F.col("k") % 4 == 3
+    second = nations.filter(odd).select(F.format_string("n%d", "k").alias("url"), index(loc("m")).alias("xml"))
+    third = nations.filter(deep).select(F.format_string("m%d", "k").alias("url"), index(F.concat(loc("d"), loc("n"))).alias("xml"))
+    letter = F.when(~odd, "n").when(~deep, "m").otherwise("d")
+    last = pages.select(F.concat(letter, F.col("k").cast("string")).alias("url"), F.when(deep, F.concat(F.lit("<sitemapindex>"), "urls", F.lit("</sitemapindex>"))).otherwise(F.concat(F.lit("<urlset>"), "urls", F.lit("</urlset>"))).alias("xml"))
+    maps = root.union(second).union(third).union(last)
+    return discovery.sitemap_pages(maps, spark.range(1).select(F.lit("root").alias("url")))
+
+
+@query(""", counted AS (SELECT p_brand, p_size, count(*) OVER (PARTITION BY p_brand) AS brand_total, count(*) OVER (PARTITION BY p_brand, p_size // 10) AS band_total, count(*) OVER (PARTITION BY p_brand, p_size) AS size_total FROM part)
+SELECT p_brand AS facet, NULL AS category, brand_total AS total, 0 AS splits FROM counted UNION SELECT p_brand, concat('band-', p_size // 10), band_total, 1 FROM counted WHERE brand_total > 12
+UNION SELECT p_brand, concat('size-', p_size), size_total, 2 FROM counted WHERE brand_total > 12 AND band_total > 12""")
+def src_brand_cells(spark, d):
+    """Brands of more than 12 products by bands of sizes, and such bands by sizes, as far as each is too wide."""
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("facet"), F.format_string("band-%d", F.floor(F.col("p_size") / 10)).alias("band"), F.format_string("size-%d", F.col("p_size").cast("long")).alias("size"))
+    count = F.count(F.lit(1)).alias("total")
+    probes = rows.groupBy("facet", F.col("band").alias("category")).agg(count).union(rows.groupBy("facet", "size").agg(count))
+    tree = rows.select(F.col("band").alias("id"), F.lit(None).cast("string").alias("parent_id")).union(rows.select("size", "band")).distinct()
+    return discovery.narrow_cells(rows.groupBy("facet").agg(count), tree, probes, 12)
