@@ -149,3 +149,18 @@ def test_rows_without_a_key_stay_and_match_nothing(spark):
     assert got == {**{k: None if k % 3 else 8 if k % 2 else 7 for k in range(30)}, 99: 7}
     marked = left_by_known_key(rows, found, ["x", "y"], unknown=F.col("y") == "")
     assert {r.product_id: r.n for r in marked.collect()} == {k: None if n == 8 else n for k, n in got.items()}
+
+
+def test_model_keys_are_found_in_addresses_as_by_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda a, b: "".join(rng.choice("abc1") for _ in range(rng.randint(a, b)))
+    sites = [(rng.choice(["X", "x", "y"]), word(6, 20), f"u{k}") for k in range(200)] + [("x", "abcdabcd", "u"), ("x", None, "v")]
+    items = [(k, rng.choice(["x", "Y", "z"]), rng.choice([word(2, 6), sites[rng.randrange(200)][1][:9].upper(), sites[rng.randrange(200)][1]])) for k in range(300)] + [(900, "x", None), (901, None, "abcd"), (902, "x", "AB-CD")]
+    got = fusion.locate_by_key(spark.createDataFrame(sites, "brand string, url_key string, url string"), spark.createDataFrame(items, "product_id long, brand string, model string"))
+    want = {}
+    for k, brand, model in items:
+        key = (model or "").lower().replace("-", "")
+        found = [(len(u), url) for b, u, url in sites if u and len(u) >= 8 and brand and b.lower() == brand.lower() and len(key) >= 4 and key in u]
+        if found:
+            want[k] = min(found)[1]
+    assert len(want) > 80 and {r.product_id: r.url for r in got.collect()} == want

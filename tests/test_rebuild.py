@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.operators import ingest, specs
-from varve.plans import rebuild
+from varve.plans import readmodel, rebuild
 
 
 def files(spark, path):
@@ -40,9 +40,50 @@ def test_compaction_merges_small_files_only(spark, tmp_path):
     assert rebuild.compacted(spark, str(tmp_path / "empty"), str(tmp_path / "none")).count() == 0
 
 
+def test_compaction_keeps_the_order_of_rows(spark, tmp_path):
+    """Forty sorted files, one of them large, become a few that overlap no more than they did; the large one stays."""
+    source = str(tmp_path / "sorted")
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 40_000 >= 20_000, F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit(None).cast("int").alias("_none"))
+    rows.repartitionByRange(40, "id").sortWithinPartitions("id").write.parquet(source)
+    sizes = [size for _, size in rebuild._files(spark.read.parquet(source))]
+    for file_bytes in (sum(sizes) // 4, max(sizes)):
+        out = rebuild.compacted(spark, source, str(tmp_path / f"out-{file_bytes}"), file_bytes)
+        span = out.groupBy(F.input_file_name().alias("f")).agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
+        assert 1 < len(span) < 40 and all(a.high < b.low for a, b in zip(span, span[1:]))
+        assert out.columns == rows.columns and out.exceptAll(rows).isEmpty() and rows.exceptAll(out).isEmpty()
+        for f in out.inputFiles():
+            inside = [r.id for r in spark.read.parquet(f).coalesce(1).collect()]
+            assert inside == sorted(inside)
+    assert rebuild.bins([5, 1, 1, 9, 4, 4, 4], 8) == [[0, 1, 2], [3], [4, 5], [6]]
+
+
+def test_a_plan_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    scored = spark.range(200).repartition(4).select(F.col("id").alias("product_id"), F.lit("c").alias("category"), counted("id").alias("score"), F.lit(True).alias("is_active"))
+    assert rebuild.write_scores(scored.limit(0), scored, str(tmp_path / "s")).count() == 200 and seen.value == 200
+    found = scored.select("product_id", "category", F.lit("f").alias("family"), F.lit("l").alias("label"), F.lit("v").alias("value"), F.col("score").alias("metric"), F.lit("u").alias("unit"), F.lit(1).alias("rank"), F.lit(2).alias("scale"), F.lit(False).alias("lower"))
+    rebuild.write_specs(found, str(tmp_path / "t"))
+    assert seen.value == 400
+
+
 def test_a_snapshot_that_lost_rows_is_refused(spark):
     ingest.guard(spark.range(10), spark.range(8), 5, 5)
     with pytest.raises(ValueError, match="products fell"):
         ingest.guard(spark.range(10), spark.range(7), 5, 5)
     with pytest.raises(ValueError, match="price points fell"):
         ingest.guard(spark.range(10), spark.range(10), 5, 4)
+
+
+def test_sections_of_the_first_page_are_cut_before_they_are_dealt_out(spark):
+    kind = "product_id long, score double, confidence double, price double, condition string, is_lowest_ever boolean, is_active boolean, is_variant_lead boolean"
+    deals = spark.createDataFrame([(k, float(k % 90), 0.6, 1.0, "new" if k % 3 else "used", k % 2 == 0, True, True) for k in range(400)], kind)
+    got = readmodel.home_sections(deals)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.section, r["count"]) for r in got.groupBy("section").count().collect()} == set(readmodel.HOME_LIMITS.items())
+    assert {r["count"] for r in readmodel.home_sections(deals, 3).groupBy("section").count().collect()} == {3}

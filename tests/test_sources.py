@@ -113,3 +113,13 @@ def test_display(spark):
     assert one(spark, display.money, 1299.99, "double") == "1 299,99 $" and one(spark, display.percent, 0.125, "double") == "13 %"
     assert one(spark, display.score_band, 65.0, "double") == "excellent" and one(spark, display.confidence_band, 0.1, "double") == "low"
     assert one(spark, lambda c: display.time_ago(c.cast("timestamp"), F.lit("2026-01-03").cast("timestamp")), "2026-01-01") == "il y a 2 j"
+
+
+def test_the_last_page_decides_and_products_without_sku_are_set_aside(spark, tmp_path):
+    for page, items in ((2, [("a", 7.0), (None, 1.0), ("b", 1.0), ("b", 2.0)]), (10, [("a", 9.0), (None, 2.0)])):
+        (tmp_path / f"page={page}").mkdir()
+        (tmp_path / f"page={page}" / "f.json").write_text(json.dumps({"products": [{"sku": s, "name": f"TV {p}", "regularPrice": p} for s, p in items]}))
+    got = {r.sku: (r.price, r.title) for r in landed.json_listing(spark, str(tmp_path), "shop").collect()}
+    assert got == {"a": (9.0, "TV 9.0"), "b": (2.0, "TV 2.0")}
+    rows = spark.createDataFrame([(None, 1.0), (None, 2.0), ("x", 3.0)], "sku string, price double")
+    assert sorted(r.price for r in landed.unkeyed(rows, "shop", sku=F.col("sku"), price=F.col("price")).collect()) == [1.0, 2.0]

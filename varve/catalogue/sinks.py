@@ -58,3 +58,17 @@ def snk_keyed_merge(spark, d):
     state.merge(known, put, 0)
     touched = state.merge(known.orderBy("product_id").limit(1).withColumn("price", F.col("price") + 1), put, 1)
     return state.read().withColumn("buckets_written", F.lit(len(touched)))
+
+
+@query("""SELECT product_id, price, 5 AS files, 0 AS overlapping FROM deals""")
+def snk_compacted_in_order(spark, d):
+    """Fifty sorted files become five (of ten each, by the sizes here); no two of them overlap in product_id."""
+    source = place(spark, "sorted")
+    deals(spark, d).select("product_id", "price").repartitionByRange(50, "product_id").sortWithinPartitions("product_id").write.option("parquet.enable.dictionary", "false").option("compression", "none").parquet(source)
+    size = sum(size for _, size in rebuild._files(spark.read.parquet(source)))
+    out = rebuild.compacted(spark, source, place(spark, "compacted"), int(size / 5 * 1.1))
+    span = out.groupBy(F.input_file_name().alias("file")).agg(F.min("product_id").alias("low"), F.max("product_id").alias("high"))
+    other = span.select(F.col("file").alias("f"), F.col("low").alias("l"), F.col("high").alias("h"))
+    both = span.join(other, (F.col("low") <= F.col("h")) & (F.col("l") <= F.col("high")) & (F.col("file") < F.col("f"))).agg(F.count(F.lit(1)).cast("int").alias("overlapping"))
+    counted = span.agg(F.count(F.lit(1)).cast("int").alias("files"))
+    return out.join(F.broadcast(counted)).join(F.broadcast(both))

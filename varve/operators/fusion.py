@@ -125,15 +125,25 @@ def reference_queue(products: DataFrame, references: DataFrame, now: Column, lim
     return met.filter(stale).orderBy(F.desc("score"), "product_id").limit(limit)
 
 
+#: Characters of a piece of an address by which model keys look for it; no longer than a model key may be short.
+GRAM = 4
+
+
+def _grams(key: str) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - GRAM + 1), lambda i: F.substring(F.col(key), i, GRAM)))
+
+
 def locate_by_key(addresses: DataFrame, products: DataFrame, least: int = 8) -> DataFrame:
-    """For each product the shortest address key of its brand that contains its model key. addresses: brand, url_key,
-    url. The containment test runs within a brand only, and a key that equals the model is met by an equi join first."""
+    """For each product the shortest address key of its brand that contains its model key (of equal ones the smallest
+    address). addresses: brand, url_key, url. Addresses are listed under each piece of GRAM characters that they have; a model
+    key is looked for under the piece of its own that is rarest among its brand's addresses, and a key with a piece that
+    no address has is in none. What is found there is verified."""
     own = products.withColumn("_key", F.lower(model_key(F.col("model"), "strict"))).filter(F.length("_key") >= LEAST_MODEL).select("product_id", F.lower("brand").alias("_brand"), "_key")
-    sites = addresses.filter(F.length("url_key") >= least).select(F.lower("brand").alias("_brand"), F.lower("url_key").alias("url_key"), "url")
-    exact = own.join(sites.withColumnRenamed("url_key", "_key"), ["_brand", "_key"]).groupBy("product_id", "_key").agg(F.min("url").alias("url")).select("product_id", "url", F.length("_key").alias("n"))
-    rest = own.join(exact.select("product_id"), "product_id", "left_anti")
-    # pieces of the model's length at every place of an address meet the model by equality: no nested loop
-    lengths = own.select("_brand", F.length("_key").alias("_n")).distinct()
-    pieces = sites.join(lengths, "_brand").filter(F.length("url_key") > F.col("_n")).withColumn("_key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("url_key") - F.col("_n") + 1), lambda i: F.substring(F.col("url_key"), i, F.col("_n"))))))
-    inside = rest.join(pieces, ["_brand", "_key"]).groupBy("product_id").agg(F.min(F.struct(F.length("url_key").alias("n"), F.col("url").alias("url"))).alias("b")).select("product_id", "b.url", "b.n")
-    return exact.unionByName(inside).select("product_id", "url")
+    sites = addresses.filter(F.length("url_key") >= least).groupBy(F.lower("brand").alias("_brand"), F.lower("url_key").alias("url_key")).agg(F.min("url").alias("url"))
+    listed = sites.select("_brand", "url_key", "url", F.explode(_grams("url_key")).alias("_gram"))
+    often = listed.groupBy("_brand", "_gram").agg(F.count(F.lit(1)).alias("_often"))
+    keys = own.select("_brand", "_key").distinct().select("_brand", "_key", F.explode(_grams("_key")).alias("_gram"))
+    met = keys.join(often, ["_brand", "_gram"], "left").groupBy("_brand", "_key")
+    rarest = met.agg(F.min(F.struct("_often", "_gram")).alias("_rare"), F.count_if(F.col("_often").isNull()).alias("_none")).filter("_none = 0").select("_brand", "_key", F.col("_rare._gram").alias("_gram"))
+    inside = rarest.join(listed, ["_brand", "_gram"]).filter(F.contains("url_key", "_key")).groupBy("_brand", "_key").agg(F.min(F.struct(F.length("url_key").alias("n"), F.col("url").alias("url"))).alias("b"))
+    return own.join(inside, ["_brand", "_key"]).select("product_id", "b.url")

@@ -39,8 +39,9 @@ def home_sections(deals: DataFrame, limit: int | None = None) -> DataFrame:
     names = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in sections.items())))
     rows = live.select("product_id", "score", "confidence", "price", F.explode(names).alias("section"))
     place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), F.desc("confidence"), "product_id"))
-    most = F.lit(limit) if limit is not None else F.coalesce(*(F.when(F.col("section") == k, n) for k, n in HOME_LIMITS.items()))
-    return rows.withColumn("place", place).filter(F.col("place") <= most)
+    # the largest limit as a number lets Spark drop rows before they are dealt to sections
+    first = rows.withColumn("place", place).filter(F.col("place") <= F.lit(max(HOME_LIMITS.values()) if limit is None else limit))
+    return first if limit is not None else first.filter(F.col("place") <= F.coalesce(*(F.when(F.col("section") == k, n) for k, n in HOME_LIMITS.items())))
 
 
 def product(deals: DataFrame, product_id: int) -> DataFrame:

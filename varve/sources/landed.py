@@ -17,22 +17,47 @@ CARD = 4000
 def listings(df: DataFrame, store: str, **columns: Column) -> DataFrame:
     """df as schema.LISTINGS: named columns as given, all others null."""
     columns = {"store_id": F.lit(store), **columns}
-    return df.select(*(columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in schema.columns(schema.LISTINGS)))
+    more = [columns[c].alias(c) for c in ("_page", "_place") if c in columns]
+    return df.select(*(columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in schema.columns(schema.LISTINGS)), *more)
 
 
-def once(df: DataFrame) -> DataFrame:
-    """One row per product of a store; pages and subcategories repeat products."""
-    return df.dropDuplicates(["store_id", "sku"])
+def natural(text: Column) -> Column:
+    """text such that its order is that of the numbers in it."""
+    digits = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(digits, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+def once(rows: DataFrame, store: str, **columns: Column) -> DataFrame:
+    """listings() with one row per product of a store, as pages and subcategories repeat products: the last one by page (_page,
+    a path in the order of its numbers) and place in it (_place). Products without sku can't be told apart later and are set aside; see unkeyed()."""
+    found = _placed(rows, store, **columns).filter("sku is not null")
+    names = [n for n, _ in schema.columns(schema.LISTINGS)]
+    last = F.max_by(F.struct(*names), F.struct("_page", "_place")).alias("last")
+    return found.groupBy("store_id", "sku").agg(last).select(*(F.col(f"last.{n}").alias(n) for n in names))
+
+
+def _placed(rows: DataFrame, store: str, **columns: Column) -> DataFrame:
+    return listings(rows, store, _page=natural(F.col("_page")), _place=F.col("_place"), **columns)
+
+
+def unkeyed(rows: DataFrame, store: str, **columns: Column) -> DataFrame:
+    """The listings() without sku, all of them."""
+    return listings(rows, store, **columns).filter("sku is null")
+
+
+def _items(df: DataFrame, items: str) -> DataFrame:
+    """p: each of the items of a landed file, with _page and _place."""
+    return df.select(F.col("_metadata.file_path").alias("_page"), F.posexplode(items).alias("_place", "p"))
 
 
 def json_listing(spark: SparkSession, path: str, store: str) -> DataFrame:
-    rows = spark.read.schema(schema.JSON_LISTING).json(path, multiLine=True).select(F.explode("products").alias("p"))
+    rows = _items(spark.read.schema(schema.JSON_LISTING).json(path, multiLine=True), "products")
     p = lambda name: F.col(f"p.{name}")
     price = F.coalesce(p("salePrice"), p("regularPrice"))
-    return once(listings(
+    return once(
         rows, store, sku=p("sku"), url=p("productUrl"), title=p("name"), model=model_of(p("name")), image_url=p("thumbnailImage"), store_category=p("categoryName"), rating=p("customerRating"),
         rating_count=p("customerRatingCount"), condition=condition_of(p("name")), marketplace=p("isMarketplace"), seller_name=p("seller"), price=price, list_price=F.when(p("regularPrice") > price, p("regularPrice")),
-    ))
+    )
 
 
 def wide_category_nodes(tree: DataFrame, most: int = 2000, depth: int = 3) -> DataFrame:
@@ -47,31 +72,31 @@ def wide_category_nodes(tree: DataFrame, most: int = 2000, depth: int = 3) -> Da
 
 def code_listing(spark: SparkSession, path: str, store: str) -> DataFrame:
     """Category pages as JSON, a window of products each."""
-    rows = spark.read.schema(schema.CODE_LISTING).json(path, multiLine=True).select(F.explode("productWindow").alias("p"))
+    rows = _items(spark.read.schema(schema.CODE_LISTING).json(path, multiLine=True), "productWindow")
     p = lambda name: F.col(f"p.{name}")
     before = F.concat(F.regexp_replace("p.salesPrice.previous.wholeNumber", "[^0-9]", ""), F.lit("."), F.coalesce("p.salesPrice.previous.decimals", F.lit("0"))).try_cast("double")
-    return once(listings(rows, store, sku=p("id"), url=p("pipUrl"), title=F.concat_ws(" ", p("name"), p("typeName")), brand=F.lit(store), store_category=p("typeName"), image_url=p("mainImageUrl"), rating=p("ratingValue"), rating_count=p("ratingCount"), price=p("salesPrice.numeral"), list_price=before, in_stock=p("onlineSellable")))
+    return once(rows, store, sku=p("id"), url=p("pipUrl"), title=F.concat_ws(" ", p("name"), p("typeName")), brand=F.lit(store), store_category=p("typeName"), image_url=p("mainImageUrl"), rating=p("ratingValue"), rating_count=p("ratingCount"), price=p("salesPrice.numeral"), list_price=before, in_stock=p("onlineSellable"))
 
 
 def shop_catalogue(spark: SparkSession, path: str, store: str, tag_prefix: str = "feature:") -> DataFrame:
     """products.json pages; the first variant prices a product."""
-    rows = spark.read.schema(schema.SHOP_CATALOGUE).json(path, multiLine=True).select(F.explode("products").alias("p")).withColumn("v", F.try_element_at("p.variants", F.lit(1)))
+    rows = _items(spark.read.schema(schema.SHOP_CATALOGUE).json(path, multiLine=True), "products").withColumn("v", F.try_element_at("p.variants", F.lit(1)))
     p = lambda name: F.col(f"p.{name}")
     text = F.concat_ws(" ", short_text(p("body_html")), feature_text(p("tags"), tag_prefix))
-    return once(listings(
+    return once(
         rows, store, sku=F.coalesce(F.nullif("v.sku", F.lit("")), p("id").cast("string")), url=F.concat(F.lit("/products/"), p("handle")), title=p("title"), brand=valid_brand(p("vendor")), store_category=p("product_type"),
         description=F.nullif(text, F.lit("")), image_url=F.try_element_at("p.images.src", F.lit(1)), condition=condition_of(p("title")), price=F.col("v.price").try_cast("double"), list_price=F.col("v.compare_at_price").try_cast("double"), in_stock=F.col("v.available"),
-    ))
+    )
 
 
 def graph_catalogue(spark: SparkSession, path: str, store: str) -> DataFrame:
-    rows = spark.read.schema(schema.GRAPH_CATALOGUE).json(path, multiLine=True).select(F.explode("data.products.items").alias("p"))
+    rows = _items(spark.read.schema(schema.GRAPH_CATALOGUE).json(path, multiLine=True), "data.products.items")
     p = lambda name: F.col(f"p.{name}")
     low = "price_range.minimum_price"
-    return once(listings(
+    return once(
         rows, store, sku=p("sku"), url=F.concat(F.lit("/"), p("url_key")), title=p("name"), image_url=p("small_image.url"), store_category=F.try_element_at("p.categories.name", F.lit(-1)), rating=five_stars(p("rating_summary")),
         rating_count=p("review_count"), price=p(f"{low}.final_price.value"), list_price=p(f"{low}.regular_price.value"), in_stock=p("stock_status") == "IN_STOCK",
-    ))
+    )
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -83,22 +108,22 @@ def embedded_state(pages: DataFrame, store: str, name: str = "__initialState__",
     """Listings inside a page's state object, assigned to window.<name>."""
     state = F.regexp_extract("html", f"(?s){name}\\s*=\\s*(\\{{.*?\\}})\\s*;?\\s*</script>", 1)
     kind = "array<struct<Item:string,Title:string,Brand:string,Price:double,ListPrice:double,InStock:boolean,Rating:double,Reviews:bigint>>"
-    rows = pages.select(F.explode(F.from_json(F.get_json_object(state, items), kind)).alias("p"))
+    rows = pages.select(F.col("url").alias("_page"), F.posexplode(F.from_json(F.get_json_object(state, items), kind)).alias("_place", "p"))
     p = lambda n: F.col(f"p.{n}")
-    return once(listings(rows, store, sku=p("Item"), title=p("Title"), brand=p("Brand"), condition=condition_of(p("Title")), price=p("Price"), list_price=p("ListPrice"), in_stock=p("InStock"), rating=p("Rating"), rating_count=p("Reviews")))
+    return once(rows, store, sku=p("Item"), title=p("Title"), brand=p("Brand"), condition=condition_of(p("Title")), price=p("Price"), list_price=p("ListPrice"), in_stock=p("InStock"), rating=p("Rating"), rating_count=p("Reviews"))
 
 
 def product_pages(pages: DataFrame, store: str) -> DataFrame:
     """Product pages with JSON-LD: the Product block, its first offer and the breadcrumb."""
-    rows = pages.select("url", jsonld.product(F.col("html")).alias("b"), jsonld.breadcrumb(F.col("html")).alias("crumbs"), F.length("html").alias("n")).filter(F.col("b").isNotNull())
+    rows = pages.select("url", F.col("url").alias("_page"), F.lit(0).alias("_place"), jsonld.product(F.col("html")).alias("b"), jsonld.breadcrumb(F.col("html")).alias("crumbs"), F.length("html").alias("n")).filter(F.col("b").isNotNull())
     get = lambda path: F.get_json_object("b", f"$.{path}")
     offer = jsonld.first_offer(F.col("b"))
     stock = F.get_json_object(offer, "$.availability")
-    return once(listings(
+    return once(
         rows, store, sku=F.coalesce(get("sku"), get("productID"), F.regexp_extract("url", "([^/]+)/?$", 1)), url=F.col("url"), title=get("name"), brand=F.coalesce(get("brand.name"), get("brand")), model=F.coalesce(get("model"), get("mpn")),
         image_url=F.coalesce(get("image[0]"), get("image")), description=get("description"), store_category=F.array_join("crumbs", " > "), rating=get("aggregateRating.ratingValue").try_cast("double"),
         rating_count=F.coalesce(get("aggregateRating.reviewCount"), get("aggregateRating.ratingCount")).try_cast("bigint"), condition=condition_of(get("name")), price=jsonld.offer_price(F.col("b")), in_stock=F.when(stock.isNotNull(), stock.contains("InStock")),
-    ))
+    )
 
 
 def price_cards(pages: DataFrame, store: str) -> DataFrame:

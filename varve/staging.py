@@ -31,3 +31,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_file(spark, path: str, text: str) -> None:
+    """A small file that is there whole or not at all; one that stands there is replaced."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    there = hadoop.Path(path)
+    fs, aside = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path(there.getParent(), f"_{there.getName()}")
+    stream = fs.create(aside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(there):
+        fs.delete(there, False)
+    if not fs.rename(aside, there):
+        raise OSError(f"{path} was put in place by someone else")
+
+
+def read_file(spark, path: str) -> str:
+    """A small file's text, whatever its name."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(there)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

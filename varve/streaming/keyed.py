@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from varve.operators import ingest
+from varve.staging import put_file, read_file
 
 BUCKETS, KEPT = 64, 2
 
@@ -43,8 +44,7 @@ class KeyedState:
         known = self.versions()
         if not known:
             return None
-        rows = self.spark.read.text(f"{self.root}/manifests/{known[-1] if version is None else version}.json", wholetext=True)
-        return json.loads(rows.first()[0])
+        return json.loads(read_file(self.spark, f"{self.root}/manifests/{known[-1] if version is None else version}.json"))
 
     @property
     def version(self) -> int:
@@ -84,14 +84,7 @@ class KeyedState:
         return touched
 
     def _put(self, manifest: dict) -> None:
-        name = f"{manifest['version']}.json"
-        stream = self._fs.create(self._path("manifests", f"_{name}"), True)
-        try:
-            stream.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            stream.close()
-        if not self._fs.rename(self._path("manifests", f"_{name}"), self._path("manifests", name)):
-            raise OSError(f"version {manifest['version']} of {self.root} was put in place by someone else")
+        put_file(self.spark, f"{self.root}/manifests/{manifest['version']}.json", json.dumps(manifest))
 
     def clean(self, keep: int = KEPT) -> list[str]:
         """Remove manifests but the last `keep`, and folders that none of those names."""
