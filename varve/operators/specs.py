@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from varve.functions.text import fold, slug, spaces
 from .spec_rules import FAMILIES, RULES
 
 LEAST_VALUES = 30
+#: Required strings of a pattern that are worth a look each.
+MOST_REQUIRED = 12
 KIND = "struct<family:string,label:string,value:string,metric:double,unit:string,rank:int,scale:int,lower:boolean>"
 
 RANKS = {
@@ -24,6 +28,53 @@ RANKS = {
 RANK_TYPES = {"hundreds": "int", "odd": "int", "water": "int", "wifi": "string", "bluetooth": "double"}
 
 
+def required(pattern: str) -> list[str] | None:
+    """Strings of which every match of the pattern has one at least; None if there are none of two characters or more. They
+    are read off the pattern: what stands in a row, one of each branch, and what is repeated once or more."""
+
+    def shortest(found: list[str] | None) -> int:
+        return min(map(len, found)) if found else 0
+
+    def of(items) -> list[str] | None:
+        best, run = None, ""
+
+        def better(found: list[str] | None) -> None:
+            nonlocal best
+            if found and len(set(found)) <= MOST_REQUIRED and shortest(found) > shortest(best):
+                best = list(dict.fromkeys(found))
+
+        for kind, value in items:
+            if kind is _parser.LITERAL:
+                run += chr(value)
+                continue
+            better([run])
+            run = ""
+            if kind is _parser.SUBPATTERN:
+                better(of(value[3]))
+            elif kind is _parser.BRANCH:
+                each = [of(branch) for branch in value[1]]
+                better([x for found in each for x in found] if all(each) else None)
+            elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] >= 1:
+                better(of(value[2]))
+        better([run])
+        return best
+
+    found = of(_parser.parse(pattern))
+    return found if shortest(found) >= 2 else None
+
+
+def may_match(text: Column, pattern: str) -> Column | None:
+    """Whether text has one of the pattern's required strings: a search for bytes, far cheaper than the pattern, that rules out
+    most rules of most texts. None if it says nothing."""
+    found = required(pattern)
+    return None if found is None else reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in found))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    first = may_match(text, pattern)
+    return text.rlike(pattern) if first is None else first & text.rlike(pattern)
+
+
 def _rule(text: Column, category: Column, family: str, pattern: str, label: str, options: dict) -> Column:
     """The rule's struct where it matches, else null."""
     group = lambda *gs: F.coalesce(*(F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in gs))
@@ -46,7 +97,7 @@ def _rule(text: Column, category: Column, family: str, pattern: str, label: str,
         rank = F.lit(rank).cast("int")
     scale = F.lit(options.get("scale")).cast("int")
     row = F.struct(F.lit(family).alias("family"), label_text.alias("label"), slug(label_text).alias("value"), metric.alias("metric"), F.lit(options.get("unit")).cast("string").alias("unit"), rank.alias("rank"), scale.alias("scale"), F.lit(bool(options.get("lower"))).alias("lower"))
-    fits = text.rlike(pattern)
+    fits = _matches(text, pattern)
     if "only" in options:
         fits = category.isin(*options["only"]) & fits
     return F.when(fits, row.cast(KIND))
@@ -68,7 +119,7 @@ def rule_hits(products: DataFrame, title: str = "title", description: str | None
     rules = RULES if rules is None else rules
     text = F.concat_ws(" ", F.col(title), *([F.col(description)] if description else []))
     folded = products.select(fold(spaces(text)).alias("_text"))
-    counts = folded.agg(*(F.count_if(F.col("_text").rlike(pattern)).alias(f"r{k}") for k, (_, pattern, *_rest) in enumerate(rules)))
+    counts = folded.agg(*(F.count_if(_matches(F.col("_text"), pattern)).alias(f"r{k}") for k, (_, pattern, *_rest) in enumerate(rules)))
     named = [F.struct(F.lit(k).alias("rule"), F.lit(r[0]).alias("family"), F.lit(r[1]).alias("pattern"), F.col(f"r{k}").alias("hits")) for k, r in enumerate(rules)]
     return counts.select(F.explode(F.array(*named)).alias("x")).select("x.*")
 
