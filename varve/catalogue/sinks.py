@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from varve.operators import textsearch
-from varve.plans import rebuild
+from varve.plans import rebuild, textindex
 from varve.staging import folder
 from varve.streaming.keyed import KeyedState
 
@@ -72,3 +72,16 @@ def snk_compacted_in_order(spark, d):
     both = span.join(other, (F.col("low") <= F.col("h")) & (F.col("l") <= F.col("high")) & (F.col("file") < F.col("f"))).agg(F.count(F.lit(1)).cast("int").alias("overlapping"))
     counted = span.agg(F.count(F.lit(1)).cast("int").alias("files"))
     return out.join(F.broadcast(counted)).join(F.broadcast(both))
+
+
+@query(", docs AS (SELECT doc_id, CASE WHEN doc_id % 25 = 0 THEN concat('The éren eren ', text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)" + BM25.replace("FROM documents", "FROM docs"))
+def snk_text_updates(spark, d):
+    """The documents in three updates, one in 25 entered anew with other words, one in seven taken out; segments are merged on the
+    way. Then a search."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = textindex.TextIndex(spark, place(spark, "segments"))
+    for k in range(3):
+        index.update(docs.filter(F.col("doc_id") % 3 == k), "doc_id", ["text"])
+    index.update(docs.filter("doc_id % 25 = 0").withColumn("text", F.concat(F.lit("The éren eren "), "text")), "doc_id", ["text"])
+    index.remove(docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("doc")))
+    return index.match("The éren").select(F.col("doc").alias("doc_id"), (-F.floor(-F.col("bm25") * 1e4 + 0.5) / 1e4).alias("bm25"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varve.functions import jsonld, prices, text
 from varve.operators import specs, textsearch
 from varve.operators.filters import DealFilters
+from varve.plans import rebuild
 
 from .base import R6, categories, deals, products, query, r6, table
 
@@ -143,11 +144,36 @@ def txt_search_filtered(spark, d):
     return shown(textsearch.search(*search_index(spark, d), deals(spark, d), "blue oled", within=DealFilters(condition="used", in_stock_only=True)))
 
 
-@query()
+SUGGEST = SEARCH[: SEARCH.index("idf AS")].replace("token = 'blue'", "token = 'brand'").replace("starts_with(token, 'oled')", "starts_with(token, '12')") + r"""
+idf AS (SELECT term, greatest(ln((n - count(*) + 0.5e0) / (count(*) + 0.5e0)), 1e-6) AS w FROM per, st GROUP BY term, n),
+near AS (SELECT doc, -sum(w * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))) AS bm25 FROM per JOIN idf USING (term) JOIN lens USING (doc), st GROUP BY doc HAVING count(*) = 2 ORDER BY floor(bm25 * 1e9 + 0.5), doc LIMIT 100),
+titled AS (SELECT doc, bm25, title, strip_accents(lower(title)) AS f FROM near JOIN products ON product_id = doc),
+ranked AS (SELECT *, CASE WHEN starts_with(f, 'brand 12') THEN 2 WHEN contains(f, 'brand 12') THEN 3 ELSE 4 END AS class FROM titled),
+one AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY left(f, 34) ORDER BY class, floor(bm25 * 1e9 + 0.5), doc) = 1)
+SELECT kind, label, id, class, floor("by" * 1e4 + 0.5) / 1e4 AS "by" FROM (
+SELECT * FROM (SELECT 'brand' AS kind, min(replace(brand, '#', ' ')) AS label, NULL AS id, 0 AS class, -count(*)::DOUBLE AS "by" FROM products GROUP BY replace(lower(brand), '#', ' ') HAVING starts_with(replace(lower(brand), '#', ' '), 'brand 12') ORDER BY "by", label LIMIT 2)
+UNION ALL SELECT * FROM (SELECT 'product', title, doc::VARCHAR, class, bm25 FROM one ORDER BY class, floor(bm25 * 1e9 + 0.5), doc LIMIT 4))"""
+
+
+@query(SUGGEST)
 def txt_suggest(spark, d):
-    items = products(spark, d)
-    index, stats = textsearch.postings(items, "product_id", ["title", "brand"]), textsearch.statistics(items, ["title", "brand"])
-    return textsearch.suggest(items, categories(spark, d), index, stats, "blue w")
+    """Brands and categories from a written prefix table, products from a written index."""
+    from .sinks import place
+
+    items = products(spark, d).withColumn("brand", F.replace("brand", F.lit("#"), F.lit(" ")))
+    textsearch.write_prefix_table(textsearch.prefix_table(items, categories(spark, d)), path := place(spark, "prefixes"))
+    index, stats = rebuild.write_text_index(items, "product_id", ["title", "brand"], place(spark, "titles"))
+    found = textsearch.suggest(items, categories(spark, d), index, stats, "brand 12", prefixes=spark.read.parquet(path))
+    return found.withColumn("by", F.floor(F.col("by") * 1e4 + 0.5) / 1e4)
+
+
+@query(""", parts AS (SELECT slug AS id, name, regexp_split_to_array(lower(name), '[^a-z0-9]+') AS words FROM categories), words AS (SELECT DISTINCT id, name, unnest(words) AS w FROM parts),
+edges AS (SELECT DISTINCT id, name, left(w, n) AS prefix FROM (SELECT id, name, w, unnest(range(1, length(w) + 1)) AS n FROM words)),
+brands AS (SELECT min(brand) AS label, count(*) AS n, lower(brand) AS k FROM products WHERE brand IS NOT NULL GROUP BY lower(brand))
+SELECT 'category' AS kind, prefix, name AS label, id, 0e0 AS "by" FROM edges QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY name, id) = 1
+UNION ALL SELECT 'brand', prefix, label, NULL, -n::DOUBLE FROM (SELECT label, n, left(k, i) AS prefix FROM (SELECT *, unnest(range(1, length(k) + 1)) AS i FROM brands)) QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY n DESC, label) <= 2""")
+def txt_prefix_table(spark, d):
+    return textsearch.prefix_table(products(spark, d), categories(spark, d))
 
 
 @query(r"""SELECT token, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token FROM documents) GROUP BY token HAVING count(*) >= 2""")

@@ -69,16 +69,50 @@ def search(index: DataFrame, stats: DataFrame, deals: DataFrame, raw: str, doc:
     return ranked.orderBy("relevance", doc).offset(offset).limit(limit).join(F.broadcast(total)).orderBy("relevance", doc)
 
 
-def suggest(products: DataFrame, categories: DataFrame, index: DataFrame, stats: DataFrame, raw: str, limit: int = 4, candidates: int = 100) -> DataFrame:
-    """kind, label, id and place: up to two brands that begin with the query, one category of which a word does,
+#: Brands and categories that a suggestion names.
+BRANDS, CATEGORIES = 2, 1
+
+
+def _brands(products: DataFrame) -> DataFrame:
+    names = products.filter(F.col("brand").isNotNull()).groupBy(fold(F.col("brand")).alias("_key")).agg(F.min("brand").alias("label"), F.count(F.lit(1)).alias("n"))
+    return names.select("_key", "label", F.lit(None).cast("string").alias("id"), (-F.col("n")).cast("double").alias("by"))
+
+
+def prefix_table(products: DataFrame, categories: DataFrame) -> DataFrame:
+    """kind, prefix, label, id, by: for each beginning of a folded brand name, the BRANDS brands of most products, and for each beginning of
+    a word of a category's folded name, the first CATEGORIES categories by name. Rows past a beginning's limit are
+    dropped in each task before they are shuffled, so that a short beginning, which very many names share, isn't gathered in one."""
+    edges = F.explode(F.transform(F.sequence(F.lit(1), F.length("_key")), lambda n: F.left("_key", n))).alias("prefix")
+    brands = _brands(products).filter("_key != ''").select(F.lit("brand").alias("kind"), edges, "label", "id", "by")
+    words = categories.select(F.explode(F.array_distinct(F.filter(F.split(fold(F.col("name")), "[^a-z0-9]+"), lambda w: w != ""))).alias("_key"), F.col("name").alias("label"), F.col("slug").alias("id"))
+    words = words.select(F.lit("category").alias("kind"), edges, "label", "id", F.lit(0.0).alias("by")).distinct()
+
+    def first(rows: DataFrame, most: int) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy("prefix").orderBy("by", "label", "id"))).filter(F.col("place") <= most).drop("place")
+
+    return first(brands, BRANDS).unionByName(first(words, CATEGORIES))
+
+
+def write_prefix_table(table: DataFrame, path: str) -> None:
+    """Sorted by prefix over all files, so that a look-up reads one."""
+    table.repartitionByRange("prefix").sortWithinPartitions("prefix").write.mode("overwrite").parquet(path)
+
+
+def suggest(products: DataFrame, categories: DataFrame, index: DataFrame, stats: DataFrame, raw: str, limit: int = 4, candidates: int = 100, prefixes: DataFrame | None = None) -> DataFrame:
+    """kind, label, id, class and by: up to two brands that begin with the query, one category of which a word does,
     and products by rank class (title begins with the query, holds it, or not) and relevance; titles that agree in
-    their first folded 34 characters are one."""
+    their first folded 34 characters are one. Classes are given to the `candidates` most relevant products, so a less relevant
+    one isn't shown, whatever its title. prefixes: a prefix_table() to take brands and categories from."""
     typed = " ".join(query_tokens(raw))
-    names = products.filter(F.col("brand").isNotNull()).groupBy(fold(F.col("brand")).alias("_key")).agg(F.min("brand").alias("label"), F.count(F.lit(1)).alias("n"))
-    brands = names.filter(F.col("_key").startswith(typed)).orderBy(F.desc("n"), "label").limit(2)
-    brands = brands.select(F.lit("brand").alias("kind"), "label", F.lit(None).cast("string").alias("id"), F.lit(0).alias("class"), (-F.col("n")).cast("double").alias("by"))
-    words = categories.filter(F.exists(F.split(fold(F.col("name")), "[^a-z0-9]+"), lambda w: w.startswith(typed))).orderBy("name", "slug").limit(1)
-    words = words.select(F.lit("category").alias("kind"), F.col("name").alias("label"), F.col("slug").alias("id"), F.lit(1).alias("class"), F.lit(0.0).alias("by"))
+    if prefixes is None:
+        brands = _brands(products).filter(F.col("_key").startswith(typed)).orderBy("by", "label").limit(BRANDS)
+        words = categories.filter(F.exists(F.split(fold(F.col("name")), "[^a-z0-9]+"), lambda w: w.startswith(typed))).orderBy("name", "slug").limit(CATEGORIES)
+        words = words.select(F.col("name").alias("label"), F.col("slug").alias("id"), F.lit(0.0).alias("by"))
+    else:
+        met = prefixes.filter(F.col("prefix") == typed)
+        brands, words = (met.filter(F.col("kind") == kind) for kind in ("brand", "category"))
+    brands = brands.select(F.lit("brand").alias("kind"), "label", "id", F.lit(0).alias("class"), "by")
+    words = words.select(F.lit("category").alias("kind"), "label", "id", F.lit(1).alias("class"), "by")
     near = match(index, stats, raw).orderBy("bm25", "doc").limit(candidates)
     met = near.join(products.select(F.col("product_id").alias("doc"), "title"), "doc").withColumn("_fold", fold(F.col("title")))
     rank = F.when(F.col("_fold").startswith(typed), 2).when(F.col("_fold").contains(typed), 3).otherwise(4)
