@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varve.functions import jsonld, prices, text
 from varve.operators import specs, textsearch
 from varve.operators.filters import DealFilters
+from varve.operators.spec_rules import RULES
 from varve.plans import rebuild
 
 from .base import R6, categories, deals, products, query, r6, table
@@ -95,7 +96,13 @@ def spc_tiers(spark, d):
     return specs.analyse(rows, specs.distributions(rows)).select("product_id", "tier")
 
 
-@query()
+def _re2(pattern: str) -> str:
+    """A rule's pattern for an engine that can't look ahead; as a rule is only asked whether it matches, what follows may be taken."""
+    return pattern.replace("(?!\\w)", "(?:[^a-z0-9_]|$)").replace("(?![a-z0-9])", "(?:[^a-z0-9]|$)").replace("'", "''")
+
+
+@query(", texts AS MATERIALIZED (SELECT strip_accents(lower(title)) AS t FROM products) " + " UNION ALL ".join(
+    f"SELECT {k} AS rule, '{family}' AS family, '{pattern.replace(chr(39), chr(39) * 2)}' AS pattern, count(*) FILTER (regexp_matches(t, '{_re2(pattern)}')) AS hits FROM texts" for k, (family, pattern, *_) in enumerate(RULES)))
 def aud_rule_hits(spark, d):
     return specs.rule_hits(products(spark, d), description=None)
 
@@ -182,7 +189,11 @@ def txt_document_frequencies(spark, d):
     return textsearch.postings(docs, "doc_id", ["text"]).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
-@query()
+NAME = r"([A-Z][\p{L}0-9&-]{0,23}[\p{L}0-9])(?:[^\p{L}\p{N}_]|$)"
+
+
+@query(rf"""SELECT brand, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([regexp_extract(text, '^{NAME}', 1), regexp_extract(text, '(?:^|[^\p{{L}}\p{{N}}_])de\s+{NAME}', 1)]) AS brand FROM documents)
+WHERE brand <> '' GROUP BY brand HAVING count(*) >= 2 ORDER BY n DESC, brand LIMIT 1500""")
 def agg_brand_candidates(spark, d):
     from varve.sources.landed import brand_candidates
 
