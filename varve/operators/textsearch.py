@@ -21,11 +21,20 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BLEND = 0.06
 
 
+def tokens(docs: DataFrame, doc: str, columns: list[str]) -> DataFrame:
+    """doc and the tokens of its columns, in order."""
+    text = fold(spaces(F.concat_ws(" ", *columns)))
+    return docs.select(F.col(doc).alias("doc"), F.filter(F.split(text, "[^\\p{L}\\p{N}]+"), lambda t: t != "").alias("_tokens"))
+
+
 def postings(docs: DataFrame, doc: str, columns: list[str]) -> DataFrame:
     """doc, token, tf and the document's length in tokens over all columns. Counting is combined before the shuffle."""
-    text = fold(spaces(F.concat_ws(" ", *columns)))
-    tokens = F.filter(F.split(text, "[^\\p{L}\\p{N}]+"), lambda t: t != "")
-    rows = docs.select(F.col(doc).alias("doc"), tokens.alias("_tokens")).withColumn("length", F.size("_tokens"))
+    return counted(tokens(docs, doc, columns))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """The postings of tokens()."""
+    rows = rows.withColumn("length", F.size("_tokens"))
     return rows.select("doc", "length", F.explode("_tokens").alias("token")).groupBy("doc", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 

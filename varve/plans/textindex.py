@@ -98,9 +98,9 @@ class TextIndex:
         """Enter documents, or enter them anew; of rows with one id the index has the postings of all, so ids should be without repeats. Rows without id
         aren't entered."""
         have = self.manifest()
-        docs = stage(docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast(self.id_type).alias("doc"), *columns), "docs")
-        postings = stage(textsearch.postings(docs, "doc", columns), "postings")
-        lengths = docs.select("doc").distinct().join(postings.groupBy("doc").agg(F.first("length").alias("length")), "doc", "left").select("doc", F.coalesce("length", F.lit(0)).alias("length"))
+        docs = stage(textsearch.tokens(docs.filter(F.col(doc).isNotNull()), doc, columns).withColumn("doc", F.col("doc").cast(self.id_type)), "tokens")
+        lengths = docs.groupBy("doc").agg(F.max(F.size("_tokens")).alias("length"))
+        postings = stage(textsearch.counted(docs), "postings")  # dealing out by range reads its input twice
         mark = self._mark(have, docs.select("doc"))
         segment = self._segment(postings, lengths, have["version"] + 1)
         self._put({"version": have["version"] + 1, "segments": have["segments"] + [segment] * bool(segment["docs"]), "marks": have["marks"] + [mark] * bool(mark)})
