@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varve.operators import scoring, timeseries
+from varve.operators import giants, scoring, timeseries
 
 from .base import NOW_SQL, R6, now, points, products, query, r6, table
 
@@ -51,6 +51,23 @@ def ts_price_stats_two_years(spark, d):
     return _stats(spark, d, DAYS).select("product_id", *(r6(F.col(c)).alias(c) for c in COLUMNS), "changes")
 
 
+EVENTS_UNTIL = "2024-01-31 00:00:00"
+GIANT_SQL = f"""{stats_sql(20)} SELECT product_id, current_price, {', '.join(f'{R6(c)} AS {c}' for c in COLUMNS)}, CAST(changes AS BIGINT) AS changes FROM stats"""
+GIANT_SQL = GIANT_SQL.replace(NOW_SQL, f"TIMESTAMP '{EVENTS_UNTIL}'").replace("ORDER BY observed_at", "ORDER BY observed_at, event_id").replace("FROM points)", "FROM crowded)")
+
+
+@query(f""", crowded AS (SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS product_id, ts AS observed_at, event_id, value AS price, value * (0.9e0 + event_id % 5 / 10e0) AS list_price FROM events){GIANT_SQL}""")
+def ts_giant_histories(spark, d):
+    """Values of events as price histories, a third of all rows in one of them, which is dealt out over tasks."""
+    rows = table(spark, d, "events").select(
+        F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("user_id")).alias("product_id"), F.col("ts").cast("timestamp_ntz").alias("observed_at"), "event_id",
+        F.col("value").alias("price"), (F.col("value") * (0.9 + F.col("event_id") % 5 / 10)).alias("list_price"),
+    )
+    until = F.lit(EVENTS_UNTIL).cast("timestamp_ntz")
+    found = giants.price_stats_by_size(rows, until, giant_rows=200, list_price="list_price", days=20, order=["event_id"])
+    return found.select("product_id", "current_price", *(r6(F.col(c)).alias(c) for c in COLUMNS), "changes")
+
+
 @query(f"""{stats_sql(DAYS)} SELECT product_id, current_price, median, {R6('(median - current_price) / median')} AS drop_vs_median FROM stats
 WHERE current_price <= min_ever + 0.005 AND changes > 0 AND days_observed >= 3 ORDER BY (median - current_price) / median DESC, product_id LIMIT 20""")
 def flagship(spark, d):

@@ -24,8 +24,12 @@ def intervals(points: DataFrame, key: str, at: str, now: Column, days: int = WIN
     """points with next_at and weight: the microseconds that each row's price held within the window, 0 if none.
     source: column of the row's origin; rows that weren't observed count for ARCHIVE_DAYS at most."""
     ahead = Window.partitionBy(key).orderBy(at, *(order or []))
+    return weighed(points.withColumn("next_at", F.lead(at).over(ahead)), at, now, days, source)
+
+
+def weighed(held: DataFrame, at: str, now: Column, days: int = WINDOW_DAYS, source: str | None = None) -> DataFrame:
+    """Rows that know their next_at, with weight."""
     begin = F.greatest(F.col(at), now - F.make_dt_interval(F.lit(days)))
-    held = points.withColumn("next_at", F.lead(at).over(ahead))
     end = F.least(F.coalesce("next_at", now), now)
     if source:
         end = F.when(F.coalesce(F.col(source), F.lit("observed")) != "observed", F.least(end, begin + F.make_dt_interval(F.lit(ARCHIVE_DAYS)))).otherwise(end)
@@ -66,6 +70,11 @@ def price_stats(points: DataFrame, now: Column, key: str = "product_id", price:
         F.count_if(own).alias("_held"),
         F.count_if(archived).alias("archive_points"),
     )
+    return finished(out, now, key, days)
+
+
+def finished(out: DataFrame, now: Column, key: str, days: int) -> DataFrame:
+    """The statistics from the sums and extremes of each key."""
     some = F.col("_total") > 0
     either = lambda a, b: F.when(some, a).otherwise(b)
     share = lambda c, none: either(F.col(c).cast("double") / F.col("_total"), F.lit(none))
