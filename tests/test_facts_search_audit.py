@@ -35,7 +35,7 @@ def test_one_silent_and_agreeing_sources(spark):
 
 def test_two_weak_sources_beat_one_strong(spark):
     r = fusion.resolve(facts(spark, {"brand": "A", "reliability": 0.97}, {"brand": "B", "reliability": 0.6}, {"brand": "b", "reliability": 0.6})).first()
-    assert r.brand == "B" and r.agreement == pytest.approx(2 / 3) and r.conflicts == ["brand differs"]
+    assert r.brand == "B" and r.agreement == pytest.approx(2 / 3) and r.conflicts == ["brand differs: s0=A, s1=B, s2=b"]
 
 
 def test_samples_are_never_merged(spark):
@@ -46,6 +46,22 @@ def test_samples_are_never_merged(spark):
     assert fusion.resolve(facts(spark, {})).first().status == "failed"
 
 
+def test_products_that_every_source_failed_at_are_told(spark):
+    errors = spark.createDataFrame([(1, "x", "timeout"), (2, "y", "403"), (2, "x", None)], "product_id long, source string, error string")
+    one, two = fusion.resolve(facts(spark, {"rating": 4.0}, {"rating": 3.0}), errors).orderBy("product_id").collect()
+    assert one.conflicts == ["rating differs: s0=4.0, s1=3.0", "x: timeout"] and (one.status, one.agreement) == ("partial", 0.0)
+    assert (two.product_id, two.sources, two.agreement, two.conflicts, two.status) == (2, [], 0.0, ["x", "y: 403"], "failed")
+
+
+def test_whole_facts_come_from_the_first_source_that_has_them(spark):
+    rows = facts(spark, {"manufacturer_price": 0.0}, {"manufacturer_price": 9.0}, {"manufacturer_price": 8.0}).withColumns(
+        {"manufacturer_name": F.concat(F.lit("by "), "source"), "reviews": F.when(F.col("source_rank") > 1, F.array(F.lit("good")))}
+    )
+    r = fusion.resolve(rows).first()
+    assert (r.manufacturer_price, r.manufacturer_name, r.reviews, r.status) == (9.0, "by s1", ["good"], "ok")
+    assert fusion.resolve(rows.filter("false")).count() == 0
+
+
 def test_addresses_are_found_by_contained_model(spark):
     sites = spark.createDataFrame([("Acme", "XX65ABC900CA", "long"), ("Acme", "65ABC900", "short"), ("Other", "65ABC900", "no"), ("Acme", "QN77ZZZZ1", "none")], "brand string, url_key string, url string")
     items = spark.createDataFrame([(1, "acme", "65-ABC900"), (2, "Acme", "ABC9"), (3, "Acme", "nope99")], "product_id long, brand string, model string")

@@ -45,9 +45,55 @@ def fus_review_count(spark, d):
     return fusion.review_count(facts(spark, d)).select("product_id", "rating_count", r6(F.col("count_agreement")).alias("count_agreement"), "count_sources")
 
 
-@query()
+KNOWN = "product_id % 23 <> 0"
+ANSWERED = "product_id % 31 <> 5 AND (product_id % 29 <> 0 OR source_rank = product_id % 3)"
+ANSWER = {
+    "brand": f"CASE WHEN {KNOWN} THEN brand END",
+    "model": f"CASE WHEN {KNOWN} AND (source_rank < 2 OR product_id % 2 = 0) THEN concat(CASE source_rank WHEN 0 THEN 'MX  ' ELSE 'mx ' END, CAST(product_id % 50 + CASE WHEN source_rank = 2 AND product_id % 7 = 0 THEN 1 ELSE 0 END AS STRING)) END",
+    "manufacturer": f"CASE WHEN {KNOWN} AND source_rank = 2 THEN brand END",
+    "rating": f"CASE WHEN {KNOWN} THEN rating END",
+    "rating_count": f"CASE WHEN {KNOWN} THEN rating_count END",
+    "recommend_yes": f"CASE WHEN {KNOWN} AND (product_id + source_rank) % 3 <> 1 THEN (product_id * 17 + source_rank * 29) % 150 END",
+    "recommend_total": f"CASE WHEN {KNOWN} AND (product_id + source_rank) % 3 <> 1 THEN (product_id * 17 + source_rank * 29) % 300 END",
+    "manufacturer_price": f"CASE WHEN {KNOWN} AND source_rank > 0 THEN (product_id * 7 + source_rank) % 40 * 1e0 END",
+    "manufacturer_name": "concat('maker told by ', source)",
+    "reviews": f"CASE WHEN {KNOWN} AND (product_id + source_rank) % 5 = 0 THEN concat('reviews of ', source) END",
+}
+SOURCES_SQL = FACTS.replace("CAST(rating_count * 0.8 AS BIGINT)", "CAST(floor(rating_count * 0.8e0 + 0.5) AS BIGINT)")
+_STRING_VOTE = """, {f}_keys AS (SELECT product_id, trim(regexp_replace(lower({f}), '\\s+', ' ', 'g')) AS k, floor(sum(reliability) * 1e6 + 0.5) AS w, count(*) AS n, arg_min({f}, source_rank) AS shown, min(source_rank) AS r FROM answers WHERE {f} <> '' GROUP BY 1, 2),
+{f}_vote AS (SELECT product_id, first(shown ORDER BY w DESC, r) AS {f}, first(n ORDER BY w DESC, r) / sum(n)::DOUBLE AS agreement, sum(n) AS sources, count(*) AS spellings FROM {f}_keys GROUP BY product_id),
+{f}_said AS (SELECT product_id, string_agg(concat(source, '=', {f}), ', ' ORDER BY source_rank) AS told FROM answers WHERE {f} <> '' GROUP BY product_id)"""
+_NUMBER_SAID = """, {n}_said AS (SELECT product_id, string_agg(concat(source, '=', CAST({c} AS VARCHAR)), ', ' ORDER BY source_rank) AS told FROM answers WHERE {c} IS NOT NULL GROUP BY product_id)"""
+
+
+@query(f"""{SOURCES_SQL}, answers AS (SELECT product_id, source, source_rank, reliability, {', '.join(f'{v} AS {k}' for k, v in ANSWER.items())} FROM facts WHERE {ANSWERED}),
+failures AS (SELECT product_id, string_agg(concat(source, ': ', 'timeout ', CAST(source_rank AS VARCHAR)), ' | ' ORDER BY source) AS errors FROM products CROSS JOIN (VALUES ('detail', 0), ('cross_store', 1), ('manufacturer', 2)) AS v(source, source_rank) WHERE (product_id + source_rank) % 4 = 0 GROUP BY product_id)
+{''.join(_STRING_VOTE.format(f=f) for f in fusion.STRINGS)}{_NUMBER_SAID.format(n='rating', c='rating')}{_NUMBER_SAID.format(n='count', c='rating_count')},
+means AS (SELECT product_id, sum(rating * reliability) / sum(reliability) AS rating FROM answers WHERE rating IS NOT NULL GROUP BY product_id),
+rating_vote AS (SELECT product_id, max(m.rating) AS rating, (count(*) FILTER (abs(a.rating - m.rating) <= 0.2e0))::DOUBLE / count(*) AS agreement, count(*) AS sources FROM answers a JOIN means m USING (product_id) WHERE a.rating IS NOT NULL GROUP BY product_id),
+tops AS (SELECT product_id, max(rating_count) AS top FROM answers GROUP BY product_id),
+count_vote AS (SELECT product_id, max(top) AS rating_count, (count(*) FILTER (top = 0 OR (top - rating_count)::DOUBLE / top <= 0.25e0))::DOUBLE / count(*) AS agreement, count(*) AS sources FROM answers JOIN tops USING (product_id) WHERE rating_count IS NOT NULL GROUP BY product_id),
+per AS (SELECT product_id, count(*) AS n, string_agg(source, ',' ORDER BY source) AS sources, first(recommend_yes ORDER BY recommend_total DESC, source_rank) FILTER (recommend_total > 0) AS recommend_yes, max(recommend_total) FILTER (recommend_total > 0) AS recommend_total,
+    arg_min(manufacturer_price, source_rank) FILTER (manufacturer_price > 0) AS manufacturer_price, arg_min(manufacturer_name, source_rank) FILTER (manufacturer_price > 0) AS manufacturer_name, arg_min(reviews, source_rank) FILTER (reviews IS NOT NULL) AS reviews FROM answers GROUP BY product_id),
+every AS (SELECT coalesce(p.product_id, f.product_id) AS product_id, coalesce(n, 0) AS n, * EXCLUDE (product_id, n) FROM per p FULL JOIN failures f ON p.product_id = f.product_id),
+put AS (SELECT e.*, b.brand, m.model, k.manufacturer, r.rating, c.rating_count,
+    list_filter([CASE WHEN b.sources > 1 THEN b.agreement END, CASE WHEN m.sources > 1 THEN m.agreement END, CASE WHEN k.sources > 1 THEN k.agreement END, CASE WHEN r.sources > 1 THEN r.agreement END, CASE WHEN c.sources > 1 THEN c.agreement END], lambda x: x IS NOT NULL) AS shares,
+    concat_ws(' | ', CASE WHEN b.spellings > 1 THEN concat('brand differs: ', bs.told) END, CASE WHEN m.spellings > 1 THEN concat('model differs: ', ms.told) END, CASE WHEN k.spellings > 1 THEN concat('manufacturer differs: ', ks.told) END,
+        CASE WHEN r.agreement < 1 THEN concat('rating differs: ', rs.told) END, CASE WHEN c.agreement < 1 THEN concat('count differs: ', cs.told) END, errors) AS conflicts
+    FROM every e LEFT JOIN brand_vote b USING (product_id) LEFT JOIN model_vote m USING (product_id) LEFT JOIN manufacturer_vote k USING (product_id) LEFT JOIN rating_vote r USING (product_id) LEFT JOIN count_vote c USING (product_id)
+    LEFT JOIN brand_said bs USING (product_id) LEFT JOIN model_said ms USING (product_id) LEFT JOIN manufacturer_said ks USING (product_id) LEFT JOIN rating_said rs USING (product_id) LEFT JOIN count_said cs USING (product_id))
+SELECT product_id, brand, model, manufacturer, {R6('rating')} AS rating, rating_count, recommend_yes, recommend_total, manufacturer_price, manufacturer_name, reviews, coalesce(sources, '') AS sources,
+    {R6('CASE WHEN n = 0 THEN 0e0 WHEN len(shares) > 0 THEN list_sum(shares) / len(shares) WHEN n > 1 THEN 0.8e0 ELSE 0.6e0 END')} AS agreement, conflicts,
+    CASE WHEN coalesce(brand, model, manufacturer, CAST(rating AS VARCHAR), CAST(rating_count AS VARCHAR), CAST(recommend_total AS VARCHAR), CAST(manufacturer_price AS VARCHAR), manufacturer_name, reviews) IS NULL THEN 'failed' WHEN errors IS NOT NULL THEN 'partial' ELSE 'ok' END AS status FROM put""")
 def fus_resolve(spark, d):
-    return fusion.resolve(facts(spark, d)).withColumns({"agreement": r6(F.col("agreement")), "rating": r6(F.col("rating"))})
+    """Answers of three sources, of which some know nothing and some fail; some products are failed at by all."""
+    kept = ("product_id", "source", "source_rank", "reliability")
+    answers = facts(spark, d).filter(ANSWERED).selectExpr(*kept, *(f"{v} AS {k}" for k, v in ANSWER.items()))
+    names = F.array(*map(F.lit, ("detail", "cross_store", "manufacturer")))
+    asked = products(spark, d).select("product_id", F.posexplode(names).alias("source_rank", "source")).filter("(product_id + source_rank) % 4 = 0")
+    failures = asked.withColumn("error", F.concat(F.lit("timeout "), F.col("source_rank").cast("string")))
+    found = fusion.resolve(answers, failures).withColumns({"agreement": r6(F.col("agreement")), "rating": r6(F.col("rating"))})
+    return found.withColumns({"sources": F.concat_ws(",", "sources"), "conflicts": F.concat_ws(" | ", "conflicts")})
 
 
 @query("""SELECT product_id, launch_price, 0.9e0 AS confidence FROM (SELECT product_id, price, upper(replace(model, '-', '')) AS k FROM products WHERE product_id % 3 <> 0) JOIN

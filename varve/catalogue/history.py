@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varve.operators import giants, scoring, timeseries
+from varve.operators import giants, peers, scoring, timeseries
 
 from .base import NOW_SQL, R6, now, points, products, query, r6, table
+from .peer import PEER_SQL
 
 DAYS = 730
 
@@ -127,6 +128,59 @@ def sco_score(spark, d):
     return scored(spark, d).select("product_id", *(r6(F.col(c)).alias(c) for c in ("score", "confidence", "fake_deal_penalty", "quality_score", "claimed_discount", "verified_drop")), "is_lowest_ever")
 
 
+EVIDENCE = {
+    "agreement": "CASE WHEN product_id % 3 = 1 THEN 0.8e0 END",
+    "typical_price": "CASE WHEN product_id % 5 = 0 THEN price * (0.9e0 + product_id % 7 / 20e0) END",
+    "known_low": "CASE WHEN product_id % 10 = 0 THEN price * (0.95e0 + product_id % 3 / 20e0) END",
+    "reference_confidence": "CASE WHEN product_id % 5 = 0 THEN product_id % 6 / 6e0 END",
+    "inherited_quality": "product_id % 8 = 0",
+    "global_mean_rating": "4.1e0",
+}
+CLAIMED = "CASE WHEN product_id % 4 = 0 THEN list_price * 1.5e0 ELSE list_price END"
+WHOLE = lambda x: f"CAST(CAST(floor({x} + 0.5e0) AS BIGINT) AS VARCHAR)"
+PERCENT = lambda x: f"concat({WHOLE(f'({x}) * 100')}, ' %')"
+LOG = lambda x, full: CL(f"log10(1 + {x}) / log10({full + 1}e0)")
+
+
+@query(f"""{SCORED_SQL[: SCORED_SQL.index('fields AS')]}{PEER_SQL.lstrip(', ')},
+shown AS (SELECT * REPLACE ({CLAIMED} AS list_price), {', '.join(f'{v} AS {k}' for k, v in EVIDENCE.items())} FROM products),
+fields AS (SELECT p.*, s.median, s.percentile, s.claim_share, s.min_ever, s.changes, s.days_observed, e.* EXCLUDE (product_id) FROM shown p JOIN stats s USING (product_id) LEFT JOIN peers e USING (product_id)),
+e1 AS (SELECT *, CASE WHEN median > 0 THEN (median - price) / median ELSE 0 END AS dr, coalesce(price <= min_ever + 0.005 AND changes > 0 AND days_observed >= 3, false) AS low, coalesce(price <= min_ever + 0.005 AND changes > 0 AND days_observed > 0, false) AS short_low,
+    CASE WHEN list_price > price THEN (list_price - price) / list_price ELSE 0 END AS claim, CASE condition WHEN 'open-box' THEN 0.15e0 WHEN 'refurbished' THEN 0.22e0 ELSE 0e0 END AS expected,
+    coalesce(peer_size >= 5 AND NOT peer_outlier, false) AS fit, coalesce(peer_size >= 8 AND peer_cohesion > 0.35 AND NOT peer_outlier, false) AS firm, coalesce(reference_confidence > 0, false) AS referred,
+    coalesce(known_low > 0 AND price <= known_low * 1.02e0, false) AS at_low, coalesce(CASE WHEN typical_price > 0 THEN (typical_price - price) / typical_price END, 0) AS under, coalesce(list_price / peer_p90, 0) AS list_ratio, coalesce(price / peer_median, 0) AS price_ratio FROM fields),
+e2 AS (SELECT *, {CL(f"0.55 * {CL('dr / 0.4')} + 0.45 * (1 - percentile) + CASE WHEN low THEN 0.15 ELSE 0 END")} AS hist, {CL('claim / 0.45')} * 0.8 AS merch, {CL('days_observed / 30')} AS ch,
+    CASE WHEN fit THEN {CL(f"0.6e0 * {CL('(peer_below - expected) / 0.3e0')} + 0.4e0 * (1 - peer_percentile)")} ELSE 0 END AS peer, CASE WHEN fit THEN {CL('log10(peer_size) / log10(40e0)')} * peer_cohesion ELSE 0 END AS peer_conf,
+    referred AND (typical_price > 0 OR coalesce(known_low > 0, false)) AS has_ref, {CL('greatest(dr, CASE WHEN firm THEN peer_below - expected ELSE 0 END)')} AS verified FROM e1),
+e3 AS (SELECT *, CASE WHEN has_ref THEN {CL(f"{CL('under / 0.3e0')} * 0.75e0 + CASE WHEN at_low THEN 0.35e0 ELSE 0 END")} ELSE 0 END AS ref, CASE WHEN has_ref THEN 0.45e0 * reference_confidence ELSE 0 END AS ref_w,
+    firm AND claim > 0.2 AND list_ratio > 1.05 AND price_ratio > 0.7 AS implausible, ch > 0.25 AND claim > 0.15 AND dr < 0.02 AS unconfirmed, coalesce(claim_share > 0.85 AND days_observed > 14, false) AS permanent,
+    recommend_yes::DOUBLE / nullif(recommend_total, 0) AS pp, recommend_total::DOUBLE AS nn, 1.28e0 * 1.28e0 AS z2 FROM e2),
+e4 AS (SELECT *, {CL(f"0.32e0 * ch + 0.16e0 * peer_conf + 0.12e0 * ref_w + 0.15e0 * coalesce({LOG('rating_count', 200)}, 0) * CASE WHEN rating_count IS NULL THEN 0 ELSE 1 END + 0.07e0 * {CL('changes / 4e0')} + 0.1e0 * coalesce(agreement, 0) + CASE WHEN recommend_total >= 20 THEN 0.1e0 ELSE 0 END")} AS conf,
+    greatest(CASE WHEN implausible THEN {CL(f"0.35e0 + 0.5e0 * {CL('(list_ratio - 1.05e0) / 0.6e0')}")} ELSE 0 END, CASE WHEN unconfirmed THEN {CL('(claim - greatest(0, dr)) * 0.9')} ELSE 0 END, CASE WHEN permanent THEN 0.35 ELSE 0 END) AS pen,
+    CASE WHEN recommend_total > 0 THEN {CL("(greatest(0, (pp + z2 / (2 * nn) - 1.28e0 * sqrt((pp * (1 - pp) + z2 / (4 * nn)) / nn)) / (1 + z2 / nn)) - 0.25) / 0.73")}
+    WHEN rating IS NOT NULL AND rating_count > 0 THEN 0.45 + ({CL("((rating_count * rating + 5 * global_mean_rating) / (rating_count + 5e0) - 3) / 1.8")} - 0.45) * {LOG('rating_count', 50)} ELSE 0.45 END AS qual FROM e3),
+e5 AS (SELECT *, {CL("(merch * (1 - pen) * 0.3e0 + hist * ch + peer * (0.8e0 * peer_conf) + ref * ref_w) / (0.3e0 + ch + 0.8e0 * peer_conf + ref_w) * (1 - 0.6e0 * pen)")} AS deal, 0.75 + 0.25 * {LOG('greatest(0, median - price, list_price - price)', 500)} AS boost FROM e4)
+SELECT product_id, {R6(f"100 * {CL("deal * (0.35 + 0.65 * qual) * boost * CASE WHEN in_stock = false THEN 0.3 ELSE 1 END * CASE condition WHEN 'open-box' THEN 0.93 WHEN 'refurbished' THEN 0.9 ELSE 1 END * (0.55 + 0.45 * conf)")}")} AS score,
+    {R6('conf')} AS confidence, {R6('pen')} AS fake_deal_penalty, {R6('verified')} AS verified_drop, {R6('peer')} AS peer_signal, {R6('peer_conf')} AS peer_confidence, {R6('ref')} AS reference_signal,
+    concat_ws(' | ', CASE WHEN low THEN concat('lowest price in ', {WHOLE('days_observed')}, ' days') END, CASE WHEN implausible THEN 'list price above that of nearly all comparable products' END, CASE WHEN unconfirmed THEN 'claimed discount not confirmed by the history' END,
+    CASE WHEN permanent THEN 'always on sale' END, CASE WHEN short_low AND NOT low THEN 'lowest seen so far, over a short time' END, CASE WHEN dr >= 0.08 THEN concat({PERCENT('dr')}, ' under the usual price') END,
+    CASE WHEN fit AND peer_cohesion > 0.35 AND peer_below >= 0.1 THEN concat({PERCENT('peer_below')}, ' under the median of ', CAST(peer_size AS VARCHAR), ' comparable products') END,
+    CASE WHEN referred AND at_low THEN 'at the lowest documented price' WHEN referred AND price < typical_price * 0.9e0 THEN concat({PERCENT('1 - price / typical_price')}, ' under the documented usual price') END,
+    CASE WHEN claim >= 0.1 AND pen = 0 THEN concat('claimed discount of ', {PERCENT('claim')}) END,
+    CASE WHEN recommend_total >= 20 AND recommend_yes IS NOT NULL THEN concat({PERCENT('recommend_yes / recommend_total')}, ' recommend it', CASE WHEN inherited_quality THEN ' (same model, new)' ELSE '' END)
+        WHEN rating IS NOT NULL AND rating_count >= 20 THEN concat(printf('%.1f', rating), ' of 5', CASE WHEN inherited_quality THEN ' (same model, new)' ELSE '' END) WHEN coalesce(rating_count, 0) = 0 THEN 'no reviews' END,
+    CASE condition WHEN 'open-box' THEN 'open box' WHEN 'refurbished' THEN 'refurbished' END, CASE WHEN ch < 0.35 THEN 'short history' END, CASE WHEN in_stock = false THEN 'out of stock' END) AS reasons FROM e5""")
+def sco_score_with_peers(spark, d):
+    """Every signal of the score at once: history, claim, peers and outside references, with penalties and reasons."""
+    rows = products(spark, d).withColumns({k: F.expr(v) for k, v in EVIDENCE.items()}).withColumn("list_price", F.expr(CLAIMED))
+    current = points(spark, d).join(rows.select("product_id", F.col("price").alias("now_price")), "product_id")
+    stats = timeseries.price_stats(current, now(), list_price="list_price", current="now_price", days=DAYS).drop("current_price")
+    near = peers.peer_stats(rows, key="kind", is_new=F.col("condition") == "new").drop("peer_key")
+    found = scoring.score(rows.join(stats, "product_id").join(near, "product_id", "left"))
+    parts = ("score", "confidence", "fake_deal_penalty", "verified_drop", "peer_signal", "peer_confidence", "reference_signal")
+    return found.select("product_id", *(r6(F.col(c)).alias(c) for c in parts), F.concat_ws(" | ", "reasons").alias("reasons"))
+
+
 @query(f"""{SCORED_SQL}, ranked AS (SELECT product_id, score, row_number() OVER (PARTITION BY store_id, variant_key ORDER BY floor(score * 1e6 + 0.5) DESC, product_id) AS n, variant_key FROM scored)
 SELECT product_id, variant_key IS NULL OR n = 1 AS is_variant_lead FROM ranked""")
 def win_leader_election(spark, d):

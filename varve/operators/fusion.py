@@ -22,58 +22,89 @@ LEAST_MODEL, LEAST_SHARE_OF_RETAIL = 4, 0.35
 RELIABILITY = {"detail": 0.97, "reviews": 0.97, "cross_store": 0.72, "manufacturer": 0.88}
 
 
+def _told(value: str) -> Column:
+    """What each source of an aggregated group says, as source=value in the order of source_rank; one entry per source."""
+    said = F.collect_list(F.struct("source_rank", F.concat_ws("=", "source", F.col(value).cast("string")).alias("said")))
+    return F.concat_ws(", ", F.transform(F.array_sort(said), lambda x: x.said))
+
+
 def vote(facts: DataFrame, field: str) -> DataFrame:
     """product_id, field, <field>_agreement, <field>_sources: the spelling-insensitive value with the largest sum of
-    reliability (of equal ones, the one named first by source_rank), shown as first written."""
+    reliability (of equal ones, the one named first by source_rank), shown as first written; <field>_told: who said what."""
     cast = facts.filter(F.col(field).isNotNull() & (F.col(field) != ""))
     key = F.trim(F.regexp_replace(F.lower(field), "\\s+", " "))
-    sums = cast.groupBy("product_id", key.alias("_key")).agg(F.sum("reliability").alias("_weight"), F.count(F.lit(1)).alias("_n"), F.min_by(field, "source_rank").alias("_shown"), F.min("source_rank").alias("_rank"))
+    said = F.collect_list(F.struct("source_rank", F.concat_ws("=", "source", field).alias("said")))
+    sums = cast.groupBy("product_id", key.alias("_key")).agg(F.sum("reliability").alias("_weight"), F.count(F.lit(1)).alias("_n"), F.min_by(field, "source_rank").alias("_shown"), F.min("source_rank").alias("_rank"), said.alias("_said"))
     best = F.max_by(F.struct("_shown", "_n"), F.struct(F.floor(F.col("_weight") * 1e6 + 0.5), -F.col("_rank")))
-    out = sums.groupBy("product_id").agg(best.alias("_best"), F.sum("_n").alias(f"{field}_sources"), F.count(F.lit(1)).alias(f"{field}_values"))
-    return out.select("product_id", F.col("_best._shown").alias(field), (F.col("_best._n").cast("double") / F.col(f"{field}_sources")).alias(f"{field}_agreement"), f"{field}_sources", f"{field}_values")
+    told = F.concat_ws(", ", F.transform(F.array_sort(F.flatten(F.collect_list("_said"))), lambda x: x.said))
+    out = sums.groupBy("product_id").agg(best.alias("_best"), F.sum("_n").alias(f"{field}_sources"), F.count(F.lit(1)).alias(f"{field}_values"), told.alias(f"{field}_told"))
+    return out.select("product_id", F.col("_best._shown").alias(field), (F.col("_best._n").cast("double") / F.col(f"{field}_sources")).alias(f"{field}_agreement"), f"{field}_sources", f"{field}_values", f"{field}_told")
 
 
 def mean_rating(facts: DataFrame) -> DataFrame:
-    """product_id, rating (mean by reliability), rating_agreement (share of sources within the tolerance), rating_sources."""
+    """product_id, rating (mean by reliability), rating_agreement (share of sources within the tolerance), rating_sources, rating_told."""
     rows = facts.filter(F.col("rating").isNotNull())
     whole = Window.partitionBy("product_id")
     mean = F.sum(F.col("rating") * F.col("reliability")).over(whole) / F.sum("reliability").over(whole)
     near = rows.withColumn("_mean", mean).withColumn("_near", F.abs(F.col("rating") - F.col("_mean")) <= RATING_TOLERANCE)
-    return near.groupBy("product_id").agg(F.max("_mean").alias("rating"), (F.count_if("_near").cast("double") / F.count(F.lit(1))).alias("rating_agreement"), F.count(F.lit(1)).alias("rating_sources"))
+    return near.groupBy("product_id").agg(
+        F.max("_mean").alias("mean"), (F.count_if("_near").cast("double") / F.count(F.lit(1))).alias("rating_agreement"), F.count(F.lit(1)).alias("rating_sources"), _told("rating").alias("rating_told")
+    ).withColumnRenamed("mean", "rating")
 
 
 def review_count(facts: DataFrame) -> DataFrame:
-    """product_id, rating_count (the largest), count_agreement (share within the tolerance of it), count_sources."""
+    """product_id, rating_count (the largest), count_agreement (share within the tolerance of it), count_sources, count_told."""
     rows = facts.filter(F.col("rating_count").isNotNull())
     top = F.max("rating_count").over(Window.partitionBy("product_id"))
     near = rows.withColumn("_top", top).withColumn("_near", (F.col("_top") == 0) | (F.try_divide(F.col("_top") - F.col("rating_count"), F.col("_top")) <= COUNT_TOLERANCE))
-    return near.groupBy("product_id").agg(F.max("_top").alias("rating_count"), (F.count_if("_near").cast("double") / F.count(F.lit(1))).alias("count_agreement"), F.count(F.lit(1)).alias("count_sources"))
+    return near.groupBy("product_id").agg(
+        F.max("_top").alias("top"), (F.count_if("_near").cast("double") / F.count(F.lit(1))).alias("count_agreement"), F.count(F.lit(1)).alias("count_sources"), _told("rating_count").alias("count_told")
+    ).withColumnRenamed("top", "rating_count")
+
+
+#: Facts that one source gives whole: the first source that has the fact named first gives them all. Those named in
+#: OPTIONAL may be missing from a table of facts.
+WHOLE = {"reviews": ["reviews"], "rating_histogram": ["rating_histogram"], "manufacturer_price": ["manufacturer_price", "manufacturer_name", "manufacturer_url"]}
+OPTIONAL = ["reviews", "rating_histogram", "manufacturer_name", "manufacturer_url"]
 
 
 def resolve(facts: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """One row per product: each field, the agreement of all fields with several sources (else 0.8 for several
-    sources, 0.6 for one), the conflicts and the status. failures: product_id, source, error."""
-    parts = [vote(facts, f) for f in STRINGS] + [mean_rating(facts), review_count(facts)]
-    # votes are never pooled across sources: the largest sample stands for itself
-    votes = facts.filter(F.col("recommend_total") > 0).groupBy("product_id").agg(F.max_by(F.struct("recommend_yes", "recommend_total"), F.struct("recommend_total", -F.col("source_rank"))).alias("v")).select("product_id", "v.*")
-    price = facts.filter(F.col("manufacturer_price") > 0).groupBy("product_id").agg(F.min_by("manufacturer_price", "source_rank").alias("manufacturer_price"))
-    per = facts.groupBy("product_id").agg(F.count(F.lit(1)).alias("_sources"), F.array_sort(F.collect_set("source")).alias("sources"))
-    out = reduce(lambda a, b: a.join(b, "product_id", "left"), [per, *parts, votes, price])
+    """One row per product that a source has answered for or failed at: each field, the agreement of all fields with
+    several sources (else 0.8 for several sources, 0.6 for one, 0 for none), the conflicts with what each source says,
+    then the failures, and the status. failures: product_id, source, error.
+
+    A source that answers without any fact is no failure, but a product without any fact has failed. Votes are never
+    pooled across sources: the largest sample stands for itself, of equal ones that of the first source.
+    """
     fields = [*STRINGS, "rating", "count"]
-    several = F.array_compact(F.array(*(F.when(F.col(f"{f}_sources") > 1, F.col(f"{f}_agreement")) for f in fields)))
-    agreement = F.when(F.size(several) > 0, F.aggregate(several, F.lit(0.0), lambda a, x: a + x) / F.size(several)).when(F.col("_sources") > 1, SILENT).otherwise(ALONE)
-    differs = [F.when(F.col(f"{f}_values") > 1, F.lit(f"{f} differs")) for f in STRINGS] + [F.when(F.col(f"{f}_agreement") < 1, F.lit(f"{f} differs")) for f in ("rating", "count")]
-    got = F.coalesce(*(F.col(c).isNotNull() for c in ("brand",)), F.lit(False))
-    for c in ("model", "manufacturer", "rating", "rating_count", "recommend_total", "manufacturer_price"):
-        got = got | F.col(c).isNotNull()
-    errors = F.lit(0)
+    parts = [vote(facts, f) for f in STRINGS] + [mean_rating(facts), review_count(facts)]
+    optional = [c for c in OPTIONAL if c in facts.columns]
+    given = {first: [c for c in own if c in facts.columns] for first, own in WHOLE.items() if first in facts.columns}
+    has = lambda c: F.col(c) > 0 if c == "manufacturer_price" else F.col(c).isNotNull()
+    per = facts.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("_sources"), F.array_sort(F.collect_set("source")).alias("sources"),
+        F.max_by(F.struct("recommend_yes", "recommend_total"), F.when(F.col("recommend_total") > 0, F.struct("recommend_total", -F.col("source_rank")))).alias("_votes"),
+        *(F.min_by(F.struct(*own), F.when(has(first), F.col("source_rank"))).alias(f"_{first}") for first, own in given.items()),
+    )
+    per = per.select("product_id", "_sources", "sources", "_votes.*", *(f"_{first}.*" for first in given))
     if failures is not None:
-        out = out.join(failures.groupBy("product_id").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "source", "error"))).alias("_errors")), "product_id", "left")
-        errors = F.coalesce(F.size("_errors"), F.lit(0))
-    conflicts = F.array_compact(F.array(*differs))
-    conflicts = F.concat(conflicts, F.coalesce("_errors", F.array().cast("array<string>"))) if failures is not None else conflicts
-    status = F.when(~got, "failed").when(errors > 0, "partial").otherwise("ok")
-    return out.select("product_id", *STRINGS, "rating", "rating_count", "recommend_yes", "recommend_total", "manufacturer_price", "sources", agreement.alias("agreement"), conflicts.alias("conflicts"), status.alias("status"))
+        failed = failures.groupBy("product_id").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "source", "error"))).alias("_errors"))
+        per = per.join(failed, "product_id", "full")
+    out = reduce(lambda a, b: a.join(b, "product_id", "left"), [per, *parts])
+    sources = F.coalesce("_sources", F.lit(0))
+    several = F.array_compact(F.array(*(F.when(F.col(f"{f}_sources") > 1, F.col(f"{f}_agreement")) for f in fields)))
+    mean = F.aggregate(several, F.lit(0.0), lambda a, x: a + x) / F.size(several)
+    agreement = F.when(sources == 0, 0.0).when(F.size(several) > 0, mean).when(sources > 1, SILENT).otherwise(ALONE)
+    differ = [F.col(f"{f}_values") > 1 for f in STRINGS] + [F.col(f"{f}_agreement") < 1 for f in ("rating", "count")]
+    conflicts = F.array_compact(F.array(*(F.when(d, F.concat(F.lit(f"{f} differs: "), F.col(f"{f}_told"))) for f, d in zip(fields, differ))))
+    errors = F.coalesce("_errors", F.array().cast("array<string>")) if failures is not None else F.array().cast("array<string>")
+    known = [*STRINGS, "rating", "rating_count", "recommend_total", "manufacturer_price", *optional]
+    got = reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in known))
+    status = F.when(~got, "failed").when(F.size(errors) > 0, "partial").otherwise("ok")
+    return out.select(
+        "product_id", *STRINGS, "rating", "rating_count", "recommend_yes", "recommend_total", "manufacturer_price", *optional, F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
+        agreement.alias("agreement"), F.concat(conflicts, errors).alias("conflicts"), status.alias("status"),
+    )
 
 
 def eligible(products: DataFrame, source: str, stores: list | None = None, brands: DataFrame | None = None) -> DataFrame:
