@@ -201,6 +201,22 @@ def test_toxicity_edges(spark):
     assert kept.columns == docs(spark, rows).columns and 0 < kept.count() < len(rows)
 
 
+def test_toxicity_learns_from_a_bounded_number_of_texts(spark, monkeypatch):
+    """One doc_id on thousands of rows, with equal or different texts, puts no more than the bound on the driver."""
+    fitted = []
+    whole = toxicity.fit_machine
+    monkeypatch.setattr(toxicity, "fit_machine", lambda rows, labels, features: fitted.append(len(rows)) or whole(rows, labels, features))
+    label_of = {k: k % 2 for k in range(1, 80) if zlib.crc32(str(k).encode()) % toxicity.HELD_OUT_OF}
+    given = spark.createDataFrame(list(label_of.items()), "doc_id long, toxic int")
+    few = [(k, "vile cur" if v else "kind friend") for k, v in label_of.items()]
+    crowd = next(iter(label_of))
+    machine = toxicity.fit(docs(spark, few), given)
+    again = toxicity.fit(docs(spark, few + [few[0]] * 3000), given)
+    assert fitted == [len(label_of)] * 2 and np.array_equal(machine.weights, again.weights)
+    toxicity.fit(docs(spark, few + [(crowd, f"other {n}") for n in range(3000)]), given, most_labelled=100)
+    assert fitted[-1] == 100
+
+
 def test_toxicity_sees_pairs_of_which_neither_word_tells_anything_alone(spark):
     rng, rows, labels = random.Random(3), [], []
     for d in range(1200):

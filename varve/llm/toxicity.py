@@ -2,7 +2,8 @@
 
 Terms are a text's distinct words and word beginnings, lower-cased and hashed to 2**BITS features. The machine's
 pairwise weights see combinations that a linear sum misses. It is fitted on at most MOST_LABELLED labelled documents,
-chosen by a hash of doc_id; scoring covers every text. Spark counts, over the different texts of that sample, how
+chosen by a hash of doc_id, and on at most as many different texts of them, chosen by a hash of doc_id and text, however
+often a doc_id is repeated; scoring covers every text. Spark counts, over the different texts of that sample, how
 often each feature goes with either label, and likewise each pair of words at most NEAR words apart. A feature
 enters the machine if it tells the labels apart by itself (LEAST_CHI2) or in a pair with another (LEAST_PAIR_CHI2, among
 pairs of LEAST_PAIR texts of label 1 or more), so that an insult made of two harmless words is seen too; there is no
@@ -10,7 +11,7 @@ cap on their number.
 
 Rows: null or empty texts have no terms and get the score of the intercept. Labels that are null, or of documents
 that aren't there, are left out; where a document has several labels, the largest counts. Repeated rows get the
-same score. Without labels of both kinds, every score is the share of label 1 (0 if there are none). An empty
+same score and are learned from once. Without labels of both kinds, every score is the share of label 1 (0 if there are none). An empty
 table gives an empty result. Label, lang, source and doc_id are never inputs of a score.
 """
 
@@ -172,19 +173,28 @@ def _telling_pairs(texts: DataFrame, n: int, ones: int, useful: np.ndarray) -> D
     return both.filter((_chi2(n, ones) >= LEAST_PAIR_CHI2) & (F.col("ones") * n > F.col("n") * ones)).select("pair")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Machine:
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with the smallest `most` values of place, a hash of 64 bits."""
+    if rows.count() <= most:
+        return rows
+    last = rows.select("place").orderBy("place").limit(most).agg(F.max("place")).first()[0]
+    return rows.filter(F.col("place") <= last)
+
+
+def fit(docs: DataFrame, labels: DataFrame, least_chi2: float = LEAST_CHI2, most_labelled: int = MOST_LABELLED) -> Machine:
     """Fit on rows of labels (doc_id, toxic) outside the held-out fold."""
     sample = labels.filter(F.col("toxic").isNotNull() & (remainder("doc_id", HELD_OUT_OF) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)  # 16 bytes a row: 320 kB at most
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)  # 16 bytes a row: 320 kB at most
 
     @releasing
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             sets = [sorted(set().union(*map(hashed, set(words_of(t))))) for t in x.column(1).to_pylist()]
-            yield pa.record_batch([x.column(0), x.column(1), pa.array(sets, pa.list_(pa.int32()))], names=["toxic", "text", "features"])
+            yield pa.record_batch([x.column(0), x.column(1), x.column(2), pa.array(sets, pa.list_(pa.int32()))], names=["toxic", "text", "place", "features"])
 
     labelled = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = cut(labelled.select("toxic", "text").mapInArrow(terms, "toxic int, text string, features array<int>"), "labelled")
+    each = labelled.groupBy("doc_id", "text").agg(F.max("toxic").alias("toxic")).select("toxic", "text", F.xxhash64("doc_id", "text").alias("place"))
+    rows = _bounded(cut(each.mapInArrow(terms, "toxic int, text string, place long, features array<int>"), "labelled"), most_labelled)
     texts = cut(rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.first("features").alias("features")), "labelled-texts")
     n, ones = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = cut(texts.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("ones")), "features")
@@ -192,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     useful[counts.filter(F.col("ones") >= LEAST_PAIR).select("feature").toPandas()["feature"].to_numpy(np.int64)] = True
     pairs = _telling_pairs(texts, n, ones, np.packbits(useful))
     in_pairs = pairs.select(F.explode(F.array(F.shiftright("pair", BITS), F.col("pair") % (1 << BITS)).cast("array<int>")).alias("feature"))
-    alone = counts.filter((F.col("n") >= LEAST_DOCS) & (_chi2(n, ones) >= LEAST_CHI2)).select("feature")
+    alone = counts.filter((F.col("n") >= LEAST_DOCS) & (_chi2(n, ones) >= least_chi2)).select("feature")
     features = np.sort(alone.union(in_pairs).distinct().toPandas()["feature"].to_numpy(np.int64))  # 2**BITS at most
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
             sets = (np.asarray(f, np.int64) for f in x.column(1).to_pylist())
             yield pa.record_batch([x.column(0), pa.array([f[np.isin(f, features)].astype(np.int32) for f in sets], pa.list_(pa.int32()))], names=["toxic", "features"])
 
-    picked = rows.select("toxic", "features").mapInArrow(known, "toxic int, features array<int>").toPandas()  # MOST_LABELLED rows at most
+    picked = rows.select("toxic", "features").mapInArrow(known, "toxic int, features array<int>").toPandas()  # most_labelled rows at most
     at = [np.searchsorted(features, np.asarray(x, np.int64)) for x in picked["features"]]
     order = sorted(range(len(at)), key=lambda k: (at[k].tobytes(), int(picked["toxic"][k])))  # the order of rows isn't Spark's promise
     return fit_machine([at[k] for k in order], picked["toxic"].to_numpy(float)[order], features)
