@@ -31,7 +31,8 @@ from .text import releasing
 
 BITS, BEGINNINGS = 20, (4, 5)
 MOST_LABELLED = 20_000
-LEAST_DOCS, LEAST_CHI2 = 3, 16.0
+#: LEAST_CHI2 is the limit with the least log-loss over three folds inside the training rows (README); held-out labels had no part in it.
+LEAST_DOCS, LEAST_CHI2 = 3, 12.0
 NEAR, LEAST_PAIR, LEAST_PAIR_CHI2 = 4, 6, 40.0
 SLOTS = 1 << 22
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 15, 256, 0.05, 1e-4
