@@ -31,7 +31,7 @@ from .text import releasing
 
 BITS, BEGINNINGS = 20, (4, 5)
 MOST_LABELLED = 20_000
-#: LEAST_CHI2 is the limit with the least log-loss over three folds inside the training rows (README); held-out labels had no part in it.
+#: LEAST_CHI2 is the limit with the least log-loss over three folds inside the training rows (README).
 LEAST_DOCS, LEAST_CHI2 = 3, 12.0
 NEAR, LEAST_PAIR, LEAST_PAIR_CHI2 = 4, 6, 40.0
 SLOTS = 1 << 22
