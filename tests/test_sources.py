@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.functions import display, jsonld, prices, text
+from varve.operators import spec_rules
 from varve.sources import landed, reference
 
 PAGE = """<html><head><script type="application/ld+json">{broken</script>
@@ -75,7 +76,12 @@ def test_classification_goes_from_the_deepest_level_up(spark):
 def test_category_tree(spark):
     tree = reference.categories(spark)
     roots = {r.slug: r.root for r in reference.root_of(tree).collect()}
-    assert roots["portables"] == "informatique" and roots["informatique"] == "informatique" and tree.filter("parent_slug is null").count() == 7
+    assert roots["portables"] == "informatique" and roots["informatique"] == "informatique" and tree.filter("parent_slug is null").count() == 17
+    assert roots["bien-etre"] == "beaute-sante" and roots["epicerie"] == "epicerie" and len(roots) == tree.count()
+    gated = set(spec_rules.SCREEN + spec_rules.APPLIANCE + spec_rules.TOOL + spec_rules.BEAUTY + spec_rules.GAME + spec_rules.MATERIAL)
+    assert gated <= set(roots)
+    stores = {r.store_id: r for r in reference.stores(spark).collect()}
+    assert len(stores) == 35 and stores["leons-ca"].name == "Leon's" and stores["leons-ca"].enabled and not stores["hp-ca"].enabled and stores["hp-ca"].kind == "manufacturer"
 
 
 @pytest.mark.parametrize("raw, amount", [("$1,299.99", 1299.99), ("1 299,99 $", 1299.99), ("1&nbsp;299,99&nbsp;$", 1299.99), ("<b><i>24,99</i> $</b>", 24.99), ("899 $", 899), ("1 000,00 $", 1000), ("", None), ("sur demande", None)])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog, checks, facts, history, landing, listing, peer, relational, sinks, texts
+from . import catalog, checks, components, facts, history, landing, listing, peer, relational, sinks, texts
 from .base import ORACLES, QUERIES
 
-MODULES = (catalog, checks, facts, history, landing, listing, peer, relational, sinks, texts)
+MODULES = (catalog, checks, components, facts, history, landing, listing, peer, relational, sinks, texts)
 
 
 def queries():

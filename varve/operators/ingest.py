@@ -125,12 +125,23 @@ def dead_urls(failures: DataFrame, successes: DataFrame, now: Column) -> DataFra
     return out.filter(F.col("failures") >= DEAD_AT)
 
 
+def guard_report(before: DataFrame, after: DataFrame, points_before: DataFrame, points_after: DataFrame, most_loss: float = 0.2) -> DataFrame:
+    """One row: products and points of two snapshots and a verdict: first (there were no products, so that there is nothing to
+    guard), products (that share of them is lost), history (there are fewer points) or ok. Tables are only counted."""
+    sides = {"products_before": before, "products_after": after, "points_before": points_before, "points_after": points_after}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), "n") for name, df in sides.items()]
+    row = counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3]).agg(*(F.max(F.when(F.col("side") == name, F.col("n"))).alias(name) for name in sides))
+    lost = F.col("products_after") < F.col("products_before") * (1 - most_loss)
+    verdict = F.when(F.col("products_before") == 0, "first").when(lost, "products").when(F.col("points_after") < F.col("points_before"), "history").otherwise("ok")
+    return row.withColumn("verdict", verdict)
+
+
 def guard(before: DataFrame, after: DataFrame, points_before: int, points_after: int, most_loss: float = 0.2) -> None:
-    """Refuse a snapshot that has lost more than that share of products or any history."""
+    """Refuse a snapshot that has lost more than that share of products or any history. An empty first one guards nothing."""
     was, now = before.count(), after.count()
-    if now < was * (1 - most_loss):
+    if was and now < was * (1 - most_loss):
         raise ValueError(f"products fell from {was} to {now}")
-    if points_after < points_before:
+    if was and points_after < points_before:
         raise ValueError(f"price points fell from {points_before} to {points_after}")
 
 

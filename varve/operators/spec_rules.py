@@ -115,3 +115,63 @@ FAMILY_ORDER = [
     "puissance", "aspiration", "bruit", "debit-air", "btu", "essorage", "moteur", "tension", "joueurs", "age-min", "duree-partie", "contenance", "encre-origine", "rendement",
     "couverts", "materiau", "revetement", "filtration", "navigation", "vidange", "autonomie", "garantie", "energie", "etancheite", "reduction-bruit", "audio-spatial", "wifi", "bluetooth", "hdmi", "sync",
 ]
+
+#: What a family means for the one who buys: its group and a sentence.
+EFFECTS = {
+    "resolution": ("image", "Plus il y a de points, plus les contours et les petits caractères sont nets."),
+    "dalle": ("image", "La technique de l'écran décide de la profondeur des noirs et du contraste."),
+    "diagonale": ("image", "La taille visible se mesure d'un coin à l'autre ; elle se choisit selon la distance."),
+    "rafraichissement": ("image", "Un écran qui se redessine plus souvent rend les mouvements plus fluides."),
+    "reponse": ("image", "Un temps court laisse moins de traînées derrière ce qui bouge."),
+    "hdr": ("image", "Les scènes claires et sombres gardent plus de nuances."),
+    "courbure": ("image", "Les bords d'un grand écran restent à la même distance des yeux."),
+    "encombrement": ("format", "La dimension annoncée sert à vérifier que l'article tient à sa place."),
+    "cpu-marque": ("puissance", "La famille du processeur décide des logiciels et de la consommation."),
+    "cpu": ("puissance", "Un processeur de gamme plus haute tient mieux plusieurs tâches à la fois."),
+    "ram": ("puissance", "Plus de mémoire garde plus de programmes ouverts sans ralentir."),
+    "stockage-type": ("puissance", "Un disque sans pièce mobile démarre et ouvre les fichiers bien plus vite."),
+    "stockage-taille": ("puissance", "La place pour les fichiers, les photos et les jeux."),
+    "gpu-marque": ("puissance", "La marque du circuit graphique décide des pilotes et des fonctions de jeu."),
+    "gpu": ("puissance", "Une carte de gamme plus haute affiche des jeux plus détaillés."),
+    "sync": ("image", "L'écran suit la cadence de la carte graphique, sans images déchirées."),
+    "reduction-bruit": ("son", "Les bruits constants autour de soi sont atténués."),
+    "audio-spatial": ("son", "Les sons semblent venir de plusieurs directions."),
+    "autonomie": ("usage", "Le temps d'emploi entre deux recharges."),
+    "wifi": ("connexion", "Une génération plus récente porte plus loin et partage mieux le débit."),
+    "bluetooth": ("connexion", "Une version plus récente consomme moins et coupe plus rarement."),
+    "hdmi": ("connexion", "La prise laisse passer les images détaillées à haute cadence."),
+    "energie": ("usage", "L'appareil consomme moins que ce que la norme demande."),
+    "capacite": ("format", "Le volume utile, à comparer à la taille du ménage."),
+    "couverts": ("format", "Le nombre de couverts lavés en une fois."),
+    "configuration": ("format", "La disposition des portes décide de l'accès et de la place à prévoir."),
+    "distributeur": ("usage", "De l'eau ou de la glace sans ouvrir la porte."),
+    "glacons": ("usage", "De la glace se fait sans bac à remplir."),
+    "givre": ("usage", "Il n'y a pas de glace à retirer à la main."),
+    "plaque": ("usage", "La source de chaleur décide de la rapidité et de la précision de la cuisson."),
+    "cuisson": ("usage", "Des aliments croustillants avec peu de matière grasse."),
+    "convection": ("usage", "La chaleur est brassée et la cuisson plus égale."),
+    "autonettoyant": ("usage", "L'intérieur se nettoie par un cycle."),
+    "chargement": ("format", "Le côté par lequel on charge décide de la place et du confort."),
+    "connecte": ("connexion", "L'appareil se commande et se surveille à distance."),
+    "puissance": ("puissance", "Plus de watts donnent plus de force ou de chaleur, pour plus de courant."),
+    "aspiration": ("puissance", "Une aspiration plus forte retire mieux la poussière des tapis."),
+    "bruit": ("usage", "Moins de décibels gênent moins ; trois de plus doublent l'énergie du son."),
+    "debit-air": ("puissance", "Un débit plus grand renouvelle plus vite l'air d'une pièce."),
+    "btu": ("puissance", "La chaleur produite ou retirée en une heure, à accorder à la pièce."),
+    "essorage": ("puissance", "Le linge sort plus sec d'un essorage plus rapide."),
+    "moteur": ("puissance", "Un moteur sans balais dure plus longtemps et chauffe moins."),
+    "tension": ("puissance", "Une batterie de plus haute tension donne plus de couple."),
+    "filtration": ("usage", "Les particules les plus fines sont retenues."),
+    "navigation": ("usage", "L'appareil connaît la pièce et la parcourt sans oublier de coin."),
+    "vidange": ("usage", "Le bac se vide seul dans un sac à changer rarement."),
+    "materiau": ("matière", "La matière décide de la durée, du poids et de l'entretien."),
+    "revetement": ("matière", "Les aliments n'attachent pas, tant que la surface n'est pas rayée."),
+    "etancheite": ("usage", "Le chiffre dit à quelle eau l'appareil résiste."),
+    "garantie": ("usage", "La durée pendant laquelle un défaut est pris en charge."),
+    "joueurs": ("jeu", "Combien de personnes jouent ensemble au plus."),
+    "age-min": ("jeu", "L'âge à partir duquel le jeu convient."),
+    "duree-partie": ("jeu", "Le temps à prévoir pour une partie."),
+    "contenance": ("format", "La quantité, pour comparer les prix au même volume."),
+    "encre-origine": ("usage", "Qui a fait la cartouche décide du prix et de la garantie."),
+    "rendement": ("usage", "Le nombre de pages imprimées avant de changer de cartouche."),
+}

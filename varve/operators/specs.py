@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varve.functions.text import fold, slug, spaces
 
-from .spec_rules import FAMILIES, RULES
+from .spec_rules import EFFECTS, FAMILIES, FAMILY_ORDER, RULES
 
 LEAST_VALUES = 30
 #: Required strings of a pattern that are worth a look each.
@@ -147,16 +147,39 @@ def tier_from_rank(rank: Column, scale: Column) -> Column:
     return F.when(rank.isNull(), None).when(scale <= 2, F.when(rank >= scale, "haut").otherwise("entree")).otherwise(F.when(ratio >= 1, "premium").when(ratio >= 0.75, "haut").when(ratio >= 0.5, "milieu").otherwise("entree"))
 
 
-def analyse(specs: DataFrame, dist: DataFrame) -> DataFrame:
-    """specs with tier and position (above, at or below the usual): by rank if there is one, else by distribution."""
+def _judged(specs: DataFrame, dist: DataFrame) -> DataFrame:
+    """specs with tier and position, beside the distribution (n, p10 to p90) that they were held against."""
     keyed = specs.withColumn("metric_key", F.concat_ws("|", "family", F.coalesce("unit", F.lit(""))))
     met = keyed.join(dist, ["category", "metric_key"], "left")
     measured = F.when(F.col("metric").isNotNull() & F.col("n").isNotNull(), tier_from_distribution(F.col("metric"), F.col("lower"), F.col("p25"), F.col("p50"), F.col("p75"), F.col("p10"), F.col("p90")))
     out = met.withColumn("tier", F.coalesce(tier_from_rank(F.col("rank"), F.col("scale")), measured))
     position = F.when(F.col("tier").isin("premium", "haut"), "above").when(F.col("tier") == "milieu", "at").when(F.col("tier") == "entree", "below")
-    return out.withColumn("position", position).drop("n", "p10", "p25", "p50", "p75", "p90")
+    return out.withColumn("position", position)
+
+
+def analyse(specs: DataFrame, dist: DataFrame) -> DataFrame:
+    """specs with tier and position (above, at or below the usual): by rank if there is one, else by distribution."""
+    return _judged(specs, dist).drop("n", "p10", "p25", "p50", "p75", "p90")
+
+
+def explain(specs: DataFrame, dist: DataFrame) -> DataFrame:
+    """What analyse gives, with group, effect (what the family means for its owner; null for a family without a text) and
+    basis: the step on the scale, or the category's median and how many products it was taken from; null without a tier."""
+    told = F.create_map(*(F.lit(x) for family, (group, effect) in EFFECTS.items() for x in (family, F.struct(F.lit(group).alias("group"), F.lit(effect).alias("effect")))))
+    median = F.when(F.col("p50") % 1 == 0, F.col("p50").cast("bigint").cast("string")).when(F.col("p50") < 1, F.format_string("%.2f", "p50")).otherwise(F.format_string("%.1f", "p50"))
+    scale = F.coalesce("scale", F.lit(4))
+    by_rank = F.when(scale <= 2, "Échelle technique établie").otherwise(F.format_string("Échelon %d sur %d de sa gamme", F.col("rank"), scale))
+    by_median = F.concat(F.lit("Médiane de la catégorie : "), F.concat_ws(" ", median, "unit"), F.lit(" ("), F.col("n").cast("string"), F.lit(" produits comparés)"))
+    basis = F.when(F.col("rank").isNotNull(), by_rank).when(F.col("tier").isNotNull(), by_median)
+    out = _judged(specs, dist).withColumn("_told", told[F.col("family")])
+    return out.withColumns({"group": F.col("_told.group"), "effect": F.col("_told.effect"), "basis": basis}).drop("_told", "n", "p10", "p25", "p50", "p75", "p90")
 
 
 def summary(analysed: DataFrame, product: str = "product_id") -> DataFrame:
     """Specs with a verdict, and how many are above and below the usual, per product."""
     return analysed.groupBy(product).agg(F.count("tier").alias("judged"), F.count_if(F.col("position") == "above").alias("above"), F.count_if(F.col("position") == "below").alias("below"))
+
+
+def family_place(family: Column) -> Column:
+    """The place of a family's facet on a page, from 1; null for a family that has none."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, FAMILY_ORDER)), family), F.lit(0)).cast("int")

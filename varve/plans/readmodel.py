@@ -199,3 +199,24 @@ def public_export(tables: dict[str, DataFrame], deals: DataFrame, least: float =
             df = df.join(shown, "product_id", "left_semi")
         out[name] = df.orderBy(F.desc("finished_at")).limit(runs) if name == "runs" else df
     return out
+
+
+#: What a listing shows of a deal, from four tables; descriptions are left to the product's own page.
+WIDE = {
+    "products": "product_id title brand model url image_url store_id category_slug condition currency availability marketplace seller_name price list_price in_stock rating rating_count",
+    "stores": "store_name store_color",
+    "scores": "score confidence drop_vs_median is_lowest_ever median verified_drop quality_rating quality_count min_ever max_ever days_of_history reasons",
+    "enrichment": "recommend_yes recommend_total reviews",
+}
+
+
+def wide_deals(scores: DataFrame, products: DataFrame, stores: DataFrame, enrichment: DataFrame) -> DataFrame:
+    """The 35 columns of a deal in a listing: scored products of known stores, with what enrichment knows of them. stores
+    has store_id, name and color; the others are keyed by product_id. Each table gives its own columns only, so that others
+    of the same name don't clash. Spark broadcasts stores by its size, so a store with a third of all rows isn't shuffled by."""
+    mine = {name: columns.split() for name, columns in WIDE.items()}
+    sold = products.select(*mine["products"])
+    at = stores.select("store_id", F.col("name").alias("store_name"), F.col("color").alias("store_color"))
+    known = enrichment.select("product_id", *mine["enrichment"])
+    out = scores.select("product_id", *mine["scores"]).join(sold, "product_id").join(known, "product_id", "left").join(at, "store_id")
+    return out.select(*mine["products"], *mine["stores"], *mine["scores"], *mine["enrichment"])

@@ -19,6 +19,7 @@ FACTS = (
 )
 CATEGORIES = "slug string, name string, parent_slug string, icon string, sort_order int"
 STORES = "store_id string, name string, country string, currency string, homepage string, enabled boolean, consecutive_failures int, paused_until timestamp, kind string"
+STORE_REGISTRY = "store_id string, name string, kind string, country string, currency string, homepage string, color string, enabled boolean"
 RUNS = "run_id bigint, store_id string, strategy string, target string, status string, products_seen bigint, products_new bigint, price_changes bigint, error string, started_at timestamp, finished_at timestamp"
 CURSORS = "store_id string, scope string, next_page int, laps int, updated_at timestamp"
 REVIEWS = "review_id bigint, product_id bigint, stars int, title string, text string, helpful int, verified boolean"
