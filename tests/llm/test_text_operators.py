@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -525,6 +526,18 @@ def test_licence_terms_are_weighted_by_the_texts_that_have_them(spark):
     assert {r.doc_id for r in got} == set(range(20)) and all(r.cosine == pytest.approx(want, abs=1e-6) for r in got)
 
 
+def test_wrapped_headers_are_told_apart_whatever_follows_them(spark):
+    wrap = lambda text, width: "\n".join("# " + x for x in textwrap.wrap(text, width))
+    code = "\n".join(f"value_{k} = load(path, {k}) + other_{k % 7}" for k in range(40))
+    gpl = "# This work is licensed\n# under the GNU General\n# Public License, version 3."
+    headed = {name: f"first line of code\n{wrap(text, 76)}\n{code}" for name, text in licenses.HEADERS.items()}
+    narrow = {name: f"{wrap(text, 30)}\n{code}" for name, text in licenses.HEADERS.items()}
+    for others in (30, 1500):
+        texts = [gpl + "\n" + code, gpl.replace("General", "Lesser General") + "\n" + code, *headed.values(), *narrow.values()] + [f"import x{k % 50}\nprint(the_{k % 9} of the software, {k})\nreturn a copy of it" for k in range(others)]
+        got = {r.doc_id: r.license for r in licenses.scan(files(spark, [(k, f"a/{k}", t) for k, t in enumerate(texts)])).collect()}
+        assert got == dict(enumerate(["GPL-3.0", "LGPL-3.0", *headed, *narrow]))
+
+
 def test_licence_scan_equals_comparing_everything(spark):
     rng = random.Random(4)
     words = [w for t in licenses.TEMPLATES.values() for w in re.findall(r"\w+", t)] + ["code", "rain", "x1", "sun"] * 12
@@ -532,8 +545,10 @@ def test_licence_scan_equals_comparing_everything(spark):
     df = licence_df(texts)
     want = {}
     for k, t in enumerate(texts):
-        units = [u for u in (*t.split("\n"), *re.split(r"\n[\W_]*\n", t), t) if re.search(r"\w", u)]
-        c, name = min(((-round(brute_cosine(u, v, df, len(texts)), 9), name) for u in units for name, v in licenses.TEMPLATES.items()), default=(0, ""))
+        lines = [x for x in t.split("\n") if re.search(r"\w", x)]
+        runs = ["\n".join(lines[a:b]) for a in range(len(lines)) for b in range(a + 2, len(lines) + 1)]
+        units = [u for u in (*lines, *runs, *re.split(r"\n[\W_]*\n", t), t) if re.search(r"\w", u)]
+        c, name = min(((-round(brute_cosine(u, v, df, len(texts)), 9), name) for u in units for name, v in licenses.notices()), default=(0, ""))
         if -c >= 0.6:
             want[k] = (name, pytest.approx(-c, abs=1e-6))
     assert 20 < len(want) < 150

@@ -1,20 +1,25 @@
 """Licence scan: sparse TF-IDF cosine of text lines to templates, and inheritance from the nearest directory.
 
-Everything is DataFrame operations. Each line of a text is compared, each block (lines between lines without a term)
-and the whole text: terms are weighted by term frequency and inverse document frequency (texts with the term, of all
-texts, for every term). What can't reach the threshold by the templates' term weights is left out early; this loses
-nothing. A file's licence is that of its best line, block or whole. A notice that is wrapped over lines is not found
-if other text follows or precedes it without a line between and outweighs it. A file without a licence takes that of
-the nearest directory above it that has a licence file, by joining the paths of all directories above it.
+Everything is DataFrame operations. Each line of a text is compared, each run of up to RUN successive lines with a term,
+each block (lines between lines without a term) and the whole text: terms are weighted by term frequency and inverse
+document frequency (texts with the term, of all texts, for every term). What can't reach the threshold by the templates'
+term weights is left out early, and so are runs that score higher without their first or last line; this loses nothing.
+A file's licence is that of its best line, run, block or whole, so a header that is wrapped over lines counts by
+itself, whatever comes before and after it. Licences have a short notice, most a header in full too; the better one
+counts. A file without a licence takes that of the nearest directory above it that has a licence file, by joining the
+paths of all directories above it.
 
 Rows: null or empty texts have no licence of their own but inherit. A null path has no directory and inherits
 nothing. Of several licence files in one directory the smallest path counts, and of equal scores the smallest
-template name. Repeated rows get the same result each. An empty table gives an empty result. Columns of files other
-than id, path and text are ignored.
+template name. Repeated rows get the same result each; rows of one id and path with different texts get the best of
+them. An empty table gives an empty result. Columns of files other than id, path and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,61 +39,128 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "Proprietary": "All rights reserved.",
 }
+# Headers by which files are put under a licence, in full.
+HEADERS = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+}
+# Other wordings of short notices, so that licences of one family differ in their names only.
+WORDINGS = {
+    "GPL-3.0": "Licensed under the GNU General Public License, version 3.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+}
 LEAST_COSINE = 0.6
+#: Lines with a term in a run; longer notices are found by their block or as a whole text.
+RUN = 32
+#: Terms in more than this share of all texts are told from rarer ones where they are at most MOST_FREQUENT. This only
+#: decides how early a candidate is left out.
+FREQUENT, MOST_FREQUENT = 1 / 20, 5000
+#: Steps (of a factor of two) in which the terms' largest gains are told apart.
+STEPS = 12
 
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
-def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in templates.items()])).alias("x")).select("x.*")
-    return rows.select("license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
+def notices() -> list[tuple[str, str]]:
+    return [*TEMPLATES.items(), *HEADERS.items(), *WORDINGS.items()]
 
 
-def units() -> Column:
-    """What of a text is compared: each line, each block (lines between lines without a term) and the whole text."""
-    return F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[^\\p{L}\\p{N}]*\n"), F.array("text")))
+def _templates(spark: SparkSession, said: list[tuple[str, str]]) -> DataFrame:
+    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("notice"), F.lit(name).alias("license"), F.lit(v).alias("said")) for k, (name, v) in enumerate(said)])).alias("x")).select("x.*")
+    return rows.select("notice", "license", F.explode(terms(F.col("said"))).alias("term")).groupBy("notice", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _may_reach(known: list, least: float) -> Column:
-    """False only where no template's cosine can reach least. The product with a template is at most the sum of each
-    known term's idf times its largest weight in any template; the squared norm is at least that of the known terms
-    plus one for each other term, as no idf is below 1."""
-    if not known:
-        return F.lit(False)
-    words = F.array(*(F.lit(r["term"]) for r in known))
-    of = F.map_from_arrays(words, F.array(*(F.struct(F.lit(r["gain"]).alias("gain"), F.lit(r["square"]).alias("square")) for r in known)))
-    kind = "struct<last:string,odd:double,n:double,gain:double,square:double>"
-    start = F.struct(F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).cast(kind)
+def units() -> Column:
+    """What of a text is compared beside runs: each line, each block (lines between lines without a term) and the whole text."""
+    return F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[^\\p{L}\\p{N}]*\n"), F.array("text")))
 
-    def add(s: Column, t: Column) -> Column:  # a term's squares grow by 1, 3, 5, ... times that of its idf
-        odd = F.when(t == s["last"], s["odd"] + 2).otherwise(1.0)
-        return F.struct(t.alias("last"), odd.alias("odd"), (s["n"] + 1).alias("n"), (s["gain"] + of[t]["gain"]).alias("gain"), (s["square"] + odd * of[t]["square"]).alias("square")).cast(kind)
 
-    met = F.sort_array(F.filter("terms", lambda t: t.isin([r["term"] for r in known])))
-    return F.aggregate(met, start, add, lambda s: (s["n"] > 0) & (s["gain"] >= (least - 1e-6) * F.sqrt(s["square"] + F.size("terms") - s["n"])))
+class Bounds:
+    """What terms can add to a cosine at most. The product with a template is at most the sum of each known term's idf times
+    its largest weight in any template (gain); the squared norm is at least the sum of each term's squared idf (square),
+    where a term that no template has counts as 1 if it is frequent and as the least of the rarer ones if not. Known terms
+    are put in steps by their gain, with the largest gain and the least square of the step."""
+
+    def __init__(self, known: list, frequent: list[str] | None, rare_square: float):
+        self.words, self.frequent, self.rare = [r["term"] for r in known], frequent, rare_square
+        top = max((r["gain"] for r in known), default=1.0)
+        steps: dict[int, list] = {}
+        for r in known:
+            steps.setdefault(min(int(math.log2(top / max(r["gain"], 1e-300))), STEPS), []).append(r)
+        self.steps = [([r["term"] for r in rows], max(r["gain"] for r in rows), min(r["square"] for r in rows)) for _, rows in sorted(steps.items())]
+
+    def of(self, found: Column) -> Column:
+        """gain and square of an array of terms."""
+        known = F.filter(found, lambda t: t.isin(self.words))
+        among = lambda words: F.size(F.filter(known, lambda t: t.isin(words)))
+        sums = [among(words) for words, _, _ in self.steps]
+        gain = reduce(lambda a, b: a + b, (n * F.lit(g) for n, (_, g, _) in zip(sums, self.steps)), F.lit(0.0))
+        square = reduce(lambda a, b: a + b, (n * F.lit(q) for n, (_, _, q) in zip(sums, self.steps)), F.lit(0.0))
+        others = F.size(found) - F.size(known)
+        if self.frequent is None:
+            return F.struct(gain.alias("gain"), (square + others).alias("square"))
+        often = F.size(F.filter(found, lambda t: t.isin(self.frequent))) if self.frequent else F.lit(0)
+        return F.struct(gain.alias("gain"), (square + often + (others - often) * F.lit(self.rare)).alias("square"))
+
+
+def _runs(lines: Column, sums: Column, least: float) -> Column:
+    """First line and length of each run of two lines or more that may be the best of its text. A run reaches a cosine of
+    least only if its gain is least times the root of its square at least. Without an end line of more square than
+    2 gain(line) gain(run) / least^2 it would score higher, so such a run is left out: the shorter one is compared."""
+    c = least - 1e-6
+    kind = "struct<gain:double,square:double,n:int,found:array<int>>"
+
+    def from_line(i: Column) -> Column:
+        first = F.get(sums, i)
+        start = F.struct(first["gain"], first["square"], F.lit(1), F.array()).cast(kind)
+
+        def add(s: Column, line: Column) -> Column:
+            gain, square, n = s["gain"] + line["gain"], s["square"] + line["square"], s["n"] + 1
+            most = F.lit(2 / (c * c)) * gain
+            kept = (line["gain"] > 0) & (gain >= F.lit(c) * F.sqrt(square)) & (first["square"] <= most * first["gain"]) & (line["square"] <= most * line["gain"])
+            return F.struct(gain.alias("gain"), square.alias("square"), n.alias("n"), F.when(kept, F.array_append(s["found"], n)).otherwise(s["found"]).alias("found")).cast(kind)
+
+        lengths = F.aggregate(F.slice(sums, i + 2, RUN - 1), start, add, lambda s: s["found"])
+        return F.transform(F.when(first["gain"] > 0, lengths).otherwise(F.array().cast("array<int>")), lambda n: F.struct(i.alias("at"), n.alias("n")))
+
+    places = F.when(F.size(lines) > 1, F.sequence(F.lit(0), F.size(lines) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(places, from_line))
 
 
 def scan(files: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", least: float = LEAST_COSINE) -> DataFrame:
-    """id, path, license and cosine of each file of which a line, a block or the whole matches a template. files: id, path, text."""
-    spark, templates = files.sparkSession, templates or TEMPLATES
-    wanted = _templates(spark, templates)
+    """id, path, license and cosine of each file of which a line, a run, a block or the whole matches a template. files: id,
+    path, text. templates: a notice of each licence; unless given, all of notices()."""
+    spark = files.sparkSession
+    wanted = _templates(spark, list(templates.items()) if templates else notices())
     texts = files.select(F.col(id_col).alias("id"), "path", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = texts.count()
     seen = cut(texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     idf = F.log((n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     weights = wanted.join(seen.join(F.broadcast(wanted.select("term").distinct()), "term"), "term", "left").withColumn("idf", idf).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weights.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    weights = cut(weights.join(norms, "license").select("license", "term", "idf", (F.col("w") / F.col("t_norm")).alias("t_w")), "weights")
+    norms = weights.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
+    weights = cut(weights.join(norms, "notice").select("notice", "license", "term", "idf", (F.col("w") / F.col("t_norm")).alias("t_w")), "weights")
     known = weights.groupBy("term").agg((F.max("t_w") * F.first("idf")).alias("gain"), F.first(F.col("idf") * F.col("idf")).alias("square")).collect()  # bounded by the templates
-    lines = texts.select("id", "path", F.explode(F.transform(units(), terms)).alias("terms")).filter(_may_reach(known, least))
-    lines = cut(lines.withColumn("line_id", F.monotonically_increasing_id()), "lines")
+    often = seen.filter(F.col("df") > n * FREQUENT).join(F.broadcast(weights.select("term").distinct()), "term", "left_anti").select("term").limit(MOST_FREQUENT + 1).collect()
+    frequent = [r["term"] for r in often] if len(often) <= MOST_FREQUENT else None
+    bounds = Bounds(known, frequent, (math.log((n + 1.0) / (n * FREQUENT + 1)) + 1) ** 2)
+    may_reach = lambda b: (b["gain"] > 0) & (b["gain"] >= F.lit(least - 1e-6) * F.sqrt(b["square"]))
+    whole = texts.select("id", "path", F.explode(F.transform(units(), terms)).alias("terms")).filter(may_reach(bounds.of(F.col("terms"))))
+    by_line = texts.select("id", "path", F.filter(F.transform(F.split("text", "\n"), terms), lambda t: F.size(t) > 0).alias("lines")).filter(F.size("lines") > 1)
+    by_line = by_line.withColumn("sums", F.transform("lines", bounds.of))
+    runs = by_line.select("id", "path", "lines", F.explode(_runs(F.col("lines"), F.col("sums"), least)).alias("run")).select("id", "path", F.flatten(F.slice("lines", F.col("run.at") + 1, F.col("run.n"))).alias("terms"))
+    lines = cut(whole.unionByName(runs).withColumn("line_id", F.monotonically_increasing_id()), "lines")
     per = cut(lines.select("line_id", F.explode("terms").alias("term")).groupBy("line_id", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
     few = cut(per.select("term").distinct().join(seen, "term").select("term", idf.alias("idf")), "few")
     per = per.join(few, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = per.groupBy("line_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = per.join(F.broadcast(weights.drop("idf")), "term").groupBy("line_id", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    dots = per.join(F.broadcast(weights.drop("idf")), "term").groupBy("line_id", "notice", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     best = dots.join(norm, "line_id").withColumn("cosine", F.floor(F.col("dot") / F.col("norm") * 1e9 + 0.5) / 1e9).filter(F.col("cosine") >= least)
     best = best.groupBy("line_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     hits = lines.select("line_id", "id", "path").join(best, "line_id")
