@@ -61,7 +61,7 @@ RUN = 32
 #: decides how early a candidate is left out.
 FREQUENT, MOST_FREQUENT = 1 / 20, 5000
 #: Steps (of a factor of two) in which the terms' largest gains are told apart.
-STEPS = 12
+STEPS = 6
 
 
 def terms(text: Column) -> Column:
@@ -96,39 +96,63 @@ class Bounds:
             steps.setdefault(min(int(math.log2(top / max(r["gain"], 1e-300))), STEPS), []).append(r)
         self.steps = [([r["term"] for r in rows], max(r["gain"] for r in rows), min(r["square"] for r in rows)) for _, rows in sorted(steps.items())]
 
-    def of(self, found: Column) -> Column:
-        """gain and square of an array of terms."""
-        known = F.filter(found, lambda t: t.isin(self.words))
-        among = lambda words: F.size(F.filter(known, lambda t: t.isin(words)))
-        sums = [among(words) for words, _, _ in self.steps]
-        gain = reduce(lambda a, b: a + b, (n * F.lit(g) for n, (_, g, _) in zip(sums, self.steps)), F.lit(0.0))
-        square = reduce(lambda a, b: a + b, (n * F.lit(q) for n, (_, _, q) in zip(sums, self.steps)), F.lit(0.0))
-        others = F.size(found) - F.size(known)
-        if self.frequent is None:
-            return F.struct(gain.alias("gain"), (square + others).alias("square"))
-        often = F.size(F.filter(found, lambda t: t.isin(self.frequent))) if self.frequent else F.lit(0)
-        return F.struct(gain.alias("gain"), (square + often + (others - often) * F.lit(self.rare)).alias("square"))
-
-
-def _runs(lines: Column, sums: Column, least: float) -> Column:
-    """First line and length of each run of two lines or more that may be the best of its text. A run reaches a cosine of
-    least only if its gain is least times the root of its square at least. Without an end line of more square than
-    2 gain(line) gain(run) / least^2 it would score higher, so such a run is left out: the shorter one is compared."""
+    def counts(self, found: Column) -> Column:
+        """What is added up over lines: terms of each step (s0, s1, ...) and the square of the others."""
+
+        def told(known: Column) -> Column:
+            among = lambda words: F.size(F.filter(known, lambda t: t.isin(words)))
+            steps = [among(words).cast("double").alias(f"s{k}") for k, (words, _, _) in enumerate(self.steps)]
+            others = F.size(found) - F.size(known)
+            often = others if self.frequent is None else F.size(F.filter(found, lambda t: t.isin(self.frequent))) if self.frequent else F.lit(0)
+            return F.struct(*steps, (often + (others - often) * F.lit(self.rare)).cast("double").alias("other"))
+
+        return _with(F.filter(found, lambda t: t.isin(self.words)), told)
+
+    def bound(self, counts: Column) -> Column:
+        """gain and square of counts. Of n terms of a step that has m, the squared counts add up to n^2 / m at least."""
+        steps = [(counts[f"s{k}"], len(words), g, q) for k, (words, g, q) in enumerate(self.steps)]
+        gain = reduce(lambda a, b: a + b, (n * F.lit(g) for n, _, g, _ in steps), F.lit(0.0))
+        square = reduce(lambda a, b: a + b, (F.greatest(n * F.lit(q), n * n * F.lit(q / m)) for n, m, _, q in steps), counts["other"])
+        return F.struct(gain.alias("gain"), square.alias("square"))
+
+    def fields(self) -> list[str]:
+        return [*(f"s{k}" for k in range(len(self.steps))), "other"]
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(lines: Column, sums: Column, bounds: Bounds, least: float) -> Column:
+    """First line and length of each run of two lines or more that may be the best of its text; sums has each line's counts
+    and bound. A run reaches a cosine of least only if its gain is least times the root of its square at least. Without an
+    end line of more square than 2 gain(line) gain(run) / least^2 it would score higher, so such a run is left out: the
+    shorter one is compared."""
     c = least - 1e-6
-    kind = "struct<gain:double,square:double,n:int,found:array<int>>"
+    names = bounds.fields()
+    kind = f"struct<{','.join(f'{f}:double' for f in names)},n:int,found:array<int>>"
 
     def from_line(i: Column) -> Column:
         first = F.get(sums, i)
-        start = F.struct(first["gain"], first["square"], F.lit(1), F.array()).cast(kind)
+        start = F.struct(*(first["counts"][f].alias(f) for f in names), F.lit(1).alias("n"), F.array().alias("found")).cast(kind)
 
         def add(s: Column, line: Column) -> Column:
-            gain, square, n = s["gain"] + line["gain"], s["square"] + line["square"], s["n"] + 1
-            most = F.lit(2 / (c * c)) * gain
-            kept = (line["gain"] > 0) & (gain >= F.lit(c) * F.sqrt(square)) & (first["square"] <= most * first["gain"]) & (line["square"] <= most * line["gain"])
-            return F.struct(gain.alias("gain"), square.alias("square"), n.alias("n"), F.when(kept, F.array_append(s["found"], n)).otherwise(s["found"]).alias("found")).cast(kind)
+            whole = F.struct(*((s[f] + line["counts"][f]).alias(f) for f in names))
+
+            def grown(run: Column) -> Column:
+                def judged(b: Column) -> Column:
+                    most = F.lit(2 / (c * c)) * b["gain"]
+                    kept = (line["bound"]["gain"] > 0) & (b["gain"] >= F.lit(c) * F.sqrt(b["square"])) & (first["bound"]["square"] <= most * first["bound"]["gain"]) & (line["bound"]["square"] <= most * line["bound"]["gain"])
+                    found = F.when(kept, F.array_append(s["found"], s["n"] + 1)).otherwise(s["found"])
+                    return F.struct(*(run[f].alias(f) for f in names), (s["n"] + 1).alias("n"), found.alias("found")).cast(kind)
+
+                return _with(bounds.bound(run), judged)
+
+            return _with(whole, grown)
 
         lengths = F.aggregate(F.slice(sums, i + 2, RUN - 1), start, add, lambda s: s["found"])
-        return F.transform(F.when(first["gain"] > 0, lengths).otherwise(F.array().cast("array<int>")), lambda n: F.struct(i.alias("at"), n.alias("n")))
+        return F.transform(F.when(first["bound"]["gain"] > 0, lengths).otherwise(F.array().cast("array<int>")), lambda n: F.struct(i.alias("at"), n.alias("n")))
 
     places = F.when(F.size(lines) > 1, F.sequence(F.lit(0), F.size(lines) - 2)).otherwise(F.array().cast("array<int>"))
     return F.flatten(F.transform(places, from_line))
@@ -151,10 +175,10 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, id_col: str
     frequent = [r["term"] for r in often] if len(often) <= MOST_FREQUENT else None
     bounds = Bounds(known, frequent, (math.log((n + 1.0) / (n * FREQUENT + 1)) + 1) ** 2)
     may_reach = lambda b: (b["gain"] > 0) & (b["gain"] >= F.lit(least - 1e-6) * F.sqrt(b["square"]))
-    whole = texts.select("id", "path", F.explode(F.transform(units(), terms)).alias("terms")).filter(may_reach(bounds.of(F.col("terms"))))
+    whole = texts.select("id", "path", F.explode(F.transform(units(), terms)).alias("terms")).filter(_with(_with(bounds.counts(F.col("terms")), bounds.bound), may_reach))
     by_line = texts.select("id", "path", F.filter(F.transform(F.split("text", "\n"), terms), lambda t: F.size(t) > 0).alias("lines")).filter(F.size("lines") > 1)
-    by_line = by_line.withColumn("sums", F.transform("lines", bounds.of))
-    runs = by_line.select("id", "path", "lines", F.explode(_runs(F.col("lines"), F.col("sums"), least)).alias("run")).select("id", "path", F.flatten(F.slice("lines", F.col("run.at") + 1, F.col("run.n"))).alias("terms"))
+    by_line = by_line.withColumn("sums", F.transform("lines", lambda t: _with(bounds.counts(t), lambda n: F.struct(n.alias("counts"), bounds.bound(n).alias("bound")))))
+    runs = by_line.select("id", "path", "lines", F.explode(_runs(F.col("lines"), F.col("sums"), bounds, least)).alias("run")).select("id", "path", F.flatten(F.slice("lines", F.col("run.at") + 1, F.col("run.n"))).alias("terms"))
     lines = cut(whole.unionByName(runs).withColumn("line_id", F.monotonically_increasing_id()), "lines")
     per = cut(lines.select("line_id", F.explode("terms").alias("term")).groupBy("line_id", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
     few = cut(per.select("term").distinct().join(seen, "term").select("term", idf.alias("idf")), "few")
