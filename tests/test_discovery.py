@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -67,3 +68,12 @@ def test_wide_cells_are_split_until_all_are_narrow(spark):
     assert asked.filter("facet = 'n'").count() == 1 and asked.filter("category = '2'").count() == 2 and asked.filter("category = '111'").count() == 3
     landed = spark.createDataFrame([("n", None, 1, ["a", "b"]), ("w", "2", 2, ["b", "c"]), ("w", "2", 9, ["d"]), ("w", "12", 1, ["e"])], "facet string, category string, page int, skus array<string>")
     assert {tuple(r) for r in discovery.harvested(asked, landed, F.upper("facet")).collect()} == {("a", "N"), ("b", "N"), ("c", "W")}
+
+
+def test_a_long_sitemap_is_searched_once_not_once_an_address(spark):
+    urls = "".join(f"<url><loc>https://x.ca/products/of/a/long/address/{k}</loc></url>" for k in range(30_000))
+    maps = spark.createDataFrame([("root", "<sitemapindex><loc>a</loc></sitemapindex>"), ("a", f"<urlset>{urls}</urlset>")], "url string, xml string")
+    began = time.monotonic()
+    got = discovery.sitemap_pages(maps, spark.createDataFrame([("root",)], "url string")).groupBy("sitemap", "level").count().collect()
+    assert [tuple(r) for r in got] == [("a", 1, 30_000)]
+    assert time.monotonic() - began < 40

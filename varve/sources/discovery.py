@@ -28,8 +28,9 @@ def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, region: str | None = No
         if left is not None:
             frontier = frontier.orderBy("order", "url").limit(left)
         read = frontier.withColumnRenamed("url", "sitemap").join(sitemaps.select(F.col("url").alias("sitemap"), "xml"), "sitemap")
-        read = read.select("sitemap", "order", F.col("xml").rlike("(?i)<sitemapindex").alias("is_index"), F.posexplode(F.regexp_extract_all("xml", F.lit(LOC), F.lit(1))).alias("place", "url"))
-        read = stage(read, "sitemaps")
+        # both patterns before the rows of a file part: beside a generator a column is computed once a row that comes out of it
+        read = read.select("sitemap", "order", F.col("xml").rlike("(?i)<sitemapindex").alias("is_index"), F.regexp_extract_all("xml", F.lit(LOC), F.lit(1)).alias("named"))
+        read = stage(read.select("sitemap", "order", "is_index", F.posexplode("named").alias("place", "url")), "sitemaps")
         inner = F.col("is_index") if level < depth else F.lit(False)
         pages = read.filter(~inner & wanted).select("url", "sitemap", F.lit(level).alias("level"), F.concat("order", F.array("place")).alias("order"))
         found = pages if found is None else found.unionByName(pages)
