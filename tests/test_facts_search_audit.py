@@ -180,3 +180,18 @@ def test_model_keys_are_found_in_addresses_as_by_brute_force(spark):
         if found:
             want[k] = min(found)[1]
     assert len(want) > 80 and {r.product_id: r.url for r in got.collect()} == want
+
+
+def test_time_shares_of_very_many_stores(spark):
+    import time
+
+    n = 60_000
+    stores = spark.range(n).select(F.col("id").alias("store_id"), (F.col("id") * 7 % 11).alias("products"), (F.col("id") * 7919 % n).alias("place"))
+    began = time.monotonic()
+    got = {r.place: r.seconds for r in audit.time_shares(stores, 1e9, 20.0).collect()}
+    assert time.monotonic() - began < 40  # 1.8e9 steps if what is left is summed anew for each store
+    left, at = 0, {k * 7919 % n: k * 7 % 11 for k in range(n)}
+    for place in sorted(at, reverse=True):
+        left += at[place]
+        want = max(20.0, 1e9 * (at[place] / left)) if left else 20.0
+        assert abs(got[place] - want) <= 1e-9 * want

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.staging import stage
+
 SEVERITIES = ("severe", "suspect", "info")
 
 
@@ -129,9 +131,17 @@ def run_accounting(runs: DataFrame) -> DataFrame:
 
 def time_shares(stores: DataFrame, budget: float, floor: float = 20.0) -> DataFrame:
     """Seconds for each store in order: its share of what is left of the budget by its part of the remaining products,
-    `floor` at least. stores: store_id, products, place."""
-    rest = Window.orderBy("place").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # a row per store
-    return stores.withColumn("seconds", F.greatest(F.lit(floor), F.lit(budget) * F.try_divide(F.col("products"), F.sum("products").over(rest))))
+    `floor` at least. stores: store_id, products, place.
+
+    What is left is summed by ranges of place: from the range's end to the store, and over all ranges behind it."""
+    spread = stage(stores.repartitionByRange("place").withColumn("_range", F.spark_partition_id()), "by-place")
+    sums = spread.groupBy("_range").agg(F.sum("products").alias("_sum"))
+    behind = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    behind = sums.select("_range", F.coalesce(F.sum("_sum").over(behind), F.lit(0)).alias("_behind"))
+    rest = Window.partitionBy("_range").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.coalesce(F.sum("products").over(rest), F.lit(0)) + F.col("_behind")
+    met = spread.join(F.broadcast(behind), "_range")
+    return met.withColumn("seconds", F.greatest(F.lit(floor), F.lit(budget) * F.try_divide(F.col("products"), left))).select(*stores.columns, "seconds")
 
 
 def collection_order(sources: DataFrame, cursors: DataFrame) -> DataFrame:
