@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,14 @@ def test_a_value_of_a_link_is_switched(spark, query, value, want):
     assert row.select(links.toggled(F.col("q"), "brands", F.col("v"))).first()[0] == want
 
 
+def test_a_link_of_many_parameters_is_switched_in_time(spark):
+    rows = spark.range(2000).select(F.concat_ws("&", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.concat(F.lit("p"), k.cast("string"), F.lit("="), (F.col("id") + k).cast("string")))).alias("q"), F.lit("lg").alias("v"))
+    began = time.monotonic()
+    got = rows.select(F.sum(F.length(links.toggled(F.concat("q", F.lit("&brands=lg%2Csony&p3=x")), "brands", F.col("v"))))).first()[0]
+    assert got == sum(len("&".join([f"p{k}={'x' if k == 3 else i + k}" for k in range(30)] + ["brands=sony"])) for i in range(2000))
+    assert time.monotonic() - began < 30
+
+
 def test_ways_back_stay_on_the_site(spark):
     rows = spark.createDataFrame([(p,) for p in ("/a/b", "//x", "/\\x", "https://x", "", None, "/")], "p string")
     assert [r[0] for r in rows.select(links.safe_return_path(F.col("p"), "/home")).collect()] == ["/a/b", "/home", "/home", "/home", "/home", "/home", "/"]
