@@ -11,7 +11,7 @@ from varve.functions import jsonld, text
 from varve.operators.filters import DealFilters
 from varve.plans import readmodel
 from varve.sources import discovery, landed
-from varve.staging import folder
+from varve.staging import dealt, folder
 
 from .base import R6, deals, query, r6, table
 
@@ -27,9 +27,22 @@ def land(files: DataFrame, name: str, kind: str = "") -> str:
     return path
 
 
+def land_lines(files: DataFrame, name: str) -> str:
+    """The folder that JSON lines (value) are written to, as many in a file as a task has: where a line is an answer of its own,
+    nothing depends on which file it is in, and a file a page would be as many files as pages times tasks."""
+    path = f"{folder(files.sparkSession)}/landed-{name}-{uuid.uuid4().hex}"
+    files.select("value").write.text(path)
+    return path
+
+
+def items(spark, d: str) -> DataFrame:
+    """The part table, dealt out, as pages are made of its rows and read back one by one and its file is small."""
+    return dealt(table(spark, d, "part"), "p_partkey")
+
+
 def parts(spark, d: str) -> DataFrame:
     page = F.floor(F.col("p_partkey") / PAGE)
-    return table(spark, d, "part").withColumn("page", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(page, page + 1)).otherwise(F.array(page))))
+    return items(spark, d).withColumn("page", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(page, page + 1)).otherwise(F.array(page))))
 
 
 def json_pages(rows: DataFrame, item: str, wrap: str) -> DataFrame:
@@ -140,8 +153,7 @@ def src_child_sitemaps(spark, d):
 @query("""SELECT p_partkey::VARCHAR AS sku, p_brand AS brand, CASE WHEN p_partkey % 2 = 0 THEN concat('M', p_size) END AS model, p_mfgr AS manufacturer, (p_partkey % 5)::DOUBLE AS rating, p_partkey % 40 AS rating_count FROM (SELECT *, concat('Maker of ', p_brand) AS p_mfgr FROM part)""")
 def src_details(spark, d):
     item = "to_json(struct(CAST(p_partkey AS STRING) AS sku, p_brand AS brandName, CASE WHEN p_partkey % 2 = 0 THEN concat('M', p_size) END AS modelNumber, concat('Maker of ', p_brand) AS manufacturer, CAST(p_partkey % 5 AS DOUBLE) AS customerRating, p_partkey % 40 AS customerRatingCount))"
-    rows = table(spark, d, "part").select(F.floor(F.col("p_partkey") / PAGE).alias("page"), F.expr(item).alias("value"))
-    return landed.details(spark, land(rows, "details"))
+    return landed.details(spark, land_lines(items(spark, d).select(F.expr(item).alias("value")), "details"))
 
 
 REVIEW_TEXT = "concat('Good ', p_name, CASE WHEN p_partkey % 3 = 0 THEN ' [This review was collected as part of a promotion.]' ELSE '' END)"
@@ -151,8 +163,8 @@ REVIEW_TEXT = "concat('Good ', p_name, CASE WHEN p_partkey % 3 = 0 THEN ' [This
 def src_reviews(spark, d):
     """Notes of paid reviews become a mark."""
     review = f"struct(p_partkey * 10 AS id, 1 + p_partkey % 5 AS rating, {REVIEW_TEXT} AS comment, CASE WHEN p_partkey % 2 = 0 THEN 3 END AS helpfulVotes, CASE WHEN p_partkey % 4 <> 1 THEN p_partkey % 4 = 0 END AS verifiedPurchaser)"
-    rows = table(spark, d, "part").select(F.floor(F.col("p_partkey") / PAGE).alias("page"), F.expr(f"to_json(struct(p_partkey AS productId, array({review}) AS reviews))").alias("value"))
-    return landed.reviews(spark, land(rows, "reviews"))[0].select("review_id", "product_id", "stars", "text", "helpful", "verified", "incentivised")
+    rows = items(spark, d).select(F.expr(f"to_json(struct(p_partkey AS productId, array({review}) AS reviews))").alias("value"))
+    return landed.reviews(spark, land_lines(rows, "reviews"))[0].select("review_id", "product_id", "stars", "text", "helpful", "verified", "incentivised")
 
 
 @query(f"""SELECT p_partkey AS product_id, {R6("CASE p_partkey % 6 WHEN 0 THEN p_size + 100.5e0 WHEN 1 THEN p_size + 20 WHEN 2 THEN p_size + 30 WHEN 3 THEN 40 END")} AS price FROM part""")
@@ -161,7 +173,7 @@ def src_price_layers(spark, d):
     ld = "concat('<script type=\"application/ld+json\">', to_json(struct('Product' AS `@type`, struct(p_size + 100.5e0 AS price) AS offers)), '</script><meta itemprop=\"price\" content=\"7\">')"
     html = f"""CASE p_partkey % 6 WHEN 0 THEN {ld} WHEN 1 THEN concat('<meta itemprop="price" content="', p_size + 20, '.00"><meta property="og:price:amount" content="9">')
         WHEN 2 THEN concat('<meta property="product:price:amount" content="', p_size + 30, '.00">') WHEN 3 THEN '{{"price":"10.00"}} {{"price":99}} {{"price":"40.00"}}' WHEN 4 THEN '{{"price": 2}}' ELSE 'none' END"""
-    return table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), r6(jsonld.layered_price(F.expr(html))).alias("price"))
+    return items(spark, d).select(F.col("p_partkey").alias("product_id"), r6(jsonld.layered_price(F.expr(html))).alias("price"))
 
 
 @query("""SELECT p_partkey AS product_id, CASE WHEN p_partkey % 3 = 0 THEN 'televiseurs' WHEN p_partkey % 3 = 1 THEN 'image-son' END AS slug, CASE WHEN p_partkey % 2 = 0 THEN concat('First about ', p_name, '. Second one!') ELSE 'Short. A. Third part of it.' END AS lead FROM part""")
@@ -170,7 +182,7 @@ def src_classified(spark, d):
     path = F.expr("CASE p_partkey % 3 WHEN 0 THEN array('Image', 'Téléviseurs', 'Soldes') WHEN 1 THEN array('Image', p_brand) ELSE array(p_brand) END")
     said = F.expr("CASE WHEN p_partkey % 2 = 0 THEN concat('First about ', p_name, '. Second one! Third.') ELSE 'Short. A. Third part of it.' END")
     rules = [("tele", "televiseurs"), ("image", "image-son")]
-    return table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), landed.classify(path, rules, ["soldes"]).alias("slug"), text.lead_sentences(said).alias("lead"))
+    return items(spark, d).select(F.col("p_partkey").alias("product_id"), landed.classify(path, rules, ["soldes"]).alias("slug"), text.lead_sentences(said).alias("lead"))
 
 
 @query("""SELECT p_partkey AS product_id, p_partkey % 3 <> 2 AS found, CASE WHEN p_partkey % 3 <> 2 THEN least((p_partkey % 15) / 10e0, 1e0) ELSE 0e0 END AS confidence, p_size + 1e0 AS typical_price,
@@ -180,7 +192,7 @@ def src_researched(spark, d):
     raw = F.expr("concat('Here: ', to_json(struct(p_size + 1e0 AS typical_price, -5e0 AS known_low, (p_partkey % 15) / 10e0 AS confidence, CASE WHEN p_partkey % 3 = 2 THEN array('a note') ELSE array('https://a', 'a note') END AS sources)), ' done')")
     sizes = F.expr("CASE WHEN p_partkey % 2 = 0 THEN array(200, 500, 1000) ELSE array(200, 1000) END")
     picture = jsonld.image_sizes(F.expr("concat('/i/80x60/', p_partkey, '.jpg')"), [300, 600])
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), jsonld.reference_answer(raw).alias("r"), picture[0].alias("picture"), jsonld.nearest_size(sizes, 400)[0].alias("nearest"))
+    rows = items(spark, d).select(F.col("p_partkey").alias("product_id"), jsonld.reference_answer(raw).alias("r"), picture[0].alias("picture"), jsonld.nearest_size(sizes, 400)[0].alias("nearest"))
     return rows.select("product_id", "r.found", "r.confidence", "r.typical_price", F.array_join("r.sources", ",").alias("sources"), "picture", "nearest")
 
 

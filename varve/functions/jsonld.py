@@ -24,7 +24,12 @@ def blocks(html: Column) -> Column:
 
 def of_type(html: Column, kind: str) -> Column:
     """The first JSON-LD object with that @type (a string or one of a list)."""
-    return F.try_element_at(F.filter(blocks(html), lambda b: F.coalesce(F.get_json_object(b, "$.@type").contains(kind), F.lit(False))), F.lit(1))
+    return first_of(blocks(html), kind)
+
+
+def first_of(found: Column, kind: str) -> Column:
+    """The first of a page's blocks() with that @type."""
+    return F.try_element_at(F.filter(found, lambda b: F.coalesce(F.get_json_object(b, "$.@type").contains(kind), F.lit(False))), F.lit(1))
 
 
 def product(html: Column) -> Column:
@@ -37,13 +42,22 @@ def first_offer(block: Column) -> Column:
 
 
 def offer_price(block: Column) -> Column:
-    offer = first_offer(block)
-    return loose_number(F.coalesce(F.get_json_object(offer, "$.price"), F.get_json_object(offer, "$.lowPrice"), F.get_json_object(offer, "$.priceSpecification.price"), F.get_json_object(block, "$.price")))
+    return loose_number(said_price(block, first_offer(block)))
+
+
+def said_price(block: Column, offer: Column) -> Column:
+    """The price of a product and its first offer, as the page has it."""
+    return F.coalesce(F.get_json_object(offer, "$.price"), F.get_json_object(offer, "$.lowPrice"), F.get_json_object(offer, "$.priceSpecification.price"), F.get_json_object(block, "$.price"))
 
 
 def breadcrumb(html: Column) -> Column:
     """Names of the page's breadcrumb by position."""
-    items = F.from_json(F.get_json_object(of_type(html, "BreadcrumbList"), "$.itemListElement"), "array<struct<position:int,name:string,item:struct<name:string>>>")
+    return breadcrumb_of(blocks(html))
+
+
+def breadcrumb_of(found: Column) -> Column:
+    """As breadcrumb, from a page's blocks()."""
+    items = F.from_json(F.get_json_object(first_of(found, "BreadcrumbList"), "$.itemListElement"), "array<struct<position:int,name:string,item:struct<name:string>>>")
     return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["position"].alias("position"), F.coalesce(x["name"], x["item"]["name"]).alias("name")))), lambda x: x["name"])
 
 

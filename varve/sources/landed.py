@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varve import schema
 from varve.functions import jsonld
-from varve.functions.prices import bilingual_price, condition_of, five_stars, model_of, valid_brand
+from varve.functions.prices import bilingual_price, condition_of, five_stars, loose_number, model_of, valid_brand
 from varve.functions.text import feature_text, numeric_entities, short_text
 
 #: How far before a price a card may begin, in characters.
@@ -115,14 +115,17 @@ def embedded_state(pages: DataFrame, store: str, name: str = "__initialState__",
 
 def product_pages(pages: DataFrame, store: str) -> DataFrame:
     """Product pages with JSON-LD: the Product block, its first offer and the breadcrumb."""
-    rows = pages.select("url", F.col("url").alias("_page"), F.lit(0).alias("_place"), jsonld.product(F.col("html")).alias("b"), jsonld.breadcrumb(F.col("html")).alias("crumbs"), F.length("html").alias("n")).filter(F.col("b").isNotNull())
+    found = pages.select("url", jsonld.blocks(F.col("html")).alias("_blocks"))
+    # a page without product ends here; a filter would be moved down and find the blocks a second time
+    rows = found.select("url", "_blocks", F.explode(F.array_compact(F.array(jsonld.first_of(F.col("_blocks"), "Product")))).alias("b"))
+    rows = rows.select("url", F.col("url").alias("_page"), F.lit(0).alias("_place"), "b", jsonld.breadcrumb_of(F.col("_blocks")).alias("crumbs"), jsonld.first_offer(F.col("b")).alias("offer"))
+    rows = rows.withColumn("said", jsonld.said_price(F.col("b"), F.col("offer")))
     get = lambda path: F.get_json_object("b", f"$.{path}")
-    offer = jsonld.first_offer(F.col("b"))
-    stock = F.get_json_object(offer, "$.availability")
+    stock = F.get_json_object("offer", "$.availability")
     return once(
         rows, store, sku=F.coalesce(get("sku"), get("productID"), F.regexp_extract("url", "([^/]+)/?$", 1)), url=F.col("url"), title=get("name"), brand=F.coalesce(get("brand.name"), get("brand")), model=F.coalesce(get("model"), get("mpn")),
         image_url=F.coalesce(get("image[0]"), get("image")), description=get("description"), store_category=F.array_join("crumbs", " > "), rating=get("aggregateRating.ratingValue").try_cast("double"),
-        rating_count=F.coalesce(get("aggregateRating.reviewCount"), get("aggregateRating.ratingCount")).try_cast("bigint"), condition=condition_of(get("name")), price=jsonld.offer_price(F.col("b")), in_stock=F.when(stock.isNotNull(), stock.contains("InStock")),
+        rating_count=F.coalesce(get("aggregateRating.reviewCount"), get("aggregateRating.ratingCount")).try_cast("bigint"), condition=condition_of(get("name")), price=loose_number(F.col("said")), in_stock=F.when(stock.isNotNull(), stock.contains("InStock")),
     )
 
 
