@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.catalogue import base, landing
+from varve.operators import peers
 from varve.sources import landed
 
 
@@ -40,3 +41,10 @@ def test_landed_lines_are_as_many_files_as_tasks(spark, one_file):
     assert landing.src_details(spark, one_file).count() == 3000
     (new,) = set(glob.glob(path.removeprefix("file://").rsplit("/", 1)[0] + "/landed-*")) - before
     assert not glob.glob(f"{new}/page=*")
+
+
+def test_a_title_is_folded_once_for_its_peer_key(spark):
+    rows = spark.createDataFrame([("c", "Télé 55 po OLED", "lg")], "category string, title string, brand string")
+    keyed = rows.select(peers.peer_key(F.col("category"), F.col("title"), F.col("brand")).alias("k"))
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("translate(title") <= 2  # for the key and for its type
+    assert keyed.first().k == "c|t:tele|po:44-55|panel:oled"

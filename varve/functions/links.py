@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def _decoded(text: Column) -> Column:
     """A part of a query string without its escapes; null if they are broken."""
     return F.try_url_decode(text)
 
 
-def _as(value: Column, of: Callable[[Column], Column]) -> Column:
-    """of(value) with value computed once, however often `of` names it: inside a lambda a column stands for all of its own work."""
-    return F.try_element_at(F.transform(F.array(value), of), F.lit(1))
-
-
 def toggled(query: Column, name: str, value: Column) -> Column:
     """The query string with one value of a comma list switched, back on the first page: parameters in order of their
     names, each once (the last of repeated ones counts), without empty ones. What can't be decoded is left out. A null
@@ -39,10 +34,10 @@ def toggled(query: Column, name: str, value: Column) -> Column:
         rest = F.filter(once, lambda p: ~p["k"].isin(name, "page") & (p["v"] != ""))
         have = F.try_element_at(F.filter(once, lambda p: p["k"] == name), F.lit(1))["v"]
         have = F.filter(F.split(F.coalesce(have, F.lit("")), ","), lambda x: x != "")
-        pairs = F.array_sort(F.concat(rest, _as(_as(have, switched), mine)))
+        pairs = F.array_sort(F.concat(rest, bound(bound(have, switched), mine)))
         return F.array_join(F.transform(pairs, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
 
-    return _as(_as(named, once), shown)
+    return bound(bound(named, once), shown)
 
 
 def safe_return_path(path: Column, fallback: str = "/") -> Column:

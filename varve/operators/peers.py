@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.prices import clamp
-from varve.functions.text import fold, spaces
+from varve.functions.text import bound, fold, spaces
 
 LEAST_PEERS, LEAST_NEW = 5, 3
 TIGHT_SPREAD, LOOSE_SPREAD, OUTLIER_RATIO = 3.0, 8.0, 2.5
@@ -47,15 +47,21 @@ def type_token(title: Column, brand: Column) -> Column:
     """The title's first word of three characters or more that isn't the brand: the kind of thing it is."""
     bare = F.trim(F.regexp_replace(fold(spaces(title)), CONDITION_HEAD, ""))
     words = F.filter(F.transform(F.split(bare, "\\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9-]", "")), lambda w: F.length(w) >= 3)
-    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    head = F.when(F.coalesce(first == fold(brand), F.lit(False)) & second.isNotNull(), second).otherwise(first)
-    return F.coalesce(F.left(head, F.lit(14)), F.lit(UNKNOWN))
+
+    def head(words: Column) -> Column:
+        first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+        return F.when(F.coalesce(first == fold(brand), F.lit(False)) & second.isNotNull(), second).otherwise(first)
+
+    return F.coalesce(F.left(bound(words, head), F.lit(14)), F.lit(UNKNOWN))
 
 
 def peer_key(category: Column, title: Column, brand: Column) -> Column:
     """Category, type and those of size, panel, resolution, refresh rate, graphics or processor, generation and
     storage that the title names. The condition stays out: a used article is judged against new ones."""
-    t = fold(spaces(title))
+    return bound(fold(spaces(title)), lambda t: _peer_key(category, t, title, brand))
+
+
+def _peer_key(category: Column, t: Column, title: Column, brand: Column) -> Column:
     inches = _group(t, INCHES, 1).cast("int")
     gpu = _group(t, GRAPHICS, 1, 2).cast("int")
     big, small = _group(t, STORAGE, 2).cast("int"), _group(t, STORAGE, 1).cast("int")
