@@ -69,3 +69,13 @@ def test_scopes_with_fewer_laps_come_first(tmp_path):
         start = end
     assert order == [[("a", 0, 1), ("b", 0, 1)], [("b", 0, 2), ("b", 0, 3)], [("a", 1, 1), ("a", 1, 2)], []]
     assert paged.PageReader({"path": str(root), "cursor": str(tmp_path / "cursor")}).latestOffset() == start
+
+
+def test_a_batch_of_many_pages_is_as_many_tasks_as_are_asked_for(tmp_path):
+    root = tmp_path / "in"
+    for p in range(1, 8):
+        land(root, "a", 0, p, 3)
+    reader = paged.PageReader({"path": str(root), "cursor": str(tmp_path / "cursor"), "records": "100", "tasks": "2"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    rows = [row for part in parts for row in reader.read(part)]
+    assert len(parts) == 2 and len(rows) == len(set(rows)) == 21 and {r[2] for r in rows} == set(range(1, 8))

@@ -212,22 +212,22 @@ def src_paged_stream(spark, d):
     root = f"{folder(spark)}/paged-{uuid.uuid4().hex}"
     rows = table(spark, d, "part").withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
     pages = rows.select(F.col("p_brand").alias("scope"), F.lit(0).alias("lap"), (F.floor(F.col("n") / 10) + 1).alias("page"), F.to_json(F.struct("p_partkey", "p_name")).alias("value"))
-    sizes = []
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
-        sizes.append(batch.count())
 
     for half in (F.col("page") <= 2, F.col("page") > 2):
-        pages.filter(half).repartition("scope").write.mode("append").partitionBy("scope", "lap", "page").text(f"{root}/in")
+        dealt(pages.filter(half), "scope", "page").write.mode("append").partitionBy("scope", "lap", "page").text(f"{root}/in")
         stream = paged.page_stream(spark, f"{root}/in", f"{root}/cursor")
         running = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/progress").start()
         try:
             running.processAllAvailable()
         finally:
             running.stop()
-    read = spark.read.schema(paged.SCHEMA).parquet(f"{root}/rows").groupBy("scope").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("lap", "page").alias("pages"))
-    return paged.cursors(spark, f"{root}/cursor", "shop").join(read, "scope").withColumn("bounded", F.lit(max(sizes) < paged.RECORDS + 10))
+    rows = spark.read.schema(f"{paged.SCHEMA}, batch bigint").parquet(f"{root}/rows")
+    read = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("lap", "page").alias("pages"))
+    largest = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") < paged.RECORDS + 10).alias("bounded"))
+    return paged.cursors(spark, f"{root}/cursor", "shop").join(read, "scope").join(F.broadcast(largest))
 
 
 @query("""SELECT concat('https://x.ca/p/', p_partkey) AS url, concat(CASE WHEN p_partkey % 25 % 2 = 0 THEN 'n' WHEN p_partkey % 25 % 4 = 1 THEN 'm' ELSE 'd' END, p_partkey % 25) AS sitemap,

@@ -3,7 +3,8 @@
 Pages lie in <path>/scope=<s>/lap=<l>/page=<p>/, each with JSON lines (a record a line), pages counted from 1 and laps
 from 0. A micro-batch admits whole pages until it has RECORDS records, so it never has more than that and a page. The
 scope with the fewest laps comes first, of those the one that is furthest. A lap ends when its next page isn't there and the
-next lap's first page is. Each page is a partition of its own, read where Spark runs it.
+next lap's first page is. Pages are read where Spark runs their partitions: a page is one of its own, or pages are dealt to
+as many as the option tasks says, so that a batch of many small pages doesn't cost a task for each.
 
 The offset says, per scope, the lap and page to read next. It is kept at <cursor>/position.json whenever Spark plans a
 batch: a query that starts again goes on from the batch planned last, and one that Spark plans anew is the same
@@ -49,10 +50,15 @@ class Page(InputPartition):
     folder: str
 
 
+@dataclass
+class Pages(InputPartition):
+    pages: list[Page]
+
+
 class PageReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.cursor = options["path"].rstrip("/"), options["cursor"].rstrip("/")
-        self.records = int(options.get("records", RECORDS))
+        self.records, self.tasks = int(options.get("records", RECORDS)), int(options.get("tasks", 0))
         self.planned: dict | None = None
 
     def initialOffset(self) -> dict:
@@ -114,7 +120,7 @@ class PageReader(DataSourceStreamReader):
         known = self._at()["scopes"]
         return {"scopes": {s: at if s in moved else known[s] for s, at in sorted(scopes.items()) if s in moved or s in known}}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Page] | list[Pages]:
         pages = []
         for s, to in end["scopes"].items():
             at = start["scopes"].get(s, {"lap": 0, "page": 1})
@@ -126,7 +132,7 @@ class PageReader(DataSourceStreamReader):
                 first = 1
             pages += [self._page(s, to["lap"], p) for p in range(first, to["page"])]
         self._keep(end)
-        return pages
+        return [Pages(pages[k :: self.tasks]) for k in range(min(self.tasks, len(pages)))] if self.tasks else pages
 
     def _keep(self, end: dict) -> None:
         store, root = _store(self.cursor)
@@ -136,9 +142,10 @@ class PageReader(DataSourceStreamReader):
         store.move(f"{root}/_position.json", f"{root}/position.json")
         self.planned = end
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        for line in self._lines(partition):
-            yield partition.scope, partition.lap, partition.page, line
+    def read(self, partition: Page | Pages) -> Iterator[tuple]:
+        for page in partition.pages if isinstance(partition, Pages) else [partition]:
+            for line in self._lines(page):
+                yield page.scope, page.lap, page.page, line
 
 
 class LandedPages(DataSource):
@@ -156,7 +163,8 @@ class LandedPages(DataSource):
 def page_stream(spark: SparkSession, path: str, cursor: str, records: int = RECORDS) -> DataFrame:
     """scope, lap, page and record of the pages landed at path. A query has a cursor folder of its own, beside its checkpoint."""
     spark.dataSource.register(LandedPages)
-    return spark.readStream.format(NAME).option("path", path).option("cursor", cursor).option("records", records).load()
+    options = {"path": path, "cursor": cursor, "records": records, "tasks": spark.sparkContext.defaultParallelism}
+    return spark.readStream.format(NAME).options(**options).load()
 
 
 def cursors(spark: SparkSession, cursor: str, store: str) -> DataFrame:
