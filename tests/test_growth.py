@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.catalogue import base, landing
-from varve.operators import peers
+from varve.operators import peers, textsearch
+from varve.plans import rebuild
 from varve.sources import landed
 
 
@@ -48,3 +49,27 @@ def test_a_title_is_folded_once_for_its_peer_key(spark):
     keyed = rows.select(peers.peer_key(F.col("category"), F.col("title"), F.col("brand")).alias("k"))
     assert keyed._jdf.queryExecution().optimizedPlan().toString().count("translate(title") <= 2  # for the key and for its type
     assert keyed.first().k == "c|t:tele|po:44-55|panel:oled"
+
+
+def test_a_token_of_all_documents_is_dealt_out_over_the_files_of_an_index(spark, tmp_path):
+    docs = spark.range(20_000).select("id", F.lit("écran bleu").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few, and would be put together
+    try:
+        index, stats = rebuild.write_text_index(docs, "id", ["text"], f"file://{tmp_path}/index")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = index.filter("token = 'bleu'").groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).orderBy("low").collect()
+    assert sum(r.n for r in spans) == 20_000 and max(r.n for r in spans) < 15_000
+    assert all(a.high < b.low for a, b in zip(spans, spans[1:], strict=False))
+    assert tuple(stats.first()) == (20_000, 2.0)
+    none, empty = rebuild.write_text_index(docs.limit(0), "id", ["text"], f"file://{tmp_path}/none")
+    assert none.count() == 0 and tuple(empty.first()) == (0, None)
+
+
+def test_tokens_are_made_once_and_counted_where_they_are_made(spark):
+    docs = spark.createDataFrame([(1, "rouge rouge bleu"), (2, ""), (3, None)], "id long, text string")
+    found = textsearch.entries(docs, "id", ["text"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("Exchange") == 1
+    rows = {(r.doc, r.length, r.token, r.tf) for r in found.collect() if r.token}
+    assert rows == {(1, 3, "rouge", 2), (1, 3, "bleu", 1)} and {r.doc for r in found.collect()} == {1, 2, 3}

@@ -9,7 +9,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.functions.text import fold, slug, spaces
+from varve.functions.text import fold, slug, spaces, unnested
 
 from .spec_rules import EFFECTS, FAMILIES, FAMILY_ORDER, RULES
 
@@ -111,7 +111,7 @@ def extract(products: DataFrame, product: str = "product_id", title: str = "titl
     rows = products.select(F.col(product), F.col(category).alias("category"), fold(spaces(text)).alias("_text"))
     families = FAMILIES if rules is RULES else list(dict.fromkeys(r[0] for r in rules))
     per = [F.coalesce(*(_rule(F.col("_text"), F.col("category"), *r) for r in rules if r[0] == family)) for family in families]
-    return rows.select(product, "category", F.explode(F.array_compact(F.array(*per))).alias("s")).select(product, "category", "s.*")
+    return unnested(rows, F.array_compact(F.array(*per)), "s", product, "category").select(product, "category", "s.*")
 
 
 def rule_hits(products: DataFrame, title: str = "title", description: str | None = "description", rules: list | None = None) -> DataFrame:
