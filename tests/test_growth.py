@@ -73,3 +73,8 @@ def test_tokens_are_made_once_and_counted_where_they_are_made(spark):
     assert plan.count("split(") == 1 and plan.count("Exchange") == 1
     rows = {(r.doc, r.length, r.token, r.tf) for r in found.collect() if r.token}
     assert rows == {(1, 3, "rouge", 2), (1, 3, "bleu", 1)} and {r.doc for r in found.collect()} == {1, 2, 3}
+
+
+def test_frequencies_of_tokens_count_documents_whose_ids_repeat_or_are_missing_once(spark):
+    docs = spark.createDataFrame([(1, "rouge rouge bleu"), (2, "Rouge"), (2, "rouge vert"), (None, "vert"), (None, "vert bleu"), (3, None)], "id long, text string")
+    assert {tuple(r) for r in textsearch.document_frequencies(docs, "id", ["text"]).collect()} == {("rouge", 2), ("bleu", 2), ("vert", 2)}
