@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.catalogue import base, landing
+from varve.functions import text
 from varve.operators import peers, textsearch
 from varve.plans import rebuild
 from varve.sources import landed
@@ -78,3 +79,10 @@ def test_tokens_are_made_once_and_counted_where_they_are_made(spark):
 def test_frequencies_of_tokens_count_documents_whose_ids_repeat_or_are_missing_once(spark):
     docs = spark.createDataFrame([(1, "rouge rouge bleu"), (2, "Rouge"), (2, "rouge vert"), (None, "vert"), (None, "vert bleu"), (3, None)], "id long, text string")
     assert {tuple(r) for r in textsearch.document_frequencies(docs, "id", ["text"]).collect()} == {("rouge", 2), ("bleu", 2), ("vert", 2)}
+
+
+def test_items_are_made_once_for_the_rows_that_come_out_of_them(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "id long, t string")
+    found = text.unnested(rows, F.filter(F.split("t", " "), lambda x: x != ""), "item", "id")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {tuple(r) for r in found.collect()} == {(1, "a"), (1, "b")}
