@@ -119,6 +119,19 @@ def test_connected_components_of_a_path_and_a_star(spark):
     assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 150)}
 
 
+def test_stars_are_done_at_once_and_links_between_components_leave_the_rest(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(near_dedup, "cut", lambda df, name, real=near_dedup.cut: written.append(name) or real(df, name))
+    pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    of = lambda df: {r.node: r.root for r in df.collect()}
+    first = [(10 * k, 10 * k + i) for k in range(1, 9) for i in range(1, 9)]
+    roots = near_dedup.connected_components(pairs(first))
+    assert len(of(roots)) == 72 and written == ["edges"]  # nothing moves: no step, nor one to see that
+    more = [(85, 71), (72, 3), (200, 14), (31, 201), (41, 42), (300, 301)]
+    got = of(near_dedup.joined_components(roots, pairs(more)))
+    assert got == of(near_dedup.connected_components(pairs(first + more))) and got[80] == got[78] == 3 and got[14] == got[200] == 10 and got[38] == got[201] == 30 and got[301] == 300
+
+
 def test_drop_near_copies_keeps_one_of_each(spark):
     rows = corpus(4)
     docs = frame(spark, rows)

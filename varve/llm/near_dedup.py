@@ -164,31 +164,40 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) of every node in edges (a, b).
 
-    Alternating large-star and small-star; each half step writes the minima and the new edges, so that
-    both sides of its join are plain shuffles that Spark can split where a star's centre is hot.
+    Alternating large-star and small-star, until all that is left is stars; each half step writes the minima and the new
+    edges, so that both sides of its join are plain shuffles that Spark can split where a star's centre is hot.
     """
 
     def minima(e: DataFrame) -> DataFrame:
         return cut(e.groupBy("u").agg(F.min("v").alias("m")), "minima")
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether each u has one v, and no v is a u: then nothing moves any more."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(e.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.filter("up + down > 1 and up > 0").isEmpty()
 
     now = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    was = state(now)
-    while was[0]:
+    while not stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = minima(both).select("u", F.least("u", "m").alias("m"))
         large = cut(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         low = minima(large)
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = cut(small.distinct(), "edges")
-        if (new := state(now)) == was:
-            break
-        was = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and root of every node in roots (node, root; each root is its own) and in edges (a, b), which join its
+    components: only the roots that edges name are gone through again, not the edges that roots were made of."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = cut(connected_components(between), "above").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    fresh = above.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(fresh)
+
+
 def _rare_shingles(large: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """band, key, node, root, part: the members of each bucket by the shingles that are rare in it. Of two linked sets,
     each in the order of rising frequency in the bucket, the first size - ceil(size * percent / 100) + 1 shingles share
@@ -289,18 +298,16 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     # each class meets one pivot, the smallest of its buckets; then those of its other pivots that aren't in its
     # component yet; then, in buckets that still hold several components, the members of different ones
     nearest = cut(members.groupBy("node").agg(F.min("pivot").alias("pivot")).filter("node != pivot"), "nearest")
-    edges = linked(nearest.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    roots = cut(connected_components(edges), "roots")
+    roots = cut(connected_components(linked(nearest.select(F.col("pivot").alias("a"), F.col("node").alias("b")))), "roots")
     met = members.filter("node != pivot").select("node", "pivot").distinct().join(nearest, ["node", "pivot"], "left_anti")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     apart = met.join(of("node"), "node", "left").join(of("pivot"), "pivot", "left")
     apart = apart.filter(F.coalesce("node_root", "node") != F.coalesce("pivot_root", "pivot"))
 
     def joined(more: DataFrame) -> None:
-        nonlocal edges, roots
+        nonlocal roots
         if not more.isEmpty():
-            edges = edges.union(more)
-            roots = cut(connected_components(edges), "roots")
+            roots = cut(joined_components(roots, more), "roots")
 
     joined(linked(cut(apart.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "pairs")))
     found = cut(_tiled(members, classes, roots, docs, percent), "tiled")
