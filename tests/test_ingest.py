@@ -137,3 +137,11 @@ def test_streamed_upserts_are_versioned_and_replays_change_nothing(spark, tmp_pa
     again = spark.createDataFrame([listing("a", 9.0, 1, 1)], schema.LISTINGS)
     cdc.merger(root, points, schema.PRODUCTS)(again, 1)
     assert {r.sku: r.price for r in spark.read.parquet(path).collect()} == state and spark.read.parquet(points).count() == 3
+
+
+def test_upsert_takes_a_row_whole_and_not_column_by_column(spark):
+    """What always follows the batch is one value to sort and shuffle, and so is what stays from the first."""
+    state = spark.createDataFrame([], schema.PRODUCTS)
+    batch = state.select(*(c for c in state.columns if c not in ("first_seen_at", "last_seen_at", "last_price_change_at", "is_active")), F.current_timestamp().alias("seen_at"), F.lit(1).cast("long").alias("arrival"))
+    plan = ingest.upsert(state, batch)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("max_by(") == len(ingest.KEPT) + 1 and plan.count("min_by(") == 1

@@ -105,15 +105,16 @@ def fus_manufacturer_references(spark, d):
 
 def listings(spark, d):
     """Line items as listings of parts in stores, in two batches: the state and what comes next."""
-    rows = table(spark, d, "lineitem").select(
+    items = table(spark, d, "lineitem")
+    offer = F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_linestatus") == "F").alias("in_stock"))
+    # what else a listing has comes from its keys, so it isn't sorted and shuffled with them
+    items = items.groupBy("l_suppkey", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("seen_at"), (F.col("l_orderkey") % 1000).alias("within")).agg(F.min(offer).alias("x"))
+    return ingest.clean(items.select(
         F.col("l_suppkey").cast("string").alias("store_id"), F.col("l_partkey").cast("string").alias("sku"), F.lit("u").alias("url"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"),
         *(F.lit(None).cast("string").alias(c) for c in ("brand", "model", "image_url", "description", "category_slug", "store_category", "seller_name", "availability", "currency")),
         F.lit(None).cast("double").alias("rating"), F.lit(None).cast("bigint").alias("rating_count"), F.lit("new").alias("condition"), F.lit(False).alias("marketplace"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.lit(None).cast("double").alias("list_price"), (F.col("l_linestatus") == "F").alias("in_stock"), F.col("l_shipdate").cast("timestamp").alias("seen_at"),
-        (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 0 + F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * 1000 + F.col("l_orderkey") % 1000).alias("arrival"),
-    )
-    first = F.min_by(F.struct(*rows.columns), F.struct("price", "in_stock"))
-    return ingest.clean(rows.groupBy("store_id", "sku", "arrival").agg(first.alias("x")).select("x.*"))
+        "x.price", F.lit(None).cast("double").alias("list_price"), "x.in_stock", "seen_at", (F.unix_seconds("seen_at") * 1000 + F.col("within")).alias("arrival"),
+    ))
 
 
 @query(""", listed AS (SELECT CAST(l_suppkey AS VARCHAR) AS store_id, CAST(l_partkey AS VARCHAR) AS sku, l_shipdate AS seen_at, l_orderkey % 1000 AS within, arg_min(l_extendedprice / l_quantity, (l_extendedprice / l_quantity, l_linestatus = 'F')) AS price, min((l_extendedprice / l_quantity, l_linestatus = 'F'))[2] AS in_stock

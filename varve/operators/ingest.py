@@ -56,14 +56,15 @@ def upsert(state: DataFrame, batch: DataFrame, arrival: str = "arrival") -> Data
     """The state after the batch: KEY, the descriptive columns, price, list_price, in_stock, first_seen_at,
     last_seen_at, last_price_change_at, is_active. Running it again with the same batch changes nothing but
     last_seen_at, which the batch names itself."""
-    order = F.struct(arrival)
+    followed = (*FOLLOWED, "price", "list_price", "in_stock")
     latest = batch.groupBy(*KEY).agg(
         *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(f"n_{c}") for c in KEPT),
-        *(F.max_by(c, order).alias(f"n_{c}") for c in (*FOLLOWED, "price", "list_price", "in_stock")),
-        *(F.min_by(c, order).alias(f"n_{c}") for c in FIRST),
+        F.max_by(F.struct(*followed), F.struct(arrival)).alias("_latest"),
+        F.min_by(F.struct(*FIRST), F.struct(arrival)).alias("_first"),
         F.min("seen_at").alias("n_first"),
         F.max("seen_at").alias("n_last"),
     )
+    latest = latest.select("*", *(F.col(f"_latest.{c}").alias(f"n_{c}") for c in followed), *(F.col(f"_first.{c}").alias(f"n_{c}") for c in FIRST)).drop("_latest", "_first")
     changed = points_of(state, batch, arrival).groupBy(*KEY).agg(F.max("observed_at").alias("n_changed"))
     both = state.join(latest.join(changed, KEY, "left"), KEY, "full_outer")
     seen = F.col("n_last").isNotNull()
