@@ -84,3 +84,83 @@ def test_changes_of_many_rows_go_stretch_by_stretch():
     none = lambda v: None if v is None or v != v else v
     brute = changes([(r.at, none(r.price), none(r.list_price), none(r.in_stock)) for r in rows.itertuples()], 1 << 40)
     assert one["at"].tolist() == [b[0] for b in brute]
+
+
+class Kept:
+    """A list state or value state in memory, with a handle's timers."""
+
+    def __init__(self):
+        self.values, self.timers, self.states = [], set(), {}
+
+    def getListState(self, name, kind):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def exists(self):
+        return bool(self.values)
+
+    def get(self):
+        return self.values[0] if self.values and isinstance(self.values[0][0], int) else iter(list(self.values))
+
+    def update(self, value):
+        self.values = [value]
+
+    def put(self, values):
+        self.values = list(values)
+
+    def appendList(self, values):
+        self.values += values
+
+    def clear(self):
+        self.values = []
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def drifting(seed, n, keys):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({"key": rng.choice(keys, n), "at": rng.permutation(n) * 1000, "price": np.round(rng.random(n) * 0.02, 3), "list_price": np.where(rng.random(n) < 0.2, np.nan, 7.0), "in_stock": rng.choice([0.0, 1.0, np.nan], n, p=[0.1, 0.8, 0.1])})
+
+
+@pytest.mark.parametrize("forget", [None, 30_000])
+def test_many_keys_at_once_are_as_each_alone(forget):
+    """Steps smaller than EPSILON add up, so that some keys go from change to change."""
+    keys = np.array(["a", "b", "c", None, "lone"], object)
+    rows = drifting(5, 4000, keys[:4])
+    rows.loc[len(rows)] = ["lone", 5, 1.0, np.nan, 1.0]
+    last, got = ordered.ROW.empty_table().to_pandas(), []
+    for part in (rows[rows["at"] < 1_500_000], rows[rows["at"] >= 1_500_000]):
+        out, last = ordered.changed_of_keys(part, last, forget)
+        got.append(out)
+    got, flags = pd.concat(got), {0.0: False, 1.0: True}
+    for key in keys:
+        mine = rows[rows["key"].isna() if key is None else rows["key"] == key].sort_values(["at"], ignore_index=True)
+        want, end = ordered.changed(mine.assign(in_stock=mine["in_stock"].map(flags).astype(object)), None, forget)
+        out = got[got["key"].isna() if key is None else got["key"] == key]
+        assert out["at"].tolist() == want["at"].tolist() and (key == "lone" or 1 < len(out) < len(mine))
+        row = last[last["key"].isna() if key is None else last["key"] == key]
+        assert row["at"].tolist() == [end[0]] and np.isclose(row["price"].iloc[0], end[1])
+
+
+def test_state_is_written_in_chunks_of_rows_and_not_row_by_row(monkeypatch):
+    monkeypatch.setattr(ordered, "STRETCH", 500)
+    processor, handle, rows = ordered.OrderedChanges(None), Kept(), drifting(7, 3000, np.array(["a", "b", "c"], object))
+    processor.init(handle)
+    for part in (rows[:1000], rows[1000:]):
+        assert list(processor.handleInputRows((1,), iter([part]), None)) == []
+    assert len(handle.states["waiting_0"].values) == 2
+    got = []
+    for handle.watermark in (2000, 10_000):
+        assert len(handle.timers) == 1 and handle.timers.pop() <= handle.watermark
+        got += processor.handleExpiredTimer((1,), handle, None)
+    assert len(got) >= 6 and not handle.timers and not handle.states["waiting_0"].values + handle.states["waiting_1"].values
+    want, _ = ordered.changed_of_keys(rows, ordered.ROW.empty_table().to_pandas())
+    assert sorted((r.key, r.observed_at.value // 1000) for out in got for r in out.itertuples()) == sorted(zip(want["key"], want["at"]))
