@@ -7,7 +7,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from varve.catalogue import base, landing
+from varve.catalogue import base, catalog, landing
 from varve.functions import text
 from varve.operators import peers, textsearch
 from varve.plans import rebuild
@@ -86,3 +86,18 @@ def test_items_are_made_once_for_the_rows_that_come_out_of_them(spark):
     found = text.unnested(rows, F.filter(F.split("t", " "), lambda x: x != ""), "item", "id")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert {tuple(r) for r in found.collect()} == {(1, "a"), (1, "b")}
+
+
+def test_a_pattern_of_a_peer_key_is_looked_for_once_and_not_once_a_band(spark):
+    rows = spark.createDataFrame([("c", "Moniteur 27 po 144 Hz RTX 4070 1 To", "lg"), ("c", "Moniteur core i7 512 Go", "lg"), ("c", "Moniteur", "lg")], "category string, title string, brand string")
+    keyed = rows.select(peers.peer_key(F.col("category"), F.col("title"), F.col("brand")).alias("k"))
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("inch)") == plan.count("\\s?hz") == 1
+    assert [r.k for r in keyed.collect()] == ["c|t:moniteur|po:<=32|hz:165|gpu:4-7|sto:1to", "c|t:moniteur|cpu:7|sto:512", "c|t:moniteur"]
+
+
+def test_statistics_are_made_once_for_scores_and_leaders(spark, one_file):
+    spark.range(1, 301).select((F.col("id") % 60 + 1).alias("l_partkey"), F.expr("timestamp_ntz'2001-10-01' + make_dt_interval(id % 30)").alias("l_shipdate"), F.lit(10.0).alias("l_extendedprice"), F.lit(1.0).alias("l_quantity"), F.lit(0.1).alias("l_discount"), F.lit("F").alias("l_linestatus")).write.parquet(f"{one_file}/lineitem.parquet")
+    scored = catalog.sco_score_all(spark, one_file)
+    assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.count() == scored.select("product_id").distinct().count() == sum(1 for k in range(1, 61) if k % 17)

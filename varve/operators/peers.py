@@ -32,8 +32,9 @@ STORAGE_BANDS = [(128, "<=128"), (256, "256"), (512, "512"), (1024, "1to"), (99_
 
 
 def _group(text: Column, pattern: str, *groups: int) -> Column:
-    """The first of the pattern's groups that took part in its first match; null if there is no match."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in groups))
+    """The first of the pattern's groups that took part in its first match; null if there is no match. Not by nullif(), which names its
+    argument twice."""
+    return F.get(F.filter(F.array(*(F.regexp_extract(text, pattern, g) for g in groups)), lambda found: found != ""), F.lit(0))
 
 
 def _banded(value: Column, bands: list[tuple[int, str]]) -> Column:
@@ -62,7 +63,7 @@ def peer_key(category: Column, title: Column, brand: Column) -> Column:
 
 
 def _peer_key(category: Column, t: Column, title: Column, brand: Column) -> Column:
-    inches = _group(t, INCHES, 1).cast("int")
+    """Of the folded title t. A value that bands compare is bound, as its pattern would be looked for anew in each of them."""
     gpu = _group(t, GRAPHICS, 1, 2).cast("int")
     big, small = _group(t, STORAGE, 2).cast("int"), _group(t, STORAGE, 1).cast("int")
 
@@ -77,14 +78,13 @@ def _peer_key(category: Column, t: Column, title: Column, brand: Column) -> Colu
         "|",
         F.coalesce(category, F.lit(UNKNOWN)),
         part("t", type_token(title, brand)),
-        part("po", F.when(inches.between(10, 120), _banded(inches, INCH_BANDS))),
+        part("po", bound(_group(t, INCHES, 1).cast("int"), lambda inches: F.when(inches.between(10, 120), _banded(inches, INCH_BANDS)))),
         part("panel", first(PANELS)),
         part("res", first(RESOLUTIONS)),
-        part("hz", _banded(_group(t, HERTZ, 1).cast("int"), HERTZ_BANDS)),
-        F.concat(F.lit("gpu:"), F.floor(gpu / 1000).cast("string"), F.lit("-"), F.floor(gpu % 1000 / 10).cast("string")),
-        F.when(gpu.isNull(), part("cpu", _group(t, PROCESSORS, 1, 2, 3))),
+        part("hz", bound(_group(t, HERTZ, 1).cast("int"), lambda hertz: _banded(hertz, HERTZ_BANDS))),
+        bound(gpu, lambda n: F.coalesce(F.concat(F.lit("gpu:"), F.floor(n / 1000).cast("string"), F.lit("-"), F.floor(n % 1000 / 10).cast("string")), part("cpu", _group(t, PROCESSORS, 1, 2, 3)))),
         part("gen", _group(t, GENERATIONS, 1)),
-        part("sto", _banded(F.coalesce(small, big * 1024), STORAGE_BANDS)),
+        part("sto", bound(F.coalesce(small, big * 1024), lambda size: _banded(size, STORAGE_BANDS))),
     )
 
 

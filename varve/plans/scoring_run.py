@@ -13,9 +13,10 @@ from varve.staging import stage
 def score_all(products: DataFrame, points: DataFrame, now: Column, enrichment: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
     """One row per active product with a price and a history: its scores, the columns that listings filter on, and
     whether it leads its variants. Products are joined once each with statistics, peers and facts; the mean rating
-    is a single row. Products with their keys are read five times, so they are staged."""
+    is a single row. Products with their keys are read five times, so they are staged, and so are the scored ones, which
+    leaders are found among and then joined to: else statistics and scores would be made for each of the two."""
     rows = reconcile(products.filter(F.col("is_active") & (F.col("price") > 0)))
-    rows = stage(rows.withColumn("peer_key", peers.peer_key(F.col("category_slug"), F.col("title"), F.col("brand"))), "keyed")
+    rows = keyed = stage(rows.withColumn("peer_key", peers.peer_key(F.col("category_slug"), F.col("title"), F.col("brand"))), "keyed")
     if enrichment is not None:
         facts = enrichment.select("product_id", *(F.col(c).alias(f"e_{c}") for c in ("rating", "rating_count")), "recommend_yes", "recommend_total", "agreement")
         rows = rows.join(facts, "product_id", "left")
@@ -27,12 +28,12 @@ def score_all(products: DataFrame, points: DataFrame, now: Column, enrichment: D
         rows = rows.join(found, "product_id", "left")
     mean = scoring.mean_rating(rows)
     rows = scoring.inherit_quality(rows).join(F.broadcast(mean))  # one row
-    near = peers.peer_stats(rows, is_new=F.col("condition") == "new").drop("peer_key")
-    history = points.join(rows.select("product_id", F.col("price").alias("now_price")), "product_id")
+    near = peers.peer_stats(keyed, is_new=F.col("condition") == "new").drop("peer_key")
+    history = points.join(keyed.select("product_id", F.col("price").alias("now_price")), "product_id")
     stats = timeseries.price_stats(history, now, list_price="list_price", current="now_price").drop("current_price")
     scored = scoring.score(rows.join(stats, "product_id").join(near, "product_id", "left"))
     scored = scored.withColumns({"quality_rating": F.col("rating"), "quality_count": F.col("rating_count"), "category": F.col("category_slug")})
-    return scoring.elect_leaders(scored)
+    return scoring.elect_leaders(stage(scored, "scored"))
 
 
 def deactivate(deals: DataFrame, products: DataFrame) -> DataFrame:
