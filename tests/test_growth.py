@@ -7,7 +7,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from varve.catalogue import base, catalog, landing
+from varve.catalogue import base, catalog, landing, texts
 from varve.functions import text
 from varve.operators import peers, textsearch
 from varve.plans import rebuild
@@ -101,3 +101,13 @@ def test_statistics_are_made_once_for_scores_and_leaders(spark, one_file):
     scored = catalog.sco_score_all(spark, one_file)
     assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert scored.count() == scored.select("product_id").distinct().count() == sum(1 for k in range(1, 61) if k % 17)
+
+
+def test_tokens_are_made_once_where_there_is_no_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Écran the THE bleu"), (2, "the écrans écran"), (2, "the other écran, twice"), (3, None), (4, "écran"), (None, "The écran")], "doc_id long, text string")
+    rows = lambda found: sorted((str(r.doc), round(r.bm25, 9)) for r in found.collect())
+    for raw in ("The écr", "écran", "nowhere", ""):
+        want = textsearch.match(textsearch.postings(docs, "doc_id", ["text"]), textsearch.statistics(docs, ["text"]), raw)
+        assert rows(textsearch.match_texts(docs, "doc_id", ["text"], raw)) == rows(want)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert "split(" not in texts.txt_bm25(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
