@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varve.catalogue import base, catalog, landing, texts
-from varve.functions import text
+from varve.functions import jsonld, text
 from varve.operators import peers, textsearch
 from varve.plans import rebuild
 from varve.sources import landed
@@ -111,3 +111,12 @@ def test_tokens_are_made_once_where_there_is_no_index(spark, tmp_path):
         assert rows(textsearch.match_texts(docs, "doc_id", ["text"], raw)) == rows(want)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert "split(" not in texts.txt_bm25(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_and_numbers_of_layered_prices_are_made_once(spark):
+    ld = '<script type="application/ld+json">{"@type": "Product", "offers": {"price": %s}}</script>'
+    pages = [(ld % '"1,299.00"' + '<meta itemprop="price" content="7">', 1299.0), (ld % "2" + '<meta itemprop="price" content="70">', 70.0), ('<meta content="80" itemprop="price">', 80.0), ('<meta property="og:price:amount" content="90,50">', 90.5), ('<meta itemprop="price" content="1"><meta content="80" itemprop="price">', None), ('{"price":"10"} {"price":99} {"price":"40,5"} {"price":1}', 40.5), ("", None), (None, None)]
+    rows = spark.createDataFrame(pages, "html string, want double").select("want", jsonld.layered_price(F.col("html")).alias("price"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<script") == 1 and plan.count("itemprop") == 2  # before and after
+    assert all(r.price == r.want for r in rows.collect())

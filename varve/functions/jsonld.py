@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .prices import half_up, loose_number, plausible_price
+from .text import bound
 
 _SCRIPT = "(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"
 _PRICE = '"(?:price|lowPrice)"\\s*:\\s*"?([0-9]+(?:[.,][0-9]{1,2})?)"?'
@@ -63,29 +64,49 @@ def breadcrumb_of(found: Column) -> Column:
 
 def any_price(html: Column) -> Column:
     """The first price at any depth of the JSON-LD blocks."""
-    return loose_number(F.nullif(F.regexp_extract(F.array_join(blocks(html), "\n"), _PRICE, 1), F.lit("")))
+    return loose_number(_any(blocks(html)))
+
+
+# What a layer finds, as it is written; an empty text is no number.
+def _any(found: Column) -> Column:
+    return F.regexp_extract(F.array_join(found, "\n"), _PRICE, 1)
+
+
+def _microdata(html: Column) -> Column:
+    after = F.regexp_extract(html, "(?is)content=[\"']([0-9.,]+)[\"'][^>]*itemprop=[\"']price[\"']", 1)
+    return bound(F.regexp_extract(html, "(?is)itemprop=[\"']price[\"'][^>]*content=[\"']([0-9.,]+)", 1), lambda before: F.when(before != "", before).otherwise(after))
+
+
+def _open_graph(html: Column) -> Column:
+    return F.regexp_extract(html, "(?is)(?:product|og):price:amount[\"'][^>]*content=[\"']([0-9.,]+)", 1)
 
 
 def microdata_price(html: Column) -> Column:
-    found = F.coalesce(F.nullif(F.regexp_extract(html, "(?is)itemprop=[\"']price[\"'][^>]*content=[\"']([0-9.,]+)", 1), F.lit("")), F.nullif(F.regexp_extract(html, "(?is)content=[\"']([0-9.,]+)[\"'][^>]*itemprop=[\"']price[\"']", 1), F.lit("")))
-    return loose_number(found)
+    return loose_number(_microdata(html))
 
 
 def open_graph_price(html: Column) -> Column:
-    return loose_number(F.nullif(F.regexp_extract(html, "(?is)(?:product|og):price:amount[\"'][^>]*content=[\"']([0-9.,]+)", 1), F.lit("")))
+    return loose_number(_open_graph(html))
+
+
+def _plausible(raw: Column) -> Column:
+    """raw as a plausible price; raw and number are bound, as they are named many times."""
+    return bound(bound(raw, loose_number), plausible_price)
 
 
 def blob_price(html: Column) -> Column:
     """The upper median of all plausible prices in inline JSON, as single ones may belong to related articles."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(_PRICE), F.lit(1)), lambda p: plausible_price(loose_number(p)))
-    ordered = F.sort_array(F.array_compact(found))
-    return F.when(F.size(ordered) > 0, F.try_element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1))
+    found = F.transform(F.regexp_extract_all(html, F.lit(_PRICE), F.lit(1)), _plausible)
+    middle = lambda ordered: F.when(F.size(ordered) > 0, F.try_element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1))
+    return bound(F.sort_array(F.array_compact(found)), middle)
 
 
 def layered_price(html: Column) -> Column:
-    """JSON-LD, else microdata, else Open Graph, else the median of blobs; each only if plausible."""
-    layers = F.array(offer_price(product(html)), any_price(html), microdata_price(html), open_graph_price(html), blob_price(html))
-    return F.try_element_at(F.array_compact(F.transform(layers, plausible_price)), F.lit(1))
+    """JSON-LD, else microdata, else Open Graph, else the median of blobs; each only if plausible. A layer is looked for only where those
+    before it gave nothing, and the page and its blocks are made once."""
+    said = lambda found: bound(first_of(found, "Product"), lambda block: said_price(block, first_offer(block)))
+    known = lambda page: bound(blocks(page), lambda found: F.coalesce(_plausible(said(found)), _plausible(_any(found))))
+    return bound(html, lambda page: F.coalesce(known(page), _plausible(_microdata(page)), _plausible(_open_graph(page)), blob_price(page)))
 
 
 def image_sizes(url: Column, sizes: list[int]) -> Column:
