@@ -3,6 +3,9 @@ from __future__ import annotations
 import json
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from varve.sources import paged
 
 
@@ -79,3 +82,59 @@ def test_a_batch_of_many_pages_is_as_many_tasks_as_are_asked_for(tmp_path):
     parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
     rows = [row for part in parts for row in reader.read(part)]
     assert len(parts) == 2 and len(rows) == len(set(rows)) == 21 and {r[2] for r in rows} == set(range(1, 8))
+
+
+def drain(streams):
+    try:
+        for stream in streams:
+            stream.processAllAvailable()
+    finally:
+        for stream in streams:
+            stream.stop()
+
+
+def test_pages_that_spark_lands_come_back_whole(spark, tmp_path):
+    rows = [(scope, 0, page, json.dumps({"sku": f"{scope}-{page}-{i}", "text": "a\x85b\u2028c"}, ensure_ascii=False)) for scope in ("a/b", "ç #1", None) for page in range(1, 13) for i in range(5)]
+    pages = spark.createDataFrame(rows, paged.SCHEMA)
+    for half in (F.col("page") <= 2, F.col("page") > 2):
+        paged.land(pages.filter(half), str(tmp_path / "in"))
+    files = [p for p in (tmp_path / "in").rglob("*") if p.is_file()]
+    assert len(files) == 36 and all(p.name.endswith(".json") and not p.name.startswith("_") for p in files)
+    got, tasks = [], []
+
+    def keep(batch, number):
+        tasks.append(batch.rdd.getNumPartitions())
+        got.extend(tuple(r) for r in batch.collect())
+
+    drain([paged.page_stream(spark, str(tmp_path / "in"), str(tmp_path / "cursor"), 50).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).start()])
+    assert Counter(got) == Counter((s or paged.NONE, *rest) for s, *rest in rows)
+    assert len(tasks) >= 3 and set(tasks) == {1}  # few records are one task, whatever cores there are
+
+
+def test_a_landing_that_fails_leaves_no_page(spark, tmp_path):
+    spark.dataSource.register(paged.LandedPages)
+    fails = F.when(F.col("id") == 39, F.raise_error(F.lit("lost"))).otherwise(F.lit("{}"))
+    pages = spark.range(40).select(F.lit("a").alias("scope"), F.lit(0).alias("lap"), F.col("id").cast("int").alias("page"), fails.cast("string").alias("record"))
+    with pytest.raises(Exception, match="lost"):
+        pages.coalesce(1).write.format(paged.NAME).mode("append").option("path", str(tmp_path / "in")).save()
+    assert not [p for p in (tmp_path / "in").rglob("*") if p.is_file()]
+
+
+def test_streams_side_by_side_share_the_scopes(spark, tmp_path):
+    scopes, got = ["a", "b", "c", "d", "e"], [[], []]
+    for scope in scopes:
+        for p in range(1, 8):
+            land(tmp_path / "in", scope, 0, p, 10)
+
+    def stream(k):
+        pages = paged.page_stream(spark, str(tmp_path / "in"), str(tmp_path / "cursor" / f"{k}"), 25, scopes[k::2])
+        return pages.writeStream.foreachBatch(lambda batch, number: got[k].append(batch.collect())).option("checkpointLocation", str(tmp_path / "cp" / f"{k}")).start()
+
+    drain([stream(0), stream(1)])
+    land(tmp_path / "in", "d", 0, 8, 10)
+    drain([stream(0), stream(1)])  # each goes on from its own cursor
+    assert [{r.scope for batch in batches for r in batch} for batches in got] == [{"a", "c", "e"}, {"b", "d"}]
+    assert all(len(batch) < 25 + 10 for batches in got for batch in batches)
+    assert set(Counter(r.record for batches in got for batch in batches for r in batch).values()) == {1} and sum(len(b) for batches in got for b in batches) == 360
+    at = {(r.scope, r.next_page) for r in paged.cursors(spark, str(tmp_path / "cursor" / "*"), "s").collect()}
+    assert at == {("a", 8), ("b", 8), ("c", 8), ("d", 9), ("e", 8)}

@@ -17,6 +17,8 @@ from .base import R6, deals, query, r6, table
 
 #: Products of a landed file.
 PAGE = 100
+#: Streams of pages that run side by side: each has a thread and a Python process at the driver.
+STREAMS = 8
 
 
 def land(files: DataFrame, name: str, kind: str = "") -> str:
@@ -205,29 +207,34 @@ def flt_from_address(spark, d):
 
 @query("""SELECT 'shop' AS store_id, p_brand AS scope, (count(*) + 9) // 10 + 1 AS next_page, 0 AS laps, count(*) AS records, (count(*) + 9) // 10 AS pages, TRUE AS bounded FROM part GROUP BY p_brand""")
 def src_paged_stream(spark, d):
-    """Brands as scopes of pages of ten products, streamed in batches of 400 records, with a stop after the first pages: the
-    cursor, and what was read."""
+    """Brands as scopes of pages of ten products, dealt to streams side by side, in batches of 400 records each, with a stop after the
+    first pages: the cursors, and what was read."""
     from varve.sources import paged
 
     root = f"{folder(spark)}/paged-{uuid.uuid4().hex}"
     rows = table(spark, d, "part").withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
-    pages = rows.select(F.col("p_brand").alias("scope"), F.lit(0).alias("lap"), (F.floor(F.col("n") / 10) + 1).alias("page"), F.to_json(F.struct("p_partkey", "p_name")).alias("value"))
+    pages = rows.select(F.col("p_brand").alias("scope"), F.lit(0).alias("lap"), (F.floor(F.col("n") / 10) + 1).cast("int").alias("page"), F.to_json(F.struct("p_partkey", "p_name")).alias("record"))
+    scopes = sorted(r.p_brand for r in table(spark, d, "part").select(F.coalesce("p_brand", F.lit(paged.NONE)).alias("p_brand")).distinct().collect())
 
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+    def keep(share):
+        return lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/rows/share={share}/batch={number}")
 
     for half in (F.col("page") <= 2, F.col("page") > 2):
-        dealt(pages.filter(half), "scope", "page").write.mode("append").partitionBy("scope", "lap", "page").text(f"{root}/in")
-        stream = paged.page_stream(spark, f"{root}/in", f"{root}/cursor")
-        running = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/progress").start()
+        paged.land(pages.filter(half), f"{root}/in")
+        running = []
         try:
-            running.processAllAvailable()
+            for k in range(min(STREAMS, len(scopes))):
+                stream = paged.page_stream(spark, f"{root}/in", f"{root}/cursor/share={k}", scopes=scopes[k::STREAMS])
+                running.append(stream.writeStream.foreachBatch(keep(k)).option("checkpointLocation", f"{root}/progress/share={k}").start())
+            for each in running:
+                each.processAllAvailable()
         finally:
-            running.stop()
-    rows = spark.read.schema(f"{paged.SCHEMA}, batch bigint").parquet(f"{root}/rows")
+            for each in running:
+                each.stop()
+    rows = spark.read.schema(f"{paged.SCHEMA}, share int, batch bigint").parquet(f"{root}/rows")
     read = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("lap", "page").alias("pages"))
-    largest = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") < paged.RECORDS + 10).alias("bounded"))
-    return paged.cursors(spark, f"{root}/cursor", "shop").join(read, "scope").join(F.broadcast(largest))
+    largest = rows.groupBy("share", "batch").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") < paged.RECORDS + 10).alias("bounded"))
+    return paged.cursors(spark, f"{root}/cursor/*", "shop").join(read, "scope").join(F.broadcast(largest))
 
 
 @query("""SELECT concat('https://x.ca/p/', p_partkey) AS url, concat(CASE WHEN p_partkey % 25 % 2 = 0 THEN 'n' WHEN p_partkey % 25 % 4 = 1 THEN 'm' ELSE 'd' END, p_partkey % 25) AS sitemap,

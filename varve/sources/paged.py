@@ -6,6 +6,11 @@ scope with the fewest laps comes first, of those the one that is furthest. A lap
 next lap's first page is. Pages are read where Spark runs their partitions: a page is one of its own, or pages are dealt to
 as many as the option tasks says, so that a batch of many small pages doesn't cost a task for each.
 
+Batches of one stream come one after the other, and most of a small batch is waiting. A large crawl is therefore dealt by scope
+to streams that run side by side, each with its scopes, its cursor and its checkpoint; the order of scopes is that of a stream's own.
+
+The same source writes pages: tasks put each page in place whole, with no renaming of all files by the driver at the end.
+
 The offset says, per scope, the lap and page to read next. It is kept at <cursor>/position.json whenever Spark plans a
 batch: a query that starts again goes on from the batch planned last, and one that Spark plans anew is the same
 batch, so that no page is lost or read twice. Paths may be in any store that pyarrow opens.
@@ -14,28 +19,40 @@ batch, so that no page is lost or read twice. Paths may be in any store that pya
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from urllib.parse import unquote
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from varve.staging import dealt
 
 #: Records that a micro-batch admits.
 RECORDS = 400
+#: Records that are worth a task of their own.
+TASK_RECORDS = 1000
 SCHEMA = "scope string, lap int, page int, record string"
 NAME = "landed_pages"
 
 
-# What Spark's writers escape in the names of partition folders, beside control characters.
+# What Spark's writers escape in the names of partition folders, beside control characters, and their name for none.
 ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
+NONE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def _escaped(scope: str) -> str:
     return "".join(f"%{ord(c):02X}" if c in ESCAPED or c < " " else c for c in scope)
 
 
+def _folder(scope: str, lap: int, page: int) -> str:
+    return f"scope={_escaped(scope)}/lap={lap}/page={page}"
+
+
 def _store(path: str):
     from pyarrow import fs
 
@@ -59,6 +76,7 @@ class PageReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.cursor = options["path"].rstrip("/"), options["cursor"].rstrip("/")
         self.records, self.tasks = int(options.get("records", RECORDS)), int(options.get("tasks", 0))
+        self.scopes = set(json.loads(options["scopes"])) if "scopes" in options else None
         self.planned: dict | None = None
 
     def initialOffset(self) -> dict:
@@ -79,15 +97,15 @@ class PageReader(DataSourceStreamReader):
         return sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
 
     def _page(self, scope: str, lap: int, page: int) -> Page:
-        return Page(scope, lap, page, f"scope={_escaped(scope)}/lap={lap}/page={page}")
+        return Page(scope, lap, page, _folder(scope, lap, page))
 
     def _lines(self, page: Page) -> Iterator[str]:
         store, _ = _store(self.path)
         for name in self._files(page):
             with store.open_input_stream(name) as f:
-                for line in f.read().decode().splitlines():
+                for line in f.read().decode().split("\n"):
                     if line.strip():
-                        yield line
+                        yield line.removesuffix("\r")
 
     def _at(self) -> dict:
         """Where the batch planned last ends."""
@@ -101,7 +119,8 @@ class PageReader(DataSourceStreamReader):
         return self.planned
 
     def latestOffset(self) -> dict:
-        scopes = {unquote(s.removeprefix("scope=")): {"lap": 0, "page": 1, "before": 0} for s in self._folders() if s.startswith("scope=")}
+        there = {unquote(s.removeprefix("scope=")) for s in self._folders() if s.startswith("scope=")}
+        scopes = {s: {"lap": 0, "page": 1, "before": 0} for s in (there if self.scopes is None else there & self.scopes)}
         scopes |= {s: {**at, "before": 0} for s, at in self._at()["scopes"].items()}
         moved, done, records = set(), set(), 0
         while records < self.records and len(done) < len(scopes):
@@ -148,6 +167,33 @@ class PageReader(DataSourceStreamReader):
                 yield page.scope, page.lap, page.page, line
 
 
+class PageWriter(DataSourceWriter):
+    """Writes rows (scope, lap, page, record), of which a page's come together: a page is a file, which a task that runs again replaces."""
+
+    def __init__(self, options: dict):
+        self.path, self.run = options["path"].rstrip("/"), uuid.uuid4().hex
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        store, root = _store(self.path)
+        task = TaskContext.get().partitionId()
+        for n, ((scope, lap, page), rows) in enumerate(groupby(iterator, key=lambda r: (r.scope, r.lap, r.page))):
+            folder, name = f"{root}/{_folder(NONE if scope is None else scope, lap, page)}", f"{self.run}-{task}-{n}.json"
+            store.create_dir(folder, recursive=True)
+            with store.open_output_stream(f"{folder}/_{name}") as f:
+                f.write("".join(f"{r.record}\n" for r in rows).encode())
+            store.move(f"{folder}/_{name}", f"{folder}/{name}")
+        return WriterCommitMessage()
+
+    def abort(self, messages: list) -> None:
+        """Pages of a job that failed go again."""
+        from pyarrow import fs
+
+        store, root = _store(self.path)
+        for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
+            if f.base_name.removeprefix("_").startswith(self.run):
+                store.delete_file(f.path)
+
+
 class LandedPages(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -159,11 +205,25 @@ class LandedPages(DataSource):
     def streamReader(self, schema) -> PageReader:
         return PageReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> PageWriter:
+        if overwrite:
+            raise ValueError("pages are only added")
+        return PageWriter(dict(self.options))
+
+
+def land(pages: DataFrame, path: str) -> None:
+    """Adds pages (scope, lap, page, record) to those landed at path."""
+    pages.sparkSession.dataSource.register(LandedPages)
+    together = dealt(pages.select("scope", "lap", "page", "record"), "scope", "lap", "page").sortWithinPartitions("scope", "lap", "page")
+    together.write.format(NAME).mode("append").option("path", path).save()
+
 
-def page_stream(spark: SparkSession, path: str, cursor: str, records: int = RECORDS) -> DataFrame:
-    """scope, lap, page and record of the pages landed at path. A query has a cursor folder of its own, beside its checkpoint."""
+def page_stream(spark: SparkSession, path: str, cursor: str, records: int = RECORDS, scopes: Iterable[str] | None = None) -> DataFrame:
+    """scope, lap, page and record of the pages landed at path, of all scopes or of those named. A query has a cursor folder of its own,
+    beside its checkpoint."""
     spark.dataSource.register(LandedPages)
-    options = {"path": path, "cursor": cursor, "records": records, "tasks": spark.sparkContext.defaultParallelism}
+    tasks = min(spark.sparkContext.defaultParallelism, -(-records // TASK_RECORDS))
+    options = {"path": path, "cursor": cursor, "records": records, "tasks": tasks} | ({} if scopes is None else {"scopes": json.dumps(sorted(scopes))})
     return spark.readStream.format(NAME).options(**options).load()
 
 
