@@ -17,8 +17,8 @@ from .base import R6, deals, query, r6, table
 
 #: Products of a landed file.
 PAGE = 100
-#: Streams of pages that run side by side: each has a thread and a Python process at the driver.
-STREAMS = 8
+#: Streams of pages that run side by side: each has a thread and a Python process of some 30 MB at the driver.
+STREAMS = 4
 
 
 def land(files: DataFrame, name: str, kind: str = "") -> str:
