@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from varve.catalogue import landing
 from varve.sources import paged
 
 
@@ -138,3 +139,11 @@ def test_streams_side_by_side_share_the_scopes(spark, tmp_path):
     assert set(Counter(r.record for batches in got for batch in batches for r in batch).values()) == {1} and sum(len(b) for batches in got for b in batches) == 360
     at = {(r.scope, r.next_page) for r in paged.cursors(spark, str(tmp_path / "cursor" / "*"), "s").collect()}
     assert at == {("a", 8), ("b", 8), ("c", 8), ("d", 9), ("e", 8)}
+
+
+def test_odd_brands_are_scopes_of_their_own(spark, tmp_path):
+    brands = [None, "", "a/b%2F=c", "ü #1", "."]
+    rows = [(i, "name\u2028of\x85it", brands[i % 5]) for i in range(123)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.scope, r.next_page, r.laps, r.records, r.pages, r.bounded) for r in landing.src_paged_stream(spark, str(tmp_path)).collect()}
+    assert got == {(brand, 4, 0, n, 3, True) for brand, n in zip(brands, (25, 25, 25, 24, 24))}

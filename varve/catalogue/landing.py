@@ -234,7 +234,8 @@ def src_paged_stream(spark, d):
     rows = spark.read.schema(f"{paged.SCHEMA}, share int, batch bigint").parquet(f"{root}/rows")
     read = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("lap", "page").alias("pages"))
     largest = rows.groupBy("share", "batch").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") < paged.RECORDS + 10).alias("bounded"))
-    return paged.cursors(spark, f"{root}/cursor/*", "shop").join(read, "scope").join(F.broadcast(largest))
+    found = paged.cursors(spark, f"{root}/cursor/*", "shop").join(read, "scope").join(F.broadcast(largest))
+    return found.withColumn("scope", F.nullif("scope", F.lit(paged.NONE)))
 
 
 @query("""SELECT concat('https://x.ca/p/', p_partkey) AS url, concat(CASE WHEN p_partkey % 25 % 2 = 0 THEN 'n' WHEN p_partkey % 25 % 4 = 1 THEN 'm' ELSE 'd' END, p_partkey % 25) AS sitemap,
