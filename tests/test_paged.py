@@ -113,12 +113,12 @@ def test_pages_that_spark_lands_come_back_whole(spark, tmp_path):
 
 
 def test_a_landing_that_fails_leaves_no_page(spark, tmp_path):
-    spark.dataSource.register(paged.LandedPages)
     fails = F.when(F.col("id") == 39, F.raise_error(F.lit("lost"))).otherwise(F.lit("{}"))
-    pages = spark.range(40).select(F.lit("a").alias("scope"), F.lit(0).alias("lap"), F.col("id").cast("int").alias("page"), fails.cast("string").alias("record"))
+    pages = spark.range(40).select(F.lit("a").alias("scope"), F.lit(0).alias("lap"), F.col("id").cast("int").alias("page"), F.lit("{}").alias("record"))
+    paged.land(pages.filter("id < 5"), str(tmp_path / "in"))
     with pytest.raises(Exception, match="lost"):
-        pages.coalesce(1).write.format(paged.NAME).mode("append").option("path", str(tmp_path / "in")).save()
-    assert not [p for p in (tmp_path / "in").rglob("*") if p.is_file()]
+        paged.land(pages.withColumn("id", F.col("page")).withColumn("record", fails.cast("string")), str(tmp_path / "in"))
+    assert len([p for p in (tmp_path / "in").rglob("*") if p.is_file()]) == 5
 
 
 def test_streams_side_by_side_share_the_scopes(spark, tmp_path):

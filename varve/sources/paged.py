@@ -9,7 +9,7 @@ as many as the option tasks says, so that a batch of many small pages doesn't co
 Batches of one stream come one after the other, and most of a small batch is waiting. A large crawl is therefore dealt by scope
 to streams that run side by side, each with its scopes, its cursor and its checkpoint; the order of scopes is that of a stream's own.
 
-The same source writes pages: tasks put each page in place whole, with no renaming of all files by the driver at the end.
+Pages that Spark makes are landed by tasks, which put each in place whole, with no renaming of all files by the driver at the end.
 
 The offset says, per scope, the lap and page to read next. It is kept at <cursor>/position.json whenever Spark plans a
 batch: a query that starts again goes on from the batch planned last, and one that Spark plans anew is the same
@@ -28,7 +28,7 @@ from urllib.parse import unquote
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from varve.staging import dealt
 
@@ -167,33 +167,6 @@ class PageReader(DataSourceStreamReader):
                 yield page.scope, page.lap, page.page, line
 
 
-class PageWriter(DataSourceWriter):
-    """Writes rows (scope, lap, page, record), of which a page's come together: a page is a file, which a task that runs again replaces."""
-
-    def __init__(self, options: dict):
-        self.path, self.run = options["path"].rstrip("/"), uuid.uuid4().hex
-
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        store, root = _store(self.path)
-        task = TaskContext.get().partitionId()
-        for n, ((scope, lap, page), rows) in enumerate(groupby(iterator, key=lambda r: (r.scope, r.lap, r.page))):
-            folder, name = f"{root}/{_folder(NONE if scope is None else scope, lap, page)}", f"{self.run}-{task}-{n}.json"
-            store.create_dir(folder, recursive=True)
-            with store.open_output_stream(f"{folder}/_{name}") as f:
-                f.write("".join(f"{r.record}\n" for r in rows).encode())
-            store.move(f"{folder}/_{name}", f"{folder}/{name}")
-        return WriterCommitMessage()
-
-    def abort(self, messages: list) -> None:
-        """Pages of a job that failed go again."""
-        from pyarrow import fs
-
-        store, root = _store(self.path)
-        for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
-            if f.base_name.removeprefix("_").startswith(self.run):
-                store.delete_file(f.path)
-
-
 class LandedPages(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -205,17 +178,37 @@ class LandedPages(DataSource):
     def streamReader(self, schema) -> PageReader:
         return PageReader(dict(self.options))
 
-    def writer(self, schema, overwrite: bool) -> PageWriter:
-        if overwrite:
-            raise ValueError("pages are only added")
-        return PageWriter(dict(self.options))
+
+def _put(rows: Iterable, path: str, run: str) -> None:
+    """Rows (scope, lap, page, record), of which a page's come together, as a file a page, which a task that runs again replaces."""
+    store, root = _store(path)
+    task = TaskContext.get().partitionId()
+    for n, ((scope, lap, page), records) in enumerate(groupby(rows, key=lambda r: (r.scope, r.lap, r.page))):
+        folder, name = f"{root}/{_folder(NONE if scope is None else scope, lap, page)}", f"{run}-{task}-{n}.json"
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/_{name}") as f:
+            f.write("".join(f"{r.record}\n" for r in records).encode())
+        store.move(f"{folder}/_{name}", f"{folder}/{name}")
+
+
+def _take_away(path: str, run: str) -> None:
+    from pyarrow import fs
+
+    store, root = _store(path)
+    for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
+        if f.base_name.removeprefix("_").startswith(run):
+            store.delete_file(f.path)
 
 
 def land(pages: DataFrame, path: str) -> None:
-    """Adds pages (scope, lap, page, record) to those landed at path."""
-    pages.sparkSession.dataSource.register(LandedPages)
+    """Adds pages (scope, lap, page, record) to those landed at path. Those of a job that fails go again."""
     together = dealt(pages.select("scope", "lap", "page", "record"), "scope", "lap", "page").sortWithinPartitions("scope", "lap", "page")
-    together.write.format(NAME).mode("append").option("path", path).save()
+    path, run = path.rstrip("/"), uuid.uuid4().hex
+    try:
+        together.foreachPartition(lambda rows: _put(rows, path, run))
+    except Exception:
+        _take_away(path, run)
+        raise
 
 
 def page_stream(spark: SparkSession, path: str, cursor: str, records: int = RECORDS, scopes: Iterable[str] | None = None) -> DataFrame:
